@@ -65,9 +65,14 @@ def square_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once. A lambda would otherwise evaluate an
+    outer expression again for every element it visits."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def centre(a: Column) -> Column:
-    mean = array_total(a) / F.size(a)
-    return F.transform(a, lambda v: v - mean)
+    return let(array_total(a) / F.size(a), lambda mean: F.transform(a, lambda v: v - mean))
 
 
 def clip01(x: Column) -> Column:
@@ -82,8 +87,8 @@ def ncc_centred(a: Column, b: Column, ss_a: Column, ss_b: Column) -> Column:
 
 def unit(a: Column, ss: Column) -> Column:
     """L2-normalise a vector whose square sum is known; a (near) zero vector stays as it is."""
-    n = F.sqrt(ss)
-    return F.when(n > 1e-9, F.transform(a, lambda v: v / n)).otherwise(a)
+    scale = F.when(F.sqrt(ss) > 1e-9, F.sqrt(ss)).otherwise(F.lit(1.0))
+    return let(scale, lambda n: F.transform(a, lambda v: v / n))
 
 
 def cosine_units(a: Column, b: Column) -> Column:

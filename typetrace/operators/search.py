@@ -1,15 +1,23 @@
 """Template search: cheap bitmap overlap first, exact fused score on the survivors.
 
-Crops carry ``mark_id, request_id, char, words, pop, field, field_ss, vec``; templates carry
-``font_id, char, words, pop, field, field_ss, vec``. ``field`` is already centred and ``vec``
-already of unit length, so scoring one pair is two dot products.
+Crops carry ``request_id, mark_id, char, words, field, vec``; templates carry ``font_id, char,
+words, field, vec`` and, when shifts are searched, ``moments``. ``vec`` has unit length.
+
+Two physical forms give the same rows. ``match_marks`` deals crops and templates of one
+character into bounded tasks and scores a task with matrix products: one shuffle of the crops,
+and only short lists leave the task. ``match_marks_joined`` is the plain join form; it suits
+small fields and the coarse-only mode, and never reads a field column in its coarse stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from typetrace.functions import scores as S
+from typetrace.functions import rasters as R, scores as S
 from typetrace.functions.bits import pack_words
 
 
@@ -21,8 +29,8 @@ def with_features(df: DataFrame, field: str, n_words: int, ink: str | None = Non
         df.withColumn("words", pack_words(ink_array, n_words))
         .withColumn("pop", S.popcount(F.col("words"), n_words))
         .withColumn("vec", S.unit(F.col(field), S.square_sum(F.col(field))))
-        .withColumn("field", S.centre(F.col(field)))
-        .withColumn("field_ss", S.square_sum(F.col("field")))
+        .withColumn("centred", S.centre(F.col(field)))
+        .withColumn("centred_ss", S.square_sum(F.col("centred")))
     )
 
 
@@ -56,22 +64,22 @@ def coarse_candidates(
 
 def refine(candidates: DataFrame, crops: DataFrame, templates: DataFrame) -> DataFrame:
     """Fused field and orientation score of every candidate row."""
-    q = crops.select("mark_id", "field", "field_ss", "vec")
+    q = crops.select("mark_id", "centred", "centred_ss", "vec")
     t = templates.select(
         "font_id", "char",
-        F.col("field").alias("t_field"), F.col("field_ss").alias("t_ss"), F.col("vec").alias("t_vec"),
+        F.col("centred").alias("t_field"), F.col("centred_ss").alias("t_ss"), F.col("vec").alias("t_vec"),
     )
     return (
         candidates.join(t, ["font_id", "char"])
         .join(q, "mark_id")
-        .withColumn("ncc", S.ncc_centred(F.col("field"), F.col("t_field"), F.col("field_ss"), F.col("t_ss")))
+        .withColumn("ncc", S.ncc_centred(F.col("centred"), F.col("t_field"), F.col("centred_ss"), F.col("t_ss")))
         .withColumn("cosine", S.cosine_units(F.col("vec"), F.col("t_vec")))
         .withColumn("score", S.fuse(F.col("ncc"), F.col("cosine")))
-        .drop("field", "field_ss", "vec", "t_field", "t_ss", "t_vec")
+        .drop("centred", "centred_ss", "vec", "t_field", "t_ss", "t_vec")
     )
 
 
-def match_marks(
+def match_marks_joined(
     crops: DataFrame,
     templates: DataFrame,
     n_words: int,
@@ -91,3 +99,117 @@ def match_marks(
         refine(cands, crops, templates), ["mark_id"], [F.desc("score"), F.asc("font_id")], top_k, "rank"
     )
     return ranked.withColumn("rank", F.col("rank") - 1)
+
+
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in column])
+
+
+def overlap_matrix(q_bits: np.ndarray, t_bits: np.ndarray) -> np.ndarray:
+    """Bitmap overlap of every query row with every template row, 0 where both are blank."""
+    q, t = q_bits.astype(np.float32), t_bits.astype(np.float32)
+    inter = (q @ t.T).astype(np.float64)
+    union = q.sum(axis=1)[:, None] + t.sum(axis=1)[None, :] - inter
+    return np.where(union > 0, inter / np.where(union > 0, union, 1.0), 0.0)
+
+
+def fused_matrix(q: pd.DataFrame, t: pd.DataFrame, side: int, reach: int, weight: float):
+    """Field correlation, orientation cosine and their fusion for all rows of q against t."""
+    qf = _stack(q["field"]).reshape(len(q), side, side)
+    tf = _stack(t["field"]).reshape(len(t), side, side)
+    moments = _stack(t["moments"]) if "moments" in t else R.shift_moments(tf, reach)
+    ncc = R.aligned_correlation(qf, tf, moments, reach)
+    cosine = np.clip(_stack(q["vec"]) @ _stack(t["vec"]).T, 0.0, 1.0)
+    return ncc, cosine, (1.0 - weight) * ncc + weight * cosine
+
+
+def _short_lists(
+    n_words: int, side: int, reach: int, coarse_k: int | None, top_k: int, weight: float
+) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    columns = ["request_id", "mark_id", "char", "font_id", "iou", "ncc", "cosine", "score"]
+
+    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or t.empty:
+            return pd.DataFrame(columns=columns)
+        t = t.sort_values("font_id", kind="stable").reset_index(drop=True)
+        iou = overlap_matrix(R.unpack(q["words"], n_words), R.unpack(t["words"], n_words))
+        keep = np.argsort(-iou, axis=1, kind="stable")[:, :coarse_k]
+        keep.sort(axis=1)                                    # back to font order for ties
+        used = np.unique(keep)
+        ncc, cosine, score = fused_matrix(q, t.iloc[used], side, reach, weight)
+        rows = np.arange(len(q))[:, None]
+        place = np.searchsorted(used, keep)
+        if int(q["t_parts"].iloc[0]) == 1:
+            # The whole list of fonts is here, so the final short list is known here too.
+            best = np.argsort(-score[rows, place], axis=1, kind="stable")[:, :top_k]
+            keep, place = keep[rows, best], place[rows, best]
+        width = keep.shape[1]
+        return pd.DataFrame({
+            "request_id": np.repeat(q["request_id"].to_numpy(), width),
+            "mark_id": np.repeat(q["mark_id"].to_numpy(), width),
+            "char": np.repeat(q["char"].to_numpy(), width),
+            "font_id": t["font_id"].to_numpy()[keep.ravel()],
+            "iou": iou[rows, keep].ravel(),
+            "ncc": ncc[rows, place].ravel(),
+            "cosine": cosine[rows, place].ravel(),
+            "score": score[rows, place].ravel(),
+        })[columns]
+
+    return run
+
+
+def deal_by_char(
+    crops: DataFrame, templates: DataFrame, crops_per_task: int, fonts_per_task: int
+) -> tuple[DataFrame, DataFrame]:
+    """Give both sides ``(char, q_part, t_part)`` so that no task holds more than the two bounds.
+
+    A hot character gets as many crop parts as its load asks for, each with its own copy of the
+    character's templates. Loads come from a count over the character column alone.
+    """
+    parts = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    load = (
+        crops.groupBy("char").agg(F.count("*").alias("n_q"))
+        .join(templates.groupBy("char").agg(F.count("*").alias("n_t")), "char")
+        .select("char", parts("n_q", crops_per_task).alias("q_parts"),
+                parts("n_t", fonts_per_task).alias("t_parts"))
+    )
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    share = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    q = (crops.join(load, "char").withColumn("q_part", share("mark_id", "q_parts"))
+         .withColumn("t_part", every("t_parts")))
+    t = (templates.join(load, "char").withColumn("t_part", share("font_id", "t_parts"))
+         .withColumn("q_part", every("q_parts")))
+    return q, t
+
+
+def match_marks(
+    crops: DataFrame,
+    templates: DataFrame,
+    n_words: int,
+    side: int,
+    reach: int = 0,
+    coarse_k: int | None = S.COARSE_K,
+    top_k: int = S.TOP_K,
+    weight: float = S.HOG_WEIGHT,
+    crops_per_task: int = 1000,
+    fonts_per_task: int = 2000,
+) -> DataFrame:
+    """Short list of ``top_k`` fonts per crop with a 0-based ``rank``, shifts up to ``reach``.
+
+    A crop whose character has no template yields no row.
+    """
+    q, t = deal_by_char(crops, templates, crops_per_task, fonts_per_task)
+    keys = ["char", "q_part", "t_part"]
+    q = q.select("request_id", "mark_id", "words", "field", "vec", "t_parts", *keys)
+    optional = ["moments"] if "moments" in t.columns else []
+    t = t.select("font_id", "words", "field", "vec", *optional, *keys)
+    schema = ", ".join(
+        f"{f} {dict(q.dtypes + t.dtypes)[f]}" for f in ("request_id", "mark_id", "char", "font_id")
+    ) + ", iou double, ncc double, cosine double, score double"
+    found = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(
+        _short_lists(n_words, side, reach, coarse_k, top_k, weight), schema
+    )
+    # Parts of one character meet here. Both rankings share the shuffle on mark_id.
+    found = _first(found, ["mark_id"], [F.desc("iou"), F.asc("font_id")], coarse_k, "coarse_rank")
+    ranked = _first(found, ["mark_id"], [F.desc("score"), F.asc("font_id")], top_k, "rank")
+    return ranked.withColumn("rank", F.col("rank") - 1).drop("coarse_rank")

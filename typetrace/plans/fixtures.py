@@ -38,7 +38,7 @@ def templates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def groups(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(0, 0), (1, 0), (2, 2), (3, 2)], "font_id bigint, group_id bigint")
+    return spark.sql("SELECT * FROM VALUES (0L, 0L), (1L, 0L), (2L, 2L), (3L, 2L) AS t(font_id, group_id)")
 
 
 def raw_crops(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,7 +14,7 @@ _VOTE = fx.with_views("glyphs", "features", "search", "vote")
 
 
 def _tops(spark, sf):
-    return search.match_marks(fx.crops(spark, sf), fx.templates(spark, sf), fx.WORDS)
+    return search.match_marks(fx.crops(spark, sf), fx.templates(spark, sf), fx.WORDS, fx.SIDE)
 
 
 def _candidates(spark, sf):
@@ -30,3 +30,22 @@ FROM (SELECT DISTINCT request_id FROM crop) r
 LEFT JOIN cands c ON c.request_id = r.request_id AND c.rank = 1""")
 def match_requests(spark, sf):
     return vote.request_verdicts(fx.raw_crops(spark, sf), _candidates(spark, sf))
+
+
+@query("C9 J1 W1 W2 A11 A12 A13", _SEARCH + """
+SELECT request_id, mark_id, char, font_id, rank, round(iou, 6) AS iou, round(ncc, 6) AS ncc,
+       round(cosine, 6) AS cosine, round(score, 6) AS score FROM tops""")
+def match_marks(spark, sf):
+    return _tops(spark, sf).select(
+        "request_id", "mark_id", "char", "font_id", "rank",
+        *[F.round(c, 6).alias(c) for c in ("iou", "ncc", "cosine", "score")],
+    )
+
+
+@query("C9 J1 W1 W2 A9 A13", _SEARCH + """
+SELECT mark_id, font_id, rank, coarse_rank, round(iou, 6) AS iou, round(score, 6) AS score FROM tops""")
+def match_marks_joined(spark, sf):
+    return search.match_marks_joined(fx.crops(spark, sf), fx.templates(spark, sf), fx.WORDS).select(
+        "mark_id", "font_id", "rank", "coarse_rank",
+        F.round("iou", 6).alias("iou"), F.round("score", 6).alias("score"),
+    )
