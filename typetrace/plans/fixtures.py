@@ -124,3 +124,110 @@ cands AS (
 
 def with_views(*names: str) -> str:
     return "WITH " + ",\n".join(SQL[n] for n in names) + "\n"
+
+
+# ---- pixels, lines, boxes and catalogue rows -------------------------------------------------
+
+
+def pixel_table(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per pixel of every 8 x 8 glyph: ``image_id, y, x, ink, level``."""
+    return (
+        table(spark, sf, "embeddings")
+        .select(F.col("vec_id").alias("image_id"), F.posexplode(F.col("embedding").cast("array<double>")))
+        .select(
+            "image_id",
+            F.expr("pos div 8").alias("y"),
+            (F.col("pos") % 8).alias("x"),
+            (F.col("col") > 0).cast("int").alias("ink"),
+            level_of(F.col("col")).alias("level"),
+        )
+    )
+
+
+def level_of(v):
+    return F.least(F.greatest(F.floor((v + 0.6) / 1.2 * 256), F.lit(0)), F.lit(255)).cast("int")
+
+
+def glyph_images(spark: SparkSession, sf: str) -> DataFrame:
+    """The same glyphs as whole images: ``image_id, height, width, px``."""
+    return table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("image_id"),
+        F.lit(SIDE).alias("height"),
+        F.lit(SIDE).alias("width"),
+        F.transform(F.col("embedding").cast("array<double>"), level_of).alias("px"),
+    )
+
+
+def rgb(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        (F.floor("l_extendedprice") % 256).alias("r"),
+        (F.floor(F.col("l_quantity") * 5) % 256).alias("g"),
+        (F.floor(F.col("l_discount") * 2000 + F.col("l_tax") * 1000) % 256).alias("b"),
+    )
+
+
+def font_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalogue rows; the part names repeat, so family keys do too."""
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("font_id"),
+        F.col("p_name").alias("name"),
+        F.col("p_brand").alias("license"),
+        F.col("p_type").alias("style"),
+        F.col("p_partkey").alias("file_pos"),
+        F.col("p_size").alias("size"),
+    )
+
+
+def text_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every whole text of the benchmark and conversation tables under one key."""
+    b = table(spark, sf, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("text_id"), "text")
+    c = table(spark, sf, "conversations").select(
+        F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("text_id"), "text"
+    )
+    return b.unionByName(c)
+
+
+def ocr_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Detected lines of images with boxes, texts and scores, some of them incomplete."""
+    k = F.col("p_partkey")
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x0, y0 = (k * 31 % 400 - 20) + 0.75, (k % 4) * 40 - 10 + 0.25
+    w, h = F.length("p_name") * 9 + k % 50, k % 20 + 4
+    box = F.array(point(x0, y0), point(x0 + w, y0), point(x0 + w, y0 + h), point(x0, y0 + h))
+    broken = F.array(F.get(box, F.lit(0)), F.get(box, F.lit(1)), F.lit(None).cast("struct<x:double,y:double>"),
+                     F.get(box, F.lit(3)))
+    return table(spark, sf, "part").select(
+        F.expr("p_partkey div 4").alias("image_id"),
+        (k % 4).alias("line_no"),
+        F.when(k % 17 == 5, None).when(k % 19 == 7, broken).otherwise(box).alias("box"),
+        F.when(k % 23 == 3, None).otherwise(F.col("p_name")).alias("text"),
+        F.when(k % 13 == 6, None).otherwise((k * 7 % 100) / 100.0).alias("score"),
+    )
+
+
+SQL["pixels"] = """px AS (
+  SELECT vec_id AS image_id, i // 8 AS y, i % 8 AS x, (embedding[i + 1] > 0)::INT AS ink,
+         least(greatest(floor((embedding[i + 1]::DOUBLE + 0.6::DOUBLE) / 1.2::DOUBLE * 256), 0), 255)::INT AS level
+  FROM embeddings, range(0, 64) t(i))"""
+
+SQL["rgb"] = """rgb AS (
+  SELECT l_orderkey, l_linenumber, floor(l_extendedprice)::BIGINT % 256 AS r,
+         floor(l_quantity * 5)::BIGINT % 256 AS g, floor(l_discount * 2000 + l_tax * 1000)::BIGINT % 256 AS b
+  FROM lineitem)"""
+
+SQL["texts"] = """texts AS (
+  SELECT 'b' || item_id AS text_id, text FROM benchmark
+  UNION ALL SELECT 'c' || conv_id || '-' || turn, text FROM conversations)"""
+
+SQL["ocr"] = """ocr AS (
+  SELECT p_partkey AS k, p_partkey // 4 AS image_id, p_partkey % 4 AS line_no,
+         CASE WHEN p_partkey % 17 = 5 THEN NULL ELSE (p_partkey * 31 % 400 - 20) + 0.75::DOUBLE END AS x0,
+         CASE WHEN p_partkey % 17 = 5 THEN NULL ELSE (p_partkey % 4) * 40 - 10 + 0.25::DOUBLE END AS y0,
+         length(p_name) * 9 + p_partkey % 50 AS w, p_partkey % 20 + 4 AS h,
+         NOT (p_partkey % 17 = 5 OR p_partkey % 19 = 7) AS whole_box,
+         CASE WHEN p_partkey % 23 = 3 THEN NULL ELSE p_name END AS text,
+         CASE WHEN p_partkey % 13 = 6 THEN NULL ELSE (p_partkey * 7 % 100) / 100.0::DOUBLE END AS score
+  FROM part),
+valid AS (SELECT * FROM ocr WHERE whole_box AND text IS NOT NULL AND score IS NOT NULL)"""
