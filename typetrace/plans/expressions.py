@@ -149,12 +149,12 @@ def style_guesses(spark, sf):
 @query("P17", """
 SELECT page_id, url FROM pages
 WHERE lower(regexp_extract(url, '(\\.[A-Za-z0-9]+)$', 1)) IN ('.html', '.htm', '.php', '.ttf', '')
-  AND NOT (contains(lower(url), 'sf-') OR contains(lower(url), 'symbol') OR contains(lower(url), 'src1'))""")
+  AND NOT (contains(lower(url), 'sf-') OR contains(lower(url), 'blog') OR contains(lower(url), '/en/'))""")
 def scanned_files(spark, sf):
     url = F.col("url")
     ext = F.lower(F.regexp_extract(url, r"(\.[A-Za-z0-9]+)$", 1))
     return fx.table(spark, sf, "pages").filter(
-        ext.isin(".html", ".htm", ".php", ".ttf", "") & ~T.is_symbol_name(url, ("sf-", "symbol", "src1"))
+        ext.isin(".html", ".htm", ".php", ".ttf", "") & ~T.is_symbol_name(url, ("sf-", "blog", "/en/"))
     ).select("page_id", "url")
 
 

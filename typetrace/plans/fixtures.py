@@ -231,3 +231,65 @@ SQL["ocr"] = """ocr AS (
          CASE WHEN p_partkey % 13 = 6 THEN NULL ELSE (p_partkey * 7 % 100) / 100.0::DOUBLE END AS score
   FROM part),
 valid AS (SELECT * FROM ocr WHERE whole_box AND text IS NOT NULL AND score IS NOT NULL)"""
+
+
+def text_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every whole line of every document; a character stands for one column of its image."""
+    return (
+        table(spark, sf, "documents")
+        .select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+        .select(F.concat_ws("-", "doc_id", "line_no").alias("line_id"), "line", F.length("line").alias("width"))
+    )
+
+
+def text_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Inked columns of those lines: all but blanks, with a row extent from the character."""
+    code = F.ascii("c")
+    return (
+        text_lines(spark, sf)
+        .select("line_id", F.posexplode(F.split("line", "")).alias("x", "c"))
+        .filter((F.col("c") != " ") & (F.col("c") != ""))
+        .select("line_id", "x", (code % 5).alias("y0"), (code % 5 + code % 7).alias("y1"))
+    )
+
+
+def level_pixels(spark: SparkSession, sf: str, image: str) -> DataFrame:
+    """Event values as levels of one image per ``image`` value."""
+    return table(spark, sf, "events").select(
+        F.col(image).alias("image_id"), F.least(F.floor("value"), F.lit(255)).alias("level")
+    )
+
+
+SQL["columns"] = """lines AS (
+  SELECT doc_id || '-' || (i - 1) AS line_id, l[i] AS line, length(l[i]) AS width
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), range(1, len(l) + 1) r(i)),
+cols AS (
+  SELECT line_id, x - 1 AS x, c % 5 AS y0, c % 5 + c % 7 AS y1, width
+  FROM (SELECT line_id, width, generate_subscripts(a, 1) AS x, unicode(unnest(a)) AS c, unnest(a) AS t
+        FROM (SELECT line_id, width, string_split(line, '') AS a FROM lines)) WHERE t <> ' ' AND t <> ''),
+runs AS (
+  SELECT line_id, width, min(x) AS x0, max(x) + 1 AS x1, min(y0) AS y0, max(y1) AS y1
+  FROM (SELECT *, x - row_number() OVER (PARTITION BY line_id ORDER BY x) AS isle FROM cols)
+  GROUP BY line_id, width, isle),
+segs AS (SELECT * FROM runs WHERE x1 - x0 >= 5 OR x1 = width),
+kept AS (
+  SELECT line_id, x0, x1, y0, y1 FROM (
+    SELECT *, list_sort(list(x1 - x0) OVER (PARTITION BY line_id)) AS ws FROM segs)
+  WHERE x1 - x0 > 0.35::DOUBLE * ws[len(ws) // 2 + 1])"""
+
+SQL["levels"] = """lv AS (
+  SELECT 'u' || user_id AS image_id, least(floor(value)::BIGINT, 255) AS level FROM events
+  UNION ALL SELECT event_type, least(floor(value)::BIGINT, 255) FROM events)"""
+
+SQL["otsu"] = """hist AS (SELECT image_id, level, count(*) AS n FROM lv GROUP BY ALL),
+cum AS (
+  SELECT image_id, level, sum(n) OVER u::DOUBLE AS b, sum(n) OVER a::DOUBLE AS t,
+         sum(n * level) OVER u::DOUBLE AS mb, sum(n * level) OVER a::DOUBLE AS m
+  FROM hist WINDOW u AS (PARTITION BY image_id ORDER BY level), a AS (PARTITION BY image_id)),
+var AS (
+  SELECT image_id, level, b * (t - b) * (mb / b - (m - mb) / (t - b)) * (mb / b - (m - mb) / (t - b)) AS v
+  FROM cum WHERE t > b),
+thr AS (
+  SELECT i.image_id, coalesce(v.level, 0) AS threshold FROM (SELECT DISTINCT image_id FROM lv) i
+  LEFT JOIN (SELECT image_id, level FROM var
+             QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY v DESC, level) = 1) v USING (image_id))"""
