@@ -29,10 +29,14 @@ def first_with_result(attempts: DataFrame, key: str, order: str, n_results: str)
     return keep_first(attempts.filter(F.col(n_results) > 0), [key], F.col(order))
 
 
-def preferred_member(members: DataFrame, key: str, name: str, pos: str) -> DataFrame:
-    """First member whose name holds ``regular`` or the key, else the first member."""
+def preferred_member(members: DataFrame, key: str, name: str, pos: str, hint: str | None = None) -> DataFrame:
+    """First member whose name holds ``regular`` or the key, else the first member.
+
+    ``hint`` names the column that holds the text to look for when it is not the key itself.
+    """
     plain = lambda c: F.replace(F.lower(c), F.lit("-"), F.lit(""))
-    hit = F.contains(F.lower(name), F.lit("regular")) | F.contains(plain(name), F.replace(F.col(key), F.lit("-"), F.lit("")))
+    wanted = F.replace(F.col(hint or key), F.lit("-"), F.lit(""))
+    hit = F.contains(F.lower(name), F.lit("regular")) | F.contains(plain(name), wanted)
     return keep_first(members, [key], F.when(hit, 0).otherwise(1), F.col(pos))
 
 
@@ -83,25 +87,22 @@ def coverage(
     taken of the required characters there are, unless a fixed ``denominator`` is asked for.
     """
     hits = available.join(required, "char").groupBy(*key).agg(F.count("*").alias("hits"))
-    total = F.lit(denominator) if denominator else F.col("n_required")
+    total = F.lit(denominator) if denominator else required.agg(F.count("*")).scalar()
     share = F.when(F.col("exempt"), F.lit(1.0)).otherwise(F.col("hits") / total)
-    counted = required.agg(F.count("*").alias("n_required"))
     return (
         fonts.join(hits, list(key), "left").fillna(0, ["hits"])
-        .join(counted)  # one row: the number of required characters
         .withColumn("ratio", share)
         .withColumn("tag", F.when(F.col("ratio") < 0.5, "FAIL").when(F.col("ratio") >= 0.9, "ok").otherwise("warn"))
-        .drop("n_required")
     )
 
 
 def missing_chars(fonts: DataFrame, available: DataFrame, required: DataFrame, key: Sequence[str]) -> DataFrame:
     """Required characters a font does not have. The required text is a parameter, so every
     font row carries it as one array; the difference needs no pairing of rows."""
-    wanted = required.agg(F.sort_array(F.collect_list("char")).alias("wanted"))
+    wanted = required.agg(F.sort_array(F.collect_list("char"))).scalar()
     have = available.join(required, "char").groupBy(*key).agg(F.collect_set("char").alias("have"))
-    lacking = F.array_except("wanted", F.coalesce("have", F.array().cast("array<string>")))
-    return fonts.join(have, list(key), "left").join(wanted).select(*key, F.explode(lacking).alias("char"))
+    lacking = F.array_except(wanted, F.coalesce("have", F.array().cast("array<string>")))
+    return fonts.join(have, list(key), "left").select(*key, F.explode(lacking).alias("char"))
 
 
 def subset_code_points(texts: DataFrame, text: str = "text") -> DataFrame:
