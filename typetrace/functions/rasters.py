@@ -24,12 +24,13 @@ def as_image(px, height: int, width: int) -> np.ndarray:
 def unpack(words, n_words: int) -> np.ndarray:
     """Rows of 64-bit words to rows of zeros and ones."""
     w = np.stack([np.asarray(v, dtype=np.int64) for v in words]).reshape(len(words), n_words)
-    return np.unpackbits(w.astype(">i8").view(np.uint8), axis=1)
+    return np.unpackbits(np.ascontiguousarray(w.astype(">i8")).view(np.uint8), axis=1)
 
 
 def pack(bits: np.ndarray) -> np.ndarray:
     """(n, 64 * k) zeros and ones to (n, k) signed words."""
-    return np.packbits(bits.astype(np.uint8), axis=1).view(">i8").astype(np.int64)
+    packed = np.ascontiguousarray(np.packbits(bits.astype(np.uint8), axis=1))
+    return packed.view(">i8").astype(np.int64)
 
 
 def otsu(gray: np.ndarray) -> int:
@@ -205,3 +206,35 @@ def aligned_correlation(queries: np.ndarray, fields: np.ndarray, moments: np.nda
         score = np.where(denom < 1e-9, 0.0, numerator / np.where(denom < 1e-9, 1.0, denom))
         np.maximum(best, score, out=best)
     return np.minimum(best, 1.0)
+
+
+def aligned_pairs(a: np.ndarray, b: np.ndarray, reach: int) -> np.ndarray:
+    """Best correlation over all shifts for row-wise pairs of fields, (n,)."""
+    n, size = len(a), a.shape[1] * a.shape[2]
+    flat = a.reshape(n, -1)
+    centred = flat - flat.mean(axis=1, keepdims=True)
+    energy = (centred ** 2).sum(axis=1)
+    best = np.zeros(n)
+    for dy, dx in shifts(reach):
+        moved = shifted(b, dy, dx).reshape(n, -1)
+        spread = (moved * moved).sum(axis=1) - moved.sum(axis=1) ** 2 / size
+        denom = np.sqrt(np.maximum(energy * spread, 0.0))
+        score = np.where(denom < 1e-9, 0.0, (centred * moved).sum(axis=1) / np.where(denom < 1e-9, 1.0, denom))
+        np.maximum(best, score, out=best)
+    return np.minimum(best, 1.0)
+
+
+def gaussian_blur(levels: np.ndarray, sigma: float) -> np.ndarray:
+    """Separable Gaussian over (h, w) levels with repeated borders, truncated to whole levels."""
+    reach = max(1, int(np.ceil(3 * sigma)))
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    kernel /= kernel.sum()
+
+    def along(size: int) -> np.ndarray:
+        at = np.clip(np.arange(size)[:, None] + np.arange(-reach, reach + 1)[None, :], 0, size - 1)
+        weights = np.zeros((size, size))
+        np.add.at(weights, (np.arange(size)[:, None], at), kernel[None, :])
+        return weights
+
+    h, w = levels.shape
+    return np.clip(np.floor(along(h) @ levels @ along(w).T + 1e-9), 0, 255)
