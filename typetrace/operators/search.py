@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from typetrace.functions import rasters as R, scores as S
 from typetrace.functions.bits import pack_words
+from typetrace.session import cut_lineage
 
 
 def with_features(df: DataFrame, field: str, n_words: int, ink: str | None = None) -> DataFrame:
@@ -158,26 +159,25 @@ def _short_lists(
     return run
 
 
-def deal_by_char(
-    crops: DataFrame, templates: DataFrame, crops_per_task: int, fonts_per_task: int
+def deal(
+    crops: DataFrame, templates: DataFrame, key: str, crops_per_task: int, fonts_per_task: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Give both sides ``(char, q_part, t_part)`` so that no task holds more than the two bounds.
+    """Give both sides ``(key, q_part, t_part)`` so that no task holds more than the two bounds.
 
-    A hot character gets as many crop parts as its load asks for, each with its own copy of the
-    character's templates. Loads come from a count over the character column alone.
+    A hot key gets as many crop parts as its load asks for, each with its own copy of the key's
+    templates. Loads come from a count over the key column alone.
     """
     parts = lambda n, size: F.ceil(F.col(n) / size).cast("int")
     load = (
-        crops.groupBy("char").agg(F.count("*").alias("n_q"))
-        .join(templates.groupBy("char").agg(F.count("*").alias("n_t")), "char")
-        .select("char", parts("n_q", crops_per_task).alias("q_parts"),
-                parts("n_t", fonts_per_task).alias("t_parts"))
+        crops.groupBy(key).agg(F.count("*").alias("n_q"))
+        .join(templates.groupBy(key).agg(F.count("*").alias("n_t")), key)
+        .select(key, parts("n_q", crops_per_task).alias("q_parts"), parts("n_t", fonts_per_task).alias("t_parts"))
     )
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    share = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    q = (crops.join(load, "char").withColumn("q_part", share("mark_id", "q_parts"))
+    share = lambda n, *ids: F.pmod(F.xxhash64(*ids), F.col(n)).cast("int")
+    q = (crops.join(load, key).withColumn("q_part", share("q_parts", "mark_id"))
          .withColumn("t_part", every("t_parts")))
-    t = (templates.join(load, "char").withColumn("t_part", share("font_id", "t_parts"))
+    t = (templates.join(load, key).withColumn("t_part", share("t_parts", "font_id", "char"))
          .withColumn("q_part", every("q_parts")))
     return q, t
 
@@ -198,7 +198,7 @@ def match_marks(
 
     A crop whose character has no template yields no row.
     """
-    q, t = deal_by_char(crops, templates, crops_per_task, fonts_per_task)
+    q, t = deal(crops, templates, "char", crops_per_task, fonts_per_task)
     keys = ["char", "q_part", "t_part"]
     q = q.select("request_id", "mark_id", "words", "field", "vec", "t_parts", *keys)
     optional = ["moments"] if "moments" in t.columns else []
@@ -213,3 +213,121 @@ def match_marks(
     found = _first(found, ["mark_id"], [F.desc("iou"), F.asc("font_id")], coarse_k, "coarse_rank")
     ranked = _first(found, ["mark_id"], [F.desc("score"), F.asc("font_id")], top_k, "rank")
     return ranked.withColumn("rank", F.col("rank") - 1).drop("coarse_rank")
+
+
+GRID_K = 10
+
+
+def popcount_bands(templates: DataFrame, per_band: int) -> list[tuple[int, int, int]]:
+    """Consecutive ink counts put together until a band holds ``per_band`` templates, as
+    (lowest count, highest count, templates). A bitmap of n pixels has at most n + 1 counts, so
+    the histogram the driver reads does not grow with the index."""
+    bands: list[list[int]] = []
+    for pop, n in templates.groupBy("pop").agg(F.count("*")).orderBy("pop").collect():
+        if bands and bands[-1][2] < per_band:
+            bands[-1][1], bands[-1][2] = pop, bands[-1][2] + n
+        else:
+            bands.append([pop, pop, n])
+    return [tuple(b) for b in bands]
+
+
+def best_possible_overlap(pop: Column, lo: Column, hi: Column) -> Column:
+    """Overlap of a bitmap of ``pop`` pixels with one of lo..hi pixels is at most this: the
+    smaller count over the larger one."""
+    return (
+        F.when(pop.between(lo, hi), F.lit(1.0))
+        .when(pop < lo, pop / lo)
+        .otherwise(F.when(pop > 0, hi / pop).otherwise(F.lit(0.0)))
+    )
+
+
+def _grid_lists(n_words: int, side: int, reach: int, k: int, weight: float, refine_rows: int = 512):
+    columns = ["mark_id", "font_id", "char", "iou", "ncc", "cosine", "score"]
+
+    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or t.empty:
+            return pd.DataFrame(columns=columns)
+        t = t.sort_values(["font_id", "char"], kind="stable").reset_index(drop=True)
+        q = q.reset_index(drop=True)
+        iou = overlap_matrix(R.unpack(q["words"], n_words), R.unpack(t["words"], n_words))
+        keep = np.argsort(-iou, axis=1, kind="stable")[:, :k]
+        qi = np.repeat(np.arange(len(q)), keep.shape[1])
+        ti = keep.ravel()
+        good = iou[qi, ti] >= q["least"].to_numpy()[qi]      # cannot be among the first k otherwise
+        qi, ti = qi[good], ti[good]
+        qf, tf = (_stack(d["field"]).reshape(len(d), side, side) for d in (q, t))
+        qv, tv = _stack(q["vec"]), _stack(t["vec"])
+        ncc = np.zeros(len(qi))
+        for i in range(0, len(qi), refine_rows):
+            part = slice(i, i + refine_rows)
+            ncc[part] = R.aligned_pairs(qf[qi[part]], tf[ti[part]], reach)
+        cosine = np.clip((qv[qi] * tv[ti]).sum(axis=1), 0.0, 1.0)
+        return pd.DataFrame({
+            "mark_id": q["mark_id"].to_numpy()[qi], "font_id": t["font_id"].to_numpy()[ti],
+            "char": t["char"].to_numpy()[ti], "iou": iou[qi, ti], "ncc": ncc, "cosine": cosine,
+            "score": (1.0 - weight) * ncc + weight * cosine,
+        })[columns]
+
+    return run
+
+
+def search_grid(
+    queries: DataFrame,
+    templates: DataFrame,
+    n_words: int,
+    side: int,
+    reach: int = 0,
+    k: int = GRID_K,
+    weight: float = S.HOG_WEIGHT,
+    prune: bool = True,
+    queries_per_task: int = 1000,
+    templates_per_task: int = 2000,
+) -> DataFrame:
+    """Best ``k`` templates of the whole (font x character) index per query bitmap by overlap,
+    re-ranked by fused score; ``rank`` is 0-based.
+
+    The index is cut into bands of similar ink count. A query first visits the band of its own
+    count; the k-th overlap found there then rules out every band whose best possible overlap
+    is lower, which changes no result. Bands are dealt into bounded tasks and a task only
+    returns its first ``k`` rows per query.
+    """
+    bands = popcount_bands(templates, templates_per_task)
+    literal = lambda i: F.array(*[F.lit(b[i]) for b in bands])
+    t = templates.withColumn("band", F.size(F.filter(literal(1), lambda hi: hi < F.col("pop"))))
+    t = t.select("font_id", "char", "words", "field", "vec", "band")
+    q = queries.select("mark_id", "words", "pop", "field", "vec")
+    choices = F.transform(
+        F.arrays_zip(literal(0).alias("lo"), literal(1).alias("hi")),
+        lambda b, i: F.struct(best_possible_overlap(F.col("pop"), b["lo"], b["hi"]).alias("at_most"), (-i).alias("neg")))
+    q = q.withColumn("choices", choices).withColumn("home", -F.array_max("choices")["neg"])
+    id_type, font_type = dict(q.dtypes)["mark_id"], dict(t.dtypes)["font_id"]
+    schema = (f"mark_id {id_type}, font_id {font_type}, char string, iou double, ncc double, "
+              "cosine double, score double")
+
+    def visit(asked: DataFrame) -> DataFrame:
+        dealt, index = deal(asked, t, "band", queries_per_task, templates_per_task)
+        keys = ["band", "q_part", "t_part"]
+        left = dealt.select("mark_id", "words", "field", "vec", "least", *keys)
+        right = index.select("font_id", "char", "words", "field", "vec", *keys)
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+            _grid_lists(n_words, side, reach, k, weight), schema)
+
+    def first_k(found: DataFrame) -> DataFrame:
+        return _first(found, ["mark_id"], [F.desc("iou"), F.asc("font_id"), F.asc("char")], k, "coarse_rank")
+
+    everywhere = F.explode(F.transform("choices", lambda c: -c["neg"]))
+    if len(bands) == 1 or not prune:
+        found = first_k(visit(q.withColumn("least", F.lit(0.0)).withColumn("band", everywhere)))
+    else:
+        at_home = visit(q.withColumn("least", F.lit(0.0)).withColumn("band", F.col("home")))
+        at_home = cut_lineage(first_k(at_home).drop("coarse_rank"))
+        known = at_home.groupBy("mark_id").agg(F.count("*").alias("n"), F.min("iou").alias("kth"))
+        least = F.when(F.col("n") >= k, F.col("kth")).otherwise(0.0)
+        hopeful = F.transform(
+            F.filter("choices", lambda c: (c["at_most"] >= F.col("least")) & (-c["neg"] != F.col("home"))),
+            lambda c: -c["neg"])
+        rest = (q.join(known, "mark_id", "left").withColumn("least", F.coalesce(least, F.lit(0.0)))
+                .withColumn("band", F.explode(hopeful)))
+        found = first_k(at_home.unionByName(visit(rest)))
+    ranked = _first(found, ["mark_id"], [F.desc("score"), F.asc("font_id"), F.asc("char")], None, "rank")
+    return ranked.withColumn("rank", F.col("rank") - 1)

@@ -253,3 +253,33 @@ SELECT true_font, coalesce(predicted::VARCHAR, 'none') AS predicted, count(*) AS
 GROUP BY ALL ORDER BY n DESC, true_font, predicted LIMIT 8""")
 def main_confusions(spark, sf):
     return evaluate.main_confusions(_hits(spark, sf))
+
+
+_GRID = fx.with_views("glyphs", "features") + """, pairs AS (
+  SELECT c.mark_id, t.font_id, t.char, c.cf AS qc, t.cf AS tc, c.field AS qf, t.field AS tf,
+         CASE WHEN bit_count(c.w | t.w) > 0 THEN bit_count(c.w & t.w) / bit_count(c.w | t.w) ELSE 0.0 END AS iou
+  FROM crop_f c, tpl_f t),
+coarse AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY mark_id ORDER BY iou DESC, font_id, char) <= 10),
+scored AS (
+  SELECT mark_id, font_id, char, iou,
+    0.65 * least(greatest(list_dot_product(qc, tc) / sqrt(list_dot_product(qc, qc) * list_dot_product(tc, tc)), 0.0), 1.0)
+    + 0.35 * least(greatest(list_dot_product(qf, tf) / sqrt(list_dot_product(qf, qf) * list_dot_product(tf, tf)), 0.0), 1.0) AS score
+  FROM coarse)
+SELECT mark_id, font_id, char, round(iou, 6) AS iou, round(score, 6) AS score,
+       row_number() OVER (PARTITION BY mark_id ORDER BY score DESC, font_id, char) - 1 AS rank FROM scored"""
+
+
+def _grid(spark, sf, **how):
+    found = search.search_grid(fx.crops(spark, sf), fx.templates(spark, sf), fx.WORDS, fx.SIDE, **how)
+    return found.select("mark_id", "font_id", "char", F.round("iou", 6).alias("iou"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("J2 W4", _GRID)
+def grid_search(spark, sf):
+    """Small bands, so that the pruning between bands has work to do."""
+    return _grid(spark, sf, templates_per_task=100)
+
+
+@query("J2 W4", _GRID)
+def grid_search_unpruned(spark, sf):
+    return _grid(spark, sf, prune=False)
