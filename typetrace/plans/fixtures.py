@@ -293,3 +293,39 @@ thr AS (
   SELECT i.image_id, coalesce(v.level, 0) AS threshold FROM (SELECT DISTINCT image_id FROM lv) i
   LEFT JOIN (SELECT image_id, level FROM var
              QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY v DESC, level) = 1) v USING (image_id))"""
+
+
+def line_images(spark: SparkSession, sf: str) -> DataFrame:
+    """One line image per font and mode: its five glyphs side by side with two blank columns.
+
+    Every font is an image and every mode a line of it. Some texts carry a wrong label, some a
+    label too few, and some scores are too low to be trusted.
+    """
+    gap = F.transform(F.sequence(F.lit(1), F.lit(2)), lambda _: F.lit(255))
+    level = F.transform("field", lambda v: F.when(v > 0, 0).otherwise(255))
+    g = raw_crops(spark, sf).select("request_id", "true_font", "mode", "char", level.alias("px"))
+    whole = g.groupBy("request_id", "true_font", "mode").agg(
+        F.sort_array(F.collect_list(F.struct("char", "px"))).alias("g"))
+    row = lambda y: F.flatten(F.transform(
+        "g", lambda c, i: F.concat(F.when(i > 0, gap).otherwise(F.array().cast("array<int>")),
+                                   F.slice(c["px"], y * SIDE + 1, SIDE))))
+    px = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), row))
+    k = F.col("request_id")
+    text = F.when(k % 7 == 3, "abdce").when(k % 11 == 5, "abcd").when(k % 13 == 6, "-,.").otherwise("abcde")
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    w, h, zero = 40 + k % 9, F.lit(8), F.lit(0)
+    return whole.select(
+        F.col("true_font").alias("image_id"), F.col("request_id").cast("string").alias("line_id"),
+        F.col("mode").alias("line_no"), F.lit(SIDE).alias("height"), F.lit(5 * SIDE + 8).alias("width"),
+        px.alias("px"), text.alias("text"), ((k * 7 % 100) / 100.0).alias("score"),
+        F.array(corner(zero, zero), corner(w, zero), corner(w, h), corner(zero, h)).alias("box"))
+
+
+def bitmap_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Index features of the listed glyph bitmaps, as the automatic flow searches them."""
+    from typetrace.functions.bits import pack_words
+    from typetrace.operators.fields import build_index
+
+    rows = glyphs(spark, sf).join(listed_fonts(spark, sf), "font_id")
+    ink = F.transform("field", lambda v: (v > 0).cast("int"))
+    return build_index(rows.select("font_id", "char", pack_words(ink, WORDS).alias("bits")), SIDE, SIDE, cells=2)
