@@ -47,8 +47,7 @@ def text_free_search(spark, sf):
     """Whole-index search of every glyph bitmap by field and orientation with a shift search."""
     g = fx.raw_crops(spark, sf)
     from typetrace.functions.bits import pack_words
-    ink = F.transform("field", lambda v: (v > 0).cast("int"))
-    bitmaps = g.select("mark_id", pack_words(ink, fx.WORDS).alias("bits"))
+    bitmaps = g.select("mark_id", pack_words(fx.drawn("field"), fx.WORDS).alias("bits"))
     return A.text_free_search(bitmaps, _index(spark, sf), SHAPE).select(
         "mark_id", "rank", "font_id", "char", F.round("iou", 6).alias("iou"), F.round("score", 6).alias("score"))
 

@@ -295,6 +295,12 @@ thr AS (
              QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY v DESC, level) = 1) v USING (image_id))"""
 
 
+def drawn(field: str):
+    """Ink of a glyph as it is drawn in a line: its strong pixels on a full base row, so that
+    every glyph is one run of columns and ink stays the minority."""
+    return F.transform(field, lambda v, i: ((v > 0.06) | (i >= SIDE * (SIDE - 1))).cast("int"))
+
+
 def line_images(spark: SparkSession, sf: str) -> DataFrame:
     """One line image per font and mode: its five glyphs side by side with two blank columns.
 
@@ -302,7 +308,7 @@ def line_images(spark: SparkSession, sf: str) -> DataFrame:
     label too few, and some scores are too low to be trusted.
     """
     gap = F.transform(F.sequence(F.lit(1), F.lit(2)), lambda _: F.lit(255))
-    level = F.transform("field", lambda v: F.when(v > 0, 0).otherwise(255))
+    level = F.transform(drawn("field"), lambda v: 255 - v * 255)
     g = raw_crops(spark, sf).select("request_id", "true_font", "mode", "char", level.alias("px"))
     whole = g.groupBy("request_id", "true_font", "mode").agg(
         F.sort_array(F.collect_list(F.struct("char", "px"))).alias("g"))
@@ -327,5 +333,4 @@ def bitmap_index(spark: SparkSession, sf: str) -> DataFrame:
     from typetrace.operators.fields import build_index
 
     rows = glyphs(spark, sf).join(listed_fonts(spark, sf), "font_id")
-    ink = F.transform("field", lambda v: (v > 0).cast("int"))
-    return build_index(rows.select("font_id", "char", pack_words(ink, WORDS).alias("bits")), SIDE, SIDE, cells=2)
+    return build_index(rows.select("font_id", "char", pack_words(drawn("field"), WORDS).alias("bits")), SIDE, SIDE, cells=2)
