@@ -16,9 +16,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def glyphs(spark: SparkSession, sf: str) -> DataFrame:
+def glyph_rows(embeddings: DataFrame) -> DataFrame:
     """One 8 x 8 field per (font, character)."""
-    return table(spark, sf, "embeddings").select(
+    return embeddings.select(
         "vec_id",
         F.expr("vec_id div 5").alias("font_id"),
         F.expr("char(97 + vec_id % 5)").alias("char"),
@@ -26,6 +26,10 @@ def glyphs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def glyphs(spark: SparkSession, sf: str) -> DataFrame:
+    return glyph_rows(table(spark, sf, "embeddings"))
+
+
 def listed_fonts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").filter(F.col("p_size") <= LISTED_SIZE).select(
         F.col("p_partkey").alias("font_id")
@@ -42,10 +46,13 @@ def groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_crops(spark: SparkSession, sf: str) -> DataFrame:
+    return disturbed(glyphs(spark, sf), glyphs(spark, sf))
+
+
+def disturbed(base: DataFrame, others: DataFrame) -> DataFrame:
     """Every glyph in every mode: the glyph plus a multiple of another row's field."""
-    base = glyphs(spark, sf)
-    n = base.count()
-    other = base.select(F.col("vec_id").alias("other_id"), F.col("field").alias("other"))
+    n = others.count()
+    other = others.select(F.col("vec_id").alias("other_id"), F.col("field").alias("other"))
     modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(a).alias("alpha")) for m, a in MODES])
     return (
         base.withColumn("other_id", (F.col("vec_id") * 7 + 3) % n)

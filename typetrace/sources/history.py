@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from typetrace.schemas import HISTORY
 
 
-def history_rows(results: DataFrame, ts: str = "ts") -> DataFrame:
-    """``results(ts, chars, verdict, top, score)`` in the stored form."""
+def history_rows(results: DataFrame, ts: str = "ts", keep: list[str] | None = None) -> DataFrame:
+    """``results(ts, chars, verdict, top, score)`` in the stored form, and columns to ``keep``."""
     return results.select(
+        *(keep or []),
         F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("ts"), "chars", "verdict",
         F.coalesce("top", F.lit("")).alias("top"), F.col("score").cast("double").alias("score"),
     )
