@@ -54,6 +54,15 @@ def ink_of(gray: np.ndarray) -> np.ndarray | None:
     return ink if ink.any() else None
 
 
+def runs_of(ink: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of inked columns as (starts, ends, first rows, last rows)."""
+    full = np.concatenate([[0], ink.any(axis=0).astype(np.int8), [0]])
+    starts, ends = np.flatnonzero(np.diff(full) > 0), np.flatnonzero(np.diff(full) < 0)
+    first, last = ink.argmax(axis=0), len(ink) - 1 - ink[::-1].argmax(axis=0)
+    low, high = np.where(full[1:-1] > 0, first, len(ink)), np.where(full[1:-1] > 0, last, -1)
+    return starts, ends, np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+
+
 def trim(mask: np.ndarray) -> np.ndarray:
     """Cut away empty rows and columns around the ink."""
     ys, xs = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))

@@ -59,7 +59,10 @@ def image_outcome(n_free_votes: Column, n_marks: Column) -> Column:
 
 
 def with_ink(lines: DataFrame) -> DataFrame:
-    """Add the ink mask and the row extent of every column; lines without ink are dropped."""
+    """Add the ink mask and the runs of inked columns; lines without ink are dropped.
+
+    A line image is one row, so its column runs are found in place and no column is shuffled.
+    """
     keep = [f for f in lines.schema.fields]
     names = [f.name for f in keep]
 
@@ -69,27 +72,21 @@ def with_ink(lines: DataFrame) -> DataFrame:
             for row in pdf.itertuples(index=False):
                 ink = R.ink_of(R.as_image(row.px, row.height, row.width))
                 if ink is None:
-                    rows.append((None, None, None))
+                    rows.append((None,) * 5)
                     continue
-                full = ink.any(axis=0)
-                y0 = np.where(full, ink.argmax(axis=0), -1)
-                y1 = np.where(full, len(ink) - 1 - ink[::-1].argmax(axis=0), -1)
-                rows.append((ink.astype(np.uint8).tobytes(), y0, y1))
-            made = pd.DataFrame(rows, columns=["ink", "y0s", "y1s"], index=pdf.index)
+                rows.append((ink.astype(np.uint8).tobytes(), *R.runs_of(ink)))
+            made = pd.DataFrame(rows, columns=["ink", "x0", "x1", "y0", "y1"], index=pdf.index)
             yield pd.concat([pdf[names], made], axis=1)
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    out = lines.mapInPandas(run, ddl + ", ink binary, y0s array<bigint>, y1s array<bigint>")
+    runs = ", ".join(f"{c} array<bigint>" for c in ("x0", "x1", "y0", "y1"))
+    out = lines.mapInPandas(run, f"{ddl}, ink binary, {runs}")
     return out.filter(F.col("ink").isNotNull())
 
 
-def line_columns(inked: DataFrame) -> DataFrame:
-    """Inked columns of every line with the extent of their ink."""
-    return (
-        inked.select("line_id", F.posexplode(F.arrays_zip("y0s", "y1s")).alias("x", "c"))
-        .filter(F.col("c.y0s") >= 0)
-        .select("line_id", "x", F.col("c.y0s").alias("y0"), F.col("c.y1s").alias("y1"))
-    )
+def line_runs(inked: DataFrame) -> DataFrame:
+    """Runs of inked columns of every line, one row each."""
+    return inked.select("line_id", F.inline(F.arrays_zip("x0", "x1", "y0", "y1")))
 
 
 def _cut(inked: DataFrame, segs: DataFrame, extra: str, one) -> DataFrame:
@@ -98,7 +95,7 @@ def _cut(inked: DataFrame, segs: DataFrame, extra: str, one) -> DataFrame:
     lists = segs.groupBy("line_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("s"))
     lists = lists.select("line_id", *[F.col(f"s.{f}").alias(f"s_{f}") for f in fields])
     images = inked.select("line_id", "height", "width", "px", "ink").join(lists, "line_id")
-    types = {**dict(segs.dtypes), **dict(inked.dtypes)}
+    types = dict(segs.dtypes)
     schema = f"line_id {types['line_id']}, " + ", ".join(f"{f} {types[f]}" for f in fields) + f", {extra}"
 
     def run(batches):
@@ -186,9 +183,9 @@ def _mark_key(guided: bool) -> Column:
     return F.concat_ws("/", F.col("line_id").cast("string"), F.lit("g" if guided else "f"), F.col("seg_no").cast("string"))
 
 
-def free_votes(inked: DataFrame, columns: DataFrame, templates: DataFrame, shape: Shape) -> DataFrame:
+def free_votes(inked: DataFrame, templates: DataFrame, shape: Shape) -> DataFrame:
     """Votes of lines read without their text: merge fragments, split wide pieces, search each."""
-    pieces = G.split_wide(G.merge_fragments(G.column_runs(columns), inked.select("line_id", "width")))
+    pieces = G.split_wide(G.merge_fragments(line_runs(inked), inked.select("line_id", "width")))
     numbered = pieces.withColumn("seg_no", F.row_number().over(W.partitionBy("line_id").orderBy("x0", "part")) - 1)
     bitmaps = segment_bitmaps(inked, numbered.select("line_id", "seg_no", "x0", "x1"), shape.side)
     keyed = bitmaps.withColumn("mark_id", _mark_key(False))
@@ -207,9 +204,8 @@ def auto_match(lines: DataFrame, templates: DataFrame, groups: DataFrame, shape:
     """
     top = largest_lines(lines).drop("area", "box")
     inked = cut_lineage(with_ink(top))   # every branch below reads it
-    columns = line_columns(inked)
     widths = inked.select("line_id", "width")
-    kept = cut_lineage(G.number_segments(G.drop_narrow(G.long_enough(G.column_runs(columns), widths))))
+    kept = cut_lineage(G.number_segments(G.drop_narrow(G.long_enough(line_runs(inked), widths))))
     chars = inked.select("line_id", F.posexplode(T.line_chars(F.col("text"))).alias("seg_no", "char"))
     n_segs = kept.groupBy("line_id").agg(F.count("*").alias("n_segs"))
     plan = (
@@ -232,7 +228,7 @@ def auto_match(lines: DataFrame, templates: DataFrame, groups: DataFrame, shape:
 
     of_route = lambda df, r: df.join(
         cut_routes.filter(F.col("route") == r).select("line_id"), "line_id", "left_semi")
-    free = free_votes(of_route(inked, "free"), of_route(columns, "free"), templates, shape)
+    free = free_votes(of_route(inked, "free"), templates, shape)
     trusted = of_route(marks, "guided").join(cut_routes.select("line_id", "image_id", "line_rank"), "line_id")
     crops = cut_lineage(D.crop_features(
         D.normalise_crops(trusted.withColumnRenamed("image_id", "request_id"), shape.side),

@@ -270,14 +270,16 @@ SELECT mark_id, font_id, char, round(iou, 6) AS iou, round(score, 6) AS score,
 
 
 def _grid(spark, sf, **how):
-    found = search.search_grid(fx.crops(spark, sf), fx.templates(spark, sf), fx.WORDS, fx.SIDE, **how)
+    # Features are stored once; the search reads both tables more than once.
+    crops, index = search.cut_lineage(fx.crops(spark, sf)), search.cut_lineage(fx.templates(spark, sf))
+    found = search.search_grid(crops, index, fx.WORDS, fx.SIDE, **how)
     return found.select("mark_id", "font_id", "char", F.round("iou", 6).alias("iou"), F.round("score", 6).alias("score"), "rank")
 
 
 @query("J2 W4", _GRID)
 def grid_search(spark, sf):
     """Small bands, so that the pruning between bands has work to do."""
-    return _grid(spark, sf, templates_per_task=100)
+    return _grid(spark, sf, templates_per_task=200)
 
 
 @query("J2 W4", _GRID)

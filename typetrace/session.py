@@ -30,6 +30,15 @@ def build_session(app: str = "typetrace", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def spread_few_files(df: DataFrame, most: int = 64) -> DataFrame:
+    """Deal rows over the cores when a scan has fewer splits than cores and heavy work follows.
+
+    A table of many files is left as it is, so nothing is shuffled at scale.
+    """
+    want = min(df.sparkSession.sparkContext.defaultParallelism, most)
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and return the stored copy.
 
