@@ -17,6 +17,7 @@ def spark():
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "8g",
+            "spark.driver.host": "127.0.0.1",
             "spark.driver.bindAddress": "127.0.0.1",
         },
     )
