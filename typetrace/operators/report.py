@@ -19,18 +19,17 @@ def evidence(marks: DataFrame, tops: DataFrame, groups: DataFrame, fonts: DataFr
     )
 
 
-def request_report(verdicts: DataFrame, candidates: DataFrame, evidence_rows: DataFrame, fonts: DataFrame) -> DataFrame:
-    """Verdict, candidates with metadata and per-character evidence, nested per request.
+def request_report(verdicts: DataFrame, candidates: DataFrame, fonts: DataFrame) -> DataFrame:
+    """Verdict and nested candidates with metadata, at most ``top_k`` per request.
 
-    Candidates are at most ``top_k`` and evidence is one item per mark of the request.
+    The evidence of its marks stays a table of its own (``evidence``), because a request may
+    hold any number of marks.
     """
     item = F.struct("rank", F.col("group_id").alias("font_id"), "name", "license", "source_url",
                     F.round("score", 4).alias("score"), "votes")
     cands = with_metadata(candidates, fonts).groupBy("request_id").agg(
         F.sort_array(F.collect_list(item)).alias("candidates"))
-    per_char = evidence_rows.groupBy("request_id").agg(
-        F.sort_array(F.collect_list(F.struct("mark_id", "char", "top"))).alias("per_char"))
-    return verdicts.join(cands, "request_id", "left").join(per_char, "request_id", "left")
+    return verdicts.join(cands, "request_id", "left")
 
 
 def shares(tops: DataFrame, first: int = 3) -> DataFrame:

@@ -46,18 +46,26 @@ def coarse_candidates(
     n_words: int,
     k: int | None = S.COARSE_K,
     coarse: str = "popcount",
+    crops_per_part: int = 100_000,
+    fonts_per_part: int = 10_000,
 ) -> DataFrame:
-    """Best ``k`` fonts of the crop's own character by bitmap overlap. Reads no field column."""
+    """Best ``k`` fonts of the crop's own character by bitmap overlap. Reads no field column.
+
+    A hot character is joined in parts, so that it is not one task's work.
+    """
     q = crops.select("request_id", "mark_id", "char", "words", "pop")
     t = templates.select(
         "font_id", "char", F.col("words").alias("t_words"), F.col("pop").alias("t_pop")
     )
+    q, t = deal(q, t, "char", crops_per_part, fonts_per_part)
+    keys = ["char", "q_part", "t_part"]
+    q, t = q.drop("q_parts", "t_parts"), t.drop("q_parts", "t_parts")
     words, t_words = F.col("words"), F.col("t_words")
     if coarse == "byte_weighted":
         score = S.byte_weighted_overlap(words, t_words, n_words)
     else:
         score = S.iou_from_counts(S.overlap(words, t_words, n_words), F.col("pop"), F.col("t_pop"))
-    pairs = q.join(t, "char").select(
+    pairs = q.join(t, keys).select(
         "request_id", "mark_id", "char", "font_id", score.alias("iou")
     )
     return _first(pairs, ["mark_id"], [F.desc("iou"), F.asc("font_id")], k, "coarse_rank")
@@ -173,6 +181,9 @@ def deal(
         .join(templates.groupBy(key).agg(F.count("*").alias("n_t")), key)
         .select(key, parts("n_q", crops_per_task).alias("q_parts"), parts("n_t", fonts_per_task).alias("t_parts"))
     )
+    # One row per key of both sides. Keys are characters of the index or ink-count bands, so the
+    # table is bounded by the code points there are (a few megabytes) and not by the data.
+    load = F.broadcast(load)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     share = lambda n, *ids: F.pmod(F.xxhash64(*ids), F.col(n)).cast("int")
     q = (crops.join(load, key).withColumn("q_part", share("q_parts", "mark_id"))

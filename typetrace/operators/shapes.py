@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from typetrace.operators import segment as G
 from typetrace.session import cut_lineage
@@ -83,23 +83,30 @@ def bounding_rectangles(points: DataFrame) -> DataFrame:
     return points.groupBy("shape_id").agg(*_rectangle())
 
 
-def _next(c: str):
-    order = W.partitionBy("shape_id").orderBy("seq")
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return F.coalesce(F.lead(c).over(order), F.first(c).over(whole))
+def _edges(points: DataFrame) -> DataFrame:
+    """Each point with the one after it. Points are numbered without gaps, so the pairing is an
+    equi-join on shape and number, and a shape of very many points is spread over tasks."""
+    after = points.select("shape_id", (F.col("seq") - 1).alias("seq"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    return points.join(after, ["shape_id", "seq"], "left")
+
+
+def _ends():
+    """First and last point of a shape as aggregates."""
+    return (F.min_by(F.struct("x", "y"), "seq").alias("a"), F.max_by(F.struct("x", "y"), "seq").alias("z"))
 
 
 def polygon_areas(points: DataFrame) -> DataFrame:
     """Unsigned shoelace area, 0 below three points."""
-    cross = F.col("x") * F.col("ny") - F.col("nx") * F.col("y")
-    return points.withColumns({"nx": _next("x"), "ny": _next("y")}).groupBy("shape_id").agg(
-        F.when(F.count("*") >= 3, F.abs(F.sum(cross)) / 2).otherwise(0.0).alias("area"))
+    cross = F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y"))
+    sums = _edges(points).groupBy("shape_id").agg(F.count("*").alias("n"), cross.alias("open"), *_ends())
+    closing = F.col("z.x") * F.col("a.y") - F.col("a.x") * F.col("z.y")
+    area = F.when(F.col("n") >= 3, F.abs(F.col("open") + closing) / 2).otherwise(0.0)
+    return sums.select("shape_id", area.alias("area"))
 
 
 def polyline_lengths(points: DataFrame, closed: bool) -> DataFrame:
     """Length along the points, with the edge back to the first one when closed; 0 for one point."""
-    order = W.partitionBy("shape_id").orderBy("seq")
-    nx, ny = (_next("x"), _next("y")) if closed else (F.lead("x").over(order), F.lead("y").over(order))
     step = F.hypot(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))
-    return points.withColumns({"nx": nx, "ny": ny}).groupBy("shape_id").agg(
-        F.coalesce(F.sum(step), F.lit(0.0)).alias("length"))
+    sums = _edges(points).groupBy("shape_id").agg(F.coalesce(F.sum(step), F.lit(0.0)).alias("open"), *_ends())
+    back = F.hypot(F.col("a.x") - F.col("z.x"), F.col("a.y") - F.col("z.y")) if closed else F.lit(0.0)
+    return sums.select("shape_id", (F.col("open") + back).alias("length"))

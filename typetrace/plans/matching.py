@@ -167,23 +167,17 @@ def _meta(spark, sf):
 
 @query("C13 J3", _VOTE + """, cand_text AS (
   SELECT request_id, string_agg(group_id || ':' || p_name || ':' || p_brand || ':' || votes, ',' ORDER BY rank) AS candidates
-  FROM cands JOIN part ON p_partkey = group_id GROUP BY request_id),
-char_text AS (
-  SELECT request_id, string_agg(t.char || '=' || coalesce(s.group_id, t.font_id), ',' ORDER BY mark_id, rank) AS per_char
-  FROM tops t LEFT JOIN same s ON s.font_id = t.font_id GROUP BY request_id)
-SELECT r.request_id, coalesce(candidates, '') AS candidates, coalesce(per_char, '') AS per_char
-FROM (SELECT DISTINCT request_id FROM crop) r LEFT JOIN cand_text USING (request_id) LEFT JOIN char_text USING (request_id)""")
+  FROM cands JOIN part ON p_partkey = group_id GROUP BY request_id)
+SELECT r.request_id, coalesce(candidates, '') AS candidates, coalesce(best.verdict, 'unknown') AS verdict
+FROM (SELECT DISTINCT request_id FROM crop) r LEFT JOIN cand_text USING (request_id)
+LEFT JOIN (SELECT request_id, CASE WHEN score >= 0.9 THEN 'free' WHEN score >= 0.75 THEN 'suspect' ELSE 'risky' END AS verdict
+           FROM cands WHERE rank = 1) best USING (request_id)""")
 def request_reports(spark, sf):
-    crops, groups, meta = fx.crops(spark, sf), fx.groups(spark, sf), _meta(spark, sf)
-    tops = _tops(spark, sf)
-    cands = vote.rank_candidates(vote.rank_weighted_votes(tops, groups))
-    full = report.request_report(
-        vote.request_verdicts(crops, cands), cands, report.evidence(crops, tops, groups, meta), meta)
+    groups, meta = fx.groups(spark, sf), _meta(spark, sf)
+    cands = vote.rank_candidates(vote.rank_weighted_votes(_tops(spark, sf), groups))
+    full = report.request_report(vote.request_verdicts(fx.raw_crops(spark, sf), cands), cands, meta)
     cand = F.transform("candidates", lambda c: F.concat_ws(":", c["font_id"], c["name"], c["license"], c["votes"]))
-    per_char = F.flatten(F.transform("per_char", lambda m: F.transform(
-        m["top"], lambda t: F.concat(m["char"], F.lit("="), t["font_id"]))))
-    return full.select("request_id", F.coalesce(F.array_join(cand, ","), F.lit("")).alias("candidates"),
-                       F.coalesce(F.array_join(per_char, ","), F.lit("")).alias("per_char"))
+    return full.select("request_id", "verdict", F.coalesce(F.array_join(cand, ","), F.lit("")).alias("candidates"))
 
 
 @query("W11", _SEARCH + """

@@ -8,6 +8,7 @@ from typetrace.functions import bits, noise
 from typetrace.operators import fields as D, perturb, segment as G, shapes as H
 from typetrace.plans import fixtures as fx
 from typetrace.plans.registry import query
+from typetrace.sources.images import from_base64
 
 _PX = fx.with_views("pixels")
 
@@ -37,6 +38,15 @@ def nearest_resize(spark, sf):
     return _text(D.resize_bitmaps(_bitmaps(spark, sf), fx.SIDE, 5))
 
 
+@query("S4", _PX + """
+SELECT image_id, string_agg(printf('%02X', level), '' ORDER BY y, x) AS px FROM px GROUP BY image_id""")
+def payload_pixels(spark, sf):
+    """Images that arrive as base64 text of their raw levels."""
+    digits = F.transform("px", lambda p: F.lpad(F.hex(p), 2, "0"))
+    sent = fx.glyph_images(spark, sf).select("image_id", F.base64(F.unhex(F.array_join(digits, ""))).alias("payload"))
+    return sent.select("image_id", F.hex(from_base64(F.col("payload"))).alias("px"))
+
+
 _COEF = """
 taps AS (
   SELECT n_in, n_out, o, i, greatest(1 - abs(i + 0.5::DOUBLE - (o + 0.5::DOUBLE) * n_in / n_out) / greatest(n_in / n_out, 1), 0) AS w

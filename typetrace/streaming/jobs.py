@@ -33,7 +33,8 @@ def continuous_matching(
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         cands = vote.rank_candidates(vote.rank_weighted_votes(match(batch), groups))
         verdicts = vote.request_verdicts(batch, cands)
-        chars = batch.groupBy("request_id").agg(F.sort_array(F.collect_list("char")).alias("chars"))
+        # Distinct characters, so the list is bounded by the character set.
+        chars = batch.groupBy("request_id").agg(F.sort_array(F.collect_set("char")).alias("chars"))
         rows = verdicts.join(chars, "request_id").select(
             "request_id", F.current_timestamp().alias("ts"), "chars", "verdict",
             F.col("best_font").cast("string").alias("top"), F.col("confidence").alias("score"))
