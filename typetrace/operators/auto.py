@@ -35,11 +35,11 @@ class Shape:
         return self.index_side ** 2 // 64
 
 
-def largest_lines(lines: DataFrame, image: str = "image_id", top: int = MAX_LINES) -> DataFrame:
-    """The ``top`` lines of each image by box area, earlier lines first on ties."""
+def largest_lines(lines: DataFrame, image: str = "image_id", top: int | None = MAX_LINES) -> DataFrame:
+    """The ``top`` lines of each image by box area (all for None), earlier lines first on ties."""
     w = W.partitionBy(image).orderBy(F.desc("area"), F.asc("line_no"))
-    sized = lines.withColumn("area", B.corner_area(F.col("box")))
-    return sized.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    sized = lines.withColumn("area", B.corner_area(F.col("box"))).withColumn("rank", F.row_number().over(w))
+    return sized if top is None else sized.filter(F.col("rank") <= top)
 
 
 def line_route(score: Column, n_chars: Column, n_segs: Column, labels_agree: Column) -> Column:
@@ -196,21 +196,28 @@ def free_votes(inked: DataFrame, templates: DataFrame, shape: Shape) -> DataFram
         "font_id", "char", "score")
 
 
-def auto_match(lines: DataFrame, templates: DataFrame, groups: DataFrame, shape: Shape = Shape()) -> dict[str, DataFrame]:
+def auto_match(
+    lines: DataFrame,
+    templates: DataFrame,
+    groups: DataFrame,
+    shape: Shape = Shape(),
+    max_lines: int | None = MAX_LINES,
+    max_chars: int | None = T.MAX_LINE_CHARS,
+) -> dict[str, DataFrame]:
     """Outcome of every image over its largest lines: ``lines`` with routes, ``votes`` and ``images``.
 
     ``line_id`` is text without a slash. A line with score 0 is always read without its text,
     which is also how an image in which no line was detected is passed in.
     """
-    top = largest_lines(lines).drop("area", "box")
+    top = largest_lines(lines, top=max_lines).drop("area", "box")
     inked = cut_lineage(with_ink(top))   # every branch below reads it
     widths = inked.select("line_id", "width")
     kept = cut_lineage(G.number_segments(G.drop_narrow(G.long_enough(line_runs(inked), widths))))
-    chars = inked.select("line_id", F.posexplode(T.line_chars(F.col("text"))).alias("seg_no", "char"))
+    chars = inked.select("line_id", F.posexplode(T.line_chars(F.col("text"), max_chars)).alias("seg_no", "char"))
     n_segs = kept.groupBy("line_id").agg(F.count("*").alias("n_segs"))
     plan = (
         inked.select("image_id", "line_id", F.col("rank").alias("line_rank"), "score",
-                     F.size(T.line_chars(F.col("text"))).alias("n_chars"))
+                     F.size(T.line_chars(F.col("text"), max_chars)).alias("n_chars"))
         .join(n_segs, "line_id", "left").fillna(0, ["n_segs"])
     )
 

@@ -42,7 +42,44 @@ def line_label_checks(spark, sf):
     return A.auto_match(fx.line_images(spark, sf), _index(spark, sf), fx.groups(spark, sf), SHAPE)["lines"]
 
 
-@query("C7")
+_C7 = fx.with_views("glyphs", "features") + """,
+bm AS (SELECT 'q' AS k, mark_id AS id, field FROM crop UNION ALL SELECT 't', font_id * 5 + ascii(char) - 97, field FROM tpl),
+px AS (SELECT k, id, i // 8 AS y, i % 8 AS x, (field[i + 1] > 0.06::DOUBLE OR i >= 56)::INT AS ink FROM bm, range(0, 64) r(i)),
+w AS (SELECT k, id, sum(CASE WHEN ink = 1 THEN 1::HUGEINT << (63 - y * 8 - x)::INT ELSE 0 END)::HUGEINT AS w FROM px GROUP BY k, id),
+d AS (SELECT a.k, a.id, a.y, a.x,
+        sqrt(min(CASE WHEN b.ink = 1 THEN (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) END))
+        - sqrt(min(CASE WHEN b.ink = 0 THEN (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) END)) AS f
+      FROM px a JOIN px b ON a.k = b.k AND a.id = b.id GROUP BY a.k, a.id, a.y, a.x),
+sdf AS (SELECT k, id, y, x, f / stddev_pop(f) OVER (PARTITION BY k, id) AS v FROM d),
+qf AS (SELECT id, list(v - m ORDER BY y, x) AS f FROM (SELECT *, avg(v) OVER (PARTITION BY k, id) AS m FROM sdf WHERE k = 'q') GROUP BY id),
+moved AS (SELECT g.id, dy, dx, list(coalesce(s.v, 0) ORDER BY g.y, g.x) AS f, sum(coalesce(s.v, 0)) AS t
+          FROM (SELECT * FROM px, range(-2, 3) u(dy), range(-2, 3) v(dx) WHERE k = 't') g
+          LEFT JOIN sdf s ON s.k = 't' AND s.id = g.id AND s.y = g.y - dy AND s.x = g.x - dx GROUP BY g.id, dy, dx),
+gr AS (SELECT p.k, p.id, p.y, p.x,
+        CASE p.x WHEN 0 THEN r.ink - p.ink WHEN 7 THEN p.ink - l.ink ELSE (r.ink - l.ink) / 2 END::DOUBLE AS gx,
+        CASE p.y WHEN 0 THEN n.ink - p.ink WHEN 7 THEN p.ink - u.ink ELSE (n.ink - u.ink) / 2 END::DOUBLE AS gy
+      FROM px p LEFT JOIN px l ON l.k = p.k AND l.id = p.id AND l.y = p.y AND l.x = p.x - 1
+      LEFT JOIN px r ON r.k = p.k AND r.id = p.id AND r.y = p.y AND r.x = p.x + 1
+      LEFT JOIN px u ON u.k = p.k AND u.id = p.id AND u.x = p.x AND u.y = p.y - 1
+      LEFT JOIN px n ON n.k = p.k AND n.id = p.id AND n.x = p.x AND n.y = p.y + 1),
+bins AS (SELECT k, id, (y // 4 * 2 + x // 4) * 8
+        + least(trunc(((atan2(gy, gx)::FLOAT + pi()::FLOAT)::FLOAT % pi()::FLOAT)::FLOAT / (pi() / 8)::FLOAT), 7)::BIGINT AS pos,
+        sqrt(gx * gx + gy * gy) AS m FROM gr),
+hist AS (SELECT b.k, b.id, r.pos, coalesce(sum(m) FILTER (b.pos = r.pos), 0) AS m FROM bins b, range(0, 32) r(pos) GROUP BY b.k, b.id, r.pos),
+hv AS (SELECT k, id, list(m ORDER BY pos) AS h FROM hist GROUP BY k, id),
+coarse AS (SELECT q.id AS mark_id, t.id, bit_count(q.w & t.w) / bit_count(q.w | t.w) AS iou FROM w q JOIN w t ON q.k = 'q' AND t.k = 't'
+           QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY bit_count(q.w & t.w) / bit_count(q.w | t.w) DESC, t.id) <= 10),
+ncc AS (SELECT mark_id, c.id, iou, greatest(max(list_dot_product(q.f, m.f)
+          / sqrt(list_dot_product(q.f, q.f) * (list_dot_product(m.f, m.f) - m.t * m.t / 64))), 0) AS ncc
+        FROM coarse c JOIN qf q ON q.id = mark_id JOIN moved m ON m.id = c.id GROUP BY mark_id, c.id, iou),
+fused AS (SELECT mark_id, n.id, iou, 0.65 * least(ncc, 1) + 0.35 * least(list_dot_product(a.h, b.h)
+            / sqrt(list_dot_product(a.h, a.h) * list_dot_product(b.h, b.h)), 1) AS score
+          FROM ncc n JOIN hv a ON a.k = 'q' AND a.id = mark_id JOIN hv b ON b.k = 't' AND b.id = n.id)
+SELECT mark_id, row_number() OVER (PARTITION BY mark_id ORDER BY round(score, 9) DESC, id) - 1 AS rank, id // 5 AS font_id,
+       chr((97 + id % 5)::INT) AS char, round(iou, 6) AS iou, round(score, 6) AS score FROM fused"""
+
+
+@query("C7", _C7)
 def text_free_search(spark, sf):
     """Whole-index search of every glyph bitmap by field and orientation with a shift search."""
     g = fx.raw_crops(spark, sf)

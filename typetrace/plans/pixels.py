@@ -294,6 +294,24 @@ def background_crops(spark, sf):
     return _joined(perturb.evaluation_set(_glyph_table(spark, sf), ("background",)))
 
 
-@query("T4 T5")
+@query("T4 T5", _PX + f""",
+ink AS (SELECT image_id, y, x, ink * 255 AS level FROM px),
+amount AS (SELECT DISTINCT image_id, greatest(8, floor(8 * (0.5 + {_uniform('image_id * 1048576 + 524288')} * 1.5)))::BIGINT AS n_out,
+             0.5 + {_uniform('image_id * 1048576 + 524289')} AS sigma FROM px),
+sizes AS (SELECT DISTINCT 8::BIGINT AS n_in, n_out FROM amount),""" + _COEF + """,
+sh AS (SELECT image_id, y, n_out, o AS x, least(greatest(floor((sum(level * k) + 2097152) / 4194304), 0), 255) AS v
+       FROM ink JOIN amount USING (image_id) JOIN coef USING (n_out) WHERE i = x GROUP BY ALL),
+sv AS (SELECT image_id, n_out, o AS y, x, least(greatest(floor((sum(v * k) + 2097152) / 4194304), 0), 255)::INT AS v
+       FROM sh JOIN coef USING (n_out) WHERE i = y GROUP BY image_id, n_out, o, x),
+kern AS (SELECT image_id, d, exp(-0.5 * (d / sigma) ** 2) / sum(exp(-0.5 * (d / sigma) ** 2)) OVER (PARTITION BY image_id) AS k
+         FROM amount, range(-5, 6) r(d) WHERE abs(d) <= greatest(1, ceil(3 * sigma))),
+wt AS (SELECT image_id, o, least(greatest(o + d, 0), 7) AS i, sum(k) AS w FROM kern, range(0, 8) r(o) GROUP BY ALL),
+bh AS (SELECT image_id, y, o AS x, sum(level * w) AS v FROM ink JOIN wt USING (image_id) WHERE i = x GROUP BY image_id, y, o),
+bv AS (SELECT image_id, o AS y, x, least(greatest(floor(sum(v * w) + 1e-9), 0), 255)::INT AS v
+       FROM bh JOIN wt USING (image_id) WHERE i = y GROUP BY image_id, o, x)
+SELECT image_id AS glyph_id, 'scale' AS mode, n_out AS side, string_agg(v, ' ' ORDER BY y, x) AS px FROM sv GROUP BY image_id, n_out
+UNION ALL SELECT image_id, 'blur', 8, string_agg(v, ' ' ORDER BY y, x) FROM bv GROUP BY image_id""")
 def resampled_crops(spark, sf):
-    return perturb.evaluation_set(_glyph_table(spark, sf), ("scale", "blur"))
+    made = perturb.evaluation_set(_glyph_table(spark, sf), ("scale", "blur"))
+    return made.select("glyph_id", "mode", F.col("height").cast("bigint").alias("side"),
+                       F.array_join(F.col("px").cast("array<string>"), " ").alias("px"))
