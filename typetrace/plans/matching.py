@@ -13,12 +13,13 @@ _SEARCH = fx.with_views("glyphs", "features", "search")
 _VOTE = fx.with_views("glyphs", "features", "search", "vote")
 
 
-def _tops(spark, sf):
-    return search.match_marks(fx.crops(spark, sf), fx.templates(spark, sf), fx.WORDS, fx.SIDE)
+def _tops(spark, sf, crops=None):
+    crops = fx.crops(spark, sf) if crops is None else crops
+    return search.match_marks(crops, fx.templates(spark, sf), fx.WORDS, fx.SIDE)
 
 
-def _candidates(spark, sf):
-    return vote.rank_candidates(vote.rank_weighted_votes(_tops(spark, sf), fx.groups(spark, sf)))
+def _candidates(spark, sf, crops=None):
+    return vote.rank_candidates(vote.rank_weighted_votes(_tops(spark, sf, crops), fx.groups(spark, sf)))
 
 
 @query("C10 P9 P10", _VOTE + """
@@ -29,7 +30,8 @@ SELECT r.request_id,
 FROM (SELECT DISTINCT request_id FROM crop) r
 LEFT JOIN cands c ON c.request_id = r.request_id AND c.rank = 1""")
 def match_requests(spark, sf):
-    return vote.request_verdicts(fx.raw_crops(spark, sf), _candidates(spark, sf))
+    crops = fx.crops(spark, sf)
+    return vote.request_verdicts(crops, _candidates(spark, sf, crops))
 
 
 @query("C9 J1 W1 W2 A11 A12 A13", _SEARCH + """
@@ -173,9 +175,9 @@ FROM (SELECT DISTINCT request_id FROM crop) r LEFT JOIN cand_text USING (request
 LEFT JOIN (SELECT request_id, CASE WHEN score >= 0.9 THEN 'free' WHEN score >= 0.75 THEN 'suspect' ELSE 'risky' END AS verdict
            FROM cands WHERE rank = 1) best USING (request_id)""")
 def request_reports(spark, sf):
-    groups, meta = fx.groups(spark, sf), _meta(spark, sf)
-    cands = vote.rank_candidates(vote.rank_weighted_votes(_tops(spark, sf), groups))
-    full = report.request_report(vote.request_verdicts(fx.raw_crops(spark, sf), cands), cands, meta)
+    crops, meta = fx.crops(spark, sf), _meta(spark, sf)
+    cands = _candidates(spark, sf, crops)
+    full = report.request_report(vote.request_verdicts(crops, cands), cands, meta)
     cand = F.transform("candidates", lambda c: F.concat_ws(":", c["font_id"], c["name"], c["license"], c["votes"]))
     return full.select("request_id", "verdict", F.coalesce(F.array_join(cand, ","), F.lit("")).alias("candidates"))
 
@@ -192,9 +194,10 @@ SELECT t.request_id, t.mark_id, t.char, coalesce(s.group_id, t.font_id) AS group
 FROM tops t LEFT JOIN same s ON s.font_id = t.font_id JOIN cands c ON c.request_id = t.request_id AND c.rank = 1
 WHERE t.rank = 0 AND coalesce(s.group_id, t.font_id) <> c.group_id""")
 def disagreeing_marks(spark, sf):
-    tops, groups = _tops(spark, sf), fx.groups(spark, sf)
+    crops, groups = fx.crops(spark, sf), fx.groups(spark, sf)
+    tops = _tops(spark, sf, crops)
     cands = vote.rank_candidates(vote.rank_weighted_votes(tops, groups))
-    return report.disagreements(fx.raw_crops(spark, sf), tops, cands, groups).select(
+    return report.disagreements(crops, tops, cands, groups).select(
         "request_id", "mark_id", "char", "group_id", "winner")
 
 
@@ -217,8 +220,9 @@ hit AS (SELECT request_id, true_font, mode, coalesce(a, 0) AS top1, coalesce(b,
 
 
 def _hits(spark, sf):
-    truth = fx.raw_crops(spark, sf).select("request_id", "true_font", "mode").distinct()
-    return evaluate.request_hits(truth, _candidates(spark, sf), fx.groups(spark, sf))
+    crops = fx.crops(spark, sf)
+    truth = crops.select("request_id", "true_font", "mode").distinct()
+    return evaluate.request_hits(truth, _candidates(spark, sf, crops), fx.groups(spark, sf))
 
 
 @query("A14", _HITS + """
