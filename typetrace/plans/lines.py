@@ -117,12 +117,51 @@ def missing_segments_split(spark, sf):
     )
 
 
-@query("C1")
+_MERGED = "WITH RECURSIVE " + fx.SQL["columns"].removeprefix("WITH ") + """,
+flagged AS (SELECT *, x1 - x0 >= 5 OR x1 = width AS counts FROM runs),
+placed AS (SELECT *, count(*) FILTER (counts) OVER (PARTITION BY line_id ORDER BY x0) + (NOT counts)::INT AS i FROM flagged),
+seg AS MATERIALIZED (
+  SELECT line_id, i, max(x0) FILTER (counts) AS x0, max(x1) FILTER (counts) AS x1, max(y0) FILTER (counts) AS y0, max(y1) FILTER (counts) AS y1,
+         min(y0) FILTER (NOT counts) AS gy0, max(y1) FILTER (NOT counts) AS gy1
+  FROM placed GROUP BY line_id, i HAVING count(*) FILTER (counts) > 0),
+fold AS (
+  SELECT line_id, i, NULL::BIGINT AS d0, NULL::BIGINT AS d1, x0, x1, y0, y1, NULL::BIGINT AS o0, NULL::BIGINT AS o1 FROM seg WHERE i = 1
+  UNION ALL
+  SELECT line_id, ni, CASE WHEN turn = 'keep' THEN x0 ELSE d0 END,
+         CASE WHEN turn = 'right' THEN d1 ELSE x1 END,
+         CASE WHEN turn = 'right' THEN x0 ELSE n0 END, n1,
+         CASE WHEN turn = 'right' THEN least(y0, m0, gy0) ELSE m0 END, CASE WHEN turn = 'right' THEN greatest(y1, m1, gy1) ELSE m1 END,
+         CASE WHEN turn = 'keep' THEN d0 END, CASE WHEN turn = 'keep' THEN d1 END
+  FROM (SELECT f.*, n.x0 AS n0, n.x1 AS n1, n.y0 AS m0, n.y1 AS m1, n.gy0, n.gy1, n.i AS ni,
+               CASE WHEN (f.x1 - f.x0) / (f.y1 - f.y0 + 1) >= 0.5 THEN 'keep'
+                    WHEN f.d1 IS NULL OR n.x0 - f.x1 <= f.x0 - f.d1 THEN 'right' ELSE 'left' END AS turn
+        FROM fold f JOIN seg n ON n.line_id = f.line_id AND n.i = f.i + 1)),
+ends AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY i DESC) = 1),
+parts AS (
+  SELECT line_id, o0 AS x0, o1 AS x1 FROM fold WHERE o0 IS NOT NULL
+  UNION ALL SELECT line_id, d0, CASE WHEN (x1 - x0) / (y1 - y0 + 1) < 0.5 THEN x1 ELSE d1 END FROM ends WHERE d0 IS NOT NULL
+  UNION ALL SELECT line_id, x0, x1 FROM ends WHERE d0 IS NULL OR (x1 - x0) / (y1 - y0 + 1) >= 0.5)
+SELECT p.line_id, p.x0, p.x1, min(r.y0) AS y0, max(r.y1) AS y1
+FROM parts p JOIN runs r ON r.line_id = p.line_id AND r.x0 >= p.x0 AND r.x1 <= p.x1 GROUP BY ALL"""
+
+
+@query("C1", _MERGED)
 def fragments_merged(spark, sf):
     return G.merge_fragments(_runs(spark, sf), fx.text_lines(spark, sf))
 
 
-@query("C4")
+_CLOSEST = "WITH RECURSIVE " + fx.SQL["columns"] + """,
+start AS (SELECT line_id, list(x0 ORDER BY x0) AS a, list(x1 ORDER BY x0) AS b, ceil(count(*) / 2) AS n FROM segs GROUP BY line_id),
+fold AS (
+  SELECT line_id, a, b, n FROM start
+  UNION ALL
+  SELECT line_id, a[:k] || a[k + 2:], b[:k - 1] || b[k + 1:], n
+  FROM (SELECT *, list_position(spans, list_min(spans)) AS k
+        FROM (SELECT *, list_transform(range(1, len(a)), lambda i: b[i + 1] - a[i]) AS spans FROM fold WHERE len(a) > n)))
+SELECT line_id, unnest(a) AS x0, unnest(b) AS x1 FROM fold WHERE len(a) = n"""
+
+
+@query("C4", _CLOSEST)
 def surplus_segments_merged(spark, sf):
     """Half of the segments of every line, rounded up, as if OCR had read that many characters."""
     segs = _segments(spark, sf)
