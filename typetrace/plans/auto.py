@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from typetrace.functions import text as T
 from typetrace.operators import auto as A, fields as D, search
 from typetrace.plans import fixtures as fx
+from typetrace.plans.lines import _FOLD
+from typetrace.plans.pixels import _COEF
 from typetrace.plans.registry import query
 from typetrace.session import cut_lineage
 from typetrace.sources import lines as L
@@ -42,10 +44,8 @@ def line_label_checks(spark, sf):
     return A.auto_match(fx.line_images(spark, sf), _index(spark, sf), fx.groups(spark, sf), SHAPE)["lines"]
 
 
-_C7 = fx.with_views("glyphs", "features") + """,
-bm AS (SELECT 'q' AS k, mark_id AS id, field FROM crop UNION ALL SELECT 't', font_id * 5 + ascii(char) - 97, field FROM tpl),
-px AS (SELECT k, id, i // 8 AS y, i % 8 AS x, (field[i + 1] > 0.06::DOUBLE OR i >= 56)::INT AS ink FROM bm, range(0, 64) r(i)),
-w AS (SELECT k, id, sum(CASE WHEN ink = 1 THEN 1::HUGEINT << (63 - y * 8 - x)::INT ELSE 0 END)::HUGEINT AS w FROM px GROUP BY k, id),
+# Search of query bitmaps over template bitmaps given as px(k, id, y, x, ink), k being 'q' or 't'.
+_BITMAP_SEARCH = """w AS (SELECT k, id, sum(CASE WHEN ink = 1 THEN 1::HUGEINT << (63 - y * 8 - x)::INT ELSE 0 END)::HUGEINT AS w FROM px GROUP BY k, id),
 d AS (SELECT a.k, a.id, a.y, a.x,
         sqrt(min(CASE WHEN b.ink = 1 THEN (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) END))
         - sqrt(min(CASE WHEN b.ink = 0 THEN (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) END)) AS f
@@ -74,11 +74,58 @@ ncc AS (SELECT mark_id, c.id, iou, greatest(max(list_dot_product(q.f, m.f)
         FROM coarse c JOIN qf q ON q.id = mark_id JOIN moved m ON m.id = c.id GROUP BY mark_id, c.id, iou),
 fused AS (SELECT mark_id, n.id, iou, 0.65 * least(ncc, 1) + 0.35 * least(list_dot_product(a.h, b.h)
             / sqrt(list_dot_product(a.h, a.h) * list_dot_product(b.h, b.h)), 1) AS score
-          FROM ncc n JOIN hv a ON a.k = 'q' AND a.id = mark_id JOIN hv b ON b.k = 't' AND b.id = n.id)
+          FROM ncc n JOIN hv a ON a.k = 'q' AND a.id = mark_id JOIN hv b ON b.k = 't' AND b.id = n.id)"""
+
+_DRAWN = """bm AS (SELECT 'q' AS k, mark_id AS id, field FROM crop UNION ALL SELECT 't', font_id * 5 + ascii(char) - 97, field FROM tpl),
+drawn AS (SELECT k, id, i // 8 AS y, i % 8 AS x, (field[i + 1] > 0.06::DOUBLE OR i >= 56)::INT AS ink FROM bm, range(0, 64) r(i)),
+"""
+
+_C7 = fx.with_views("glyphs", "features") + "," + _DRAWN + "px AS (SELECT * FROM drawn),\n" + _BITMAP_SEARCH + """
 SELECT mark_id, row_number() OVER (PARTITION BY mark_id ORDER BY round(score, 9) DESC, id) - 1 AS rank, id // 5 AS font_id,
        chr((97 + id % 5)::INT) AS char, round(iou, 6) AS iou, round(score, 6) AS score FROM fused"""
 
 
+# Line images side by side from their glyphs, cut into segments, fitted, searched and voted on.
+_UNDETECTED = fx.with_views("glyphs", "features").replace("WITH ", "WITH RECURSIVE ", 1) + "," + _DRAWN + """
+dark AS (SELECT c.request_id AS line_id, d.y, d.x + 10 * (ascii(c.char) - 97) AS x, d.ink
+         FROM drawn d JOIN crop c ON d.k = 'q' AND c.mark_id = d.id
+         UNION ALL SELECT DISTINCT c.request_id, y, 10 * g + 8 + s, 0 FROM crop c, range(0, 8) a(y), range(0, 4) b(g), range(0, 2) e(s)),
+img AS (SELECT line_id, y, x, CASE WHEN 2 * sum(ink) OVER (PARTITION BY line_id) <= 384 THEN ink ELSE 1 - ink END AS ink FROM dark),
+cols AS (SELECT line_id, x, min(y) AS y0, max(y) AS y1, 48::BIGINT AS width FROM img WHERE ink = 1 GROUP BY line_id, x),
+runs AS (SELECT line_id, width, min(x) AS x0, max(x) + 1 AS x1, min(y0) AS y0, max(y1) AS y1
+         FROM (SELECT *, x - row_number() OVER (PARTITION BY line_id ORDER BY x) AS isle FROM cols) GROUP BY line_id, width, isle),
+""" + _FOLD + """,
+whole AS (SELECT p.line_id, p.x0, p.x1, max(r.y1) - min(r.y0) + 1 AS h
+          FROM parts p JOIN runs r ON r.line_id = p.line_id AND r.x0 >= p.x0 AND r.x1 <= p.x1 GROUP BY ALL),
+cut AS (SELECT line_id, x0 + (x1 - x0) * i // n AS x0, x0 + (x1 - x0) * (i + 1) // n AS x1
+        FROM (SELECT *, greatest(ceil((x1 - x0) / greatest(h * 1.35::DOUBLE, 1)), 1)::BIGINT AS n FROM whole), range(0, n) r(i)),
+box AS (SELECT c.line_id, c.x0, x1 - c.x0 AS w, min(y) AS y0, max(y) - min(y) + 1 AS h,
+               row_number() OVER (PARTITION BY c.line_id ORDER BY c.x0) AS seg_no
+        FROM cut c JOIN img m ON m.line_id = c.line_id AND m.ink = 1 AND m.x >= c.x0 AND m.x < c.x1 GROUP BY c.line_id, c.x0, x1),
+fit AS (SELECT *, line_id * 100 + seg_no AS id, greatest(round_even(h * least(8 / h, 8 / w), 0), 1)::BIGINT AS nh,
+               greatest(round_even(w * least(8 / h, 8 / w), 0), 1)::BIGINT AS nw FROM box),
+sizes AS (SELECT h AS n_in, nh AS n_out FROM fit UNION SELECT w, nw FROM fit),""" + _COEF + """,
+hp AS (SELECT f.id, m.y - f.y0 AS y, o AS x, nh, nw, h, least(greatest(floor((sum(ink * 255 * k) + 2097152) / 4194304), 0), 255) AS v
+       FROM fit f JOIN img m ON m.line_id = f.line_id AND m.x >= f.x0 AND m.x < f.x0 + f.w AND m.y >= f.y0 AND m.y < f.y0 + f.h
+       JOIN coef ON n_in = w AND n_out = nw AND i = m.x - f.x0 GROUP BY ALL),
+vp AS (SELECT id, o + (8 - nh) // 2 AS y, x + (8 - nw) // 2 AS x, (floor((sum(v * k) + 2097152) / 4194304) > 32)::INT AS ink
+       FROM hp JOIN coef ON n_in = h AND n_out = nh AND i = y GROUP BY id, o, x, nh, nw),
+px AS (SELECT * FROM drawn WHERE k = 't'
+       UNION ALL SELECT 'q', f.id, y, x, coalesce(ink, 0) FROM (SELECT fit.id, y, x FROM fit, range(0, 8) a(y), range(0, 8) b(x)) f
+       LEFT JOIN vp USING (id, y, x)),
+""" + _BITMAP_SEARCH + """,
+seen AS (SELECT mark_id // 100 AS request_id, id // 5 AS font_id, score FROM fused
+         QUALIFY row_number() OVER (PARTITION BY mark_id ORDER BY round(score, 9) DESC, id) = 1 AND score >= 0.6),
+same(font_id, group_id) AS (VALUES (0, 0), (1, 0), (2, 2), (3, 2)),
+counted AS (SELECT request_id, coalesce(group_id, s.font_id) AS group_id, avg(score) AS score, count(*) AS votes
+            FROM seen s LEFT JOIN same USING (font_id) GROUP BY ALL),
+best AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY votes DESC, score DESC, group_id) = 1)
+SELECT r.request_id AS image_id, CASE WHEN score IS NULL THEN 'none' ELSE 'mixed' END AS outcome,
+       CASE WHEN score IS NULL THEN 'unknown' WHEN score >= 0.9 THEN 'free' WHEN score >= 0.75 THEN 'suspect' ELSE 'risky' END AS verdict,
+       round(coalesce(score, 0), 6) AS confidence, group_id AS best_font, coalesce(votes, 0) AS votes
+FROM (SELECT DISTINCT request_id FROM crop) r LEFT JOIN best USING (request_id)"""
+
+
 @query("C7", _C7)
 def text_free_search(spark, sf):
     """Whole-index search of every glyph bitmap by field and orientation with a shift search."""
@@ -95,7 +142,7 @@ def auto_verdicts(spark, sf):
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
-@query("C8 C12")
+@query("C8 C12", _UNDETECTED)
 def undetected_image_verdicts(spark, sf):
     """Every line image on its own, as if nothing had been detected in it."""
     images = fx.line_images(spark, sf).select(

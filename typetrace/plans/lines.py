@@ -117,8 +117,7 @@ def missing_segments_split(spark, sf):
     )
 
 
-_MERGED = "WITH RECURSIVE " + fx.SQL["columns"].removeprefix("WITH ") + """,
-flagged AS (SELECT *, x1 - x0 >= 5 OR x1 = width AS counts FROM runs),
+_FOLD = """flagged AS (SELECT *, x1 - x0 >= 5 OR x1 = width AS counts FROM runs),
 placed AS (SELECT *, count(*) FILTER (counts) OVER (PARTITION BY line_id ORDER BY x0) + (NOT counts)::INT AS i FROM flagged),
 seg AS MATERIALIZED (
   SELECT line_id, i, max(x0) FILTER (counts) AS x0, max(x1) FILTER (counts) AS x1, max(y0) FILTER (counts) AS y0, max(y1) FILTER (counts) AS y1,
@@ -140,7 +139,9 @@ ends AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY line_id ORDE
 parts AS (
   SELECT line_id, o0 AS x0, o1 AS x1 FROM fold WHERE o0 IS NOT NULL
   UNION ALL SELECT line_id, d0, CASE WHEN (x1 - x0) / (y1 - y0 + 1) < 0.5 THEN x1 ELSE d1 END FROM ends WHERE d0 IS NOT NULL
-  UNION ALL SELECT line_id, x0, x1 FROM ends WHERE d0 IS NULL OR (x1 - x0) / (y1 - y0 + 1) >= 0.5)
+  UNION ALL SELECT line_id, x0, x1 FROM ends WHERE d0 IS NULL OR (x1 - x0) / (y1 - y0 + 1) >= 0.5)"""
+
+_MERGED = "WITH RECURSIVE " + fx.SQL["columns"] + ",\n" + _FOLD + """
 SELECT p.line_id, p.x0, p.x1, min(r.y0) AS y0, max(r.y1) AS y1
 FROM parts p JOIN runs r ON r.line_id = p.line_id AND r.x0 >= p.x0 AND r.x1 <= p.x1 GROUP BY ALL"""
 
