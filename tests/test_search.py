@@ -84,6 +84,10 @@ def test_full_size_search_equals_brute_force(spark):
     got = {(r.mark_id, r.font_id): r.score
            for r in search.match_marks(crops, index, 64, 64, reach=2, top_k=6).collect()}
 
+    halved = {(r.mark_id, r.font_id): r.score for r in search.match_marks(
+        D.compact(crops), D.compact(index), 64, 64, reach=2, top_k=6).collect()}
+    assert all(abs(halved[k] - v) < 1e-6 for k, v in got.items())
+
     def features(b, from_index):
         small = R.resize_nearest(b[None], 64)
         big = (R.resize_bilinear(small * 255, 128, 128) > 127) if from_index else b[None]

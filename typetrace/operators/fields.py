@@ -93,6 +93,13 @@ def build_index(
     return _with_pop(_map_columns(glyphs, added, make).drop("bits"), index_side)
 
 
+def compact(features: DataFrame) -> DataFrame:
+    """Keep the array columns in single precision, which halves what an index stores and what a
+    search shuffles. Scores are still summed in double precision."""
+    floats = [c for c in ("field", "vec", "moments") if c in features.columns]
+    return features.withColumns({c: F.col(c).cast("array<float>") for c in floats})
+
+
 def _with_pop(df: DataFrame, side: int) -> DataFrame:
     return df.withColumn("pop", S.popcount(F.col("words"), side * side // 64))
 
