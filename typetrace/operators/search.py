@@ -46,7 +46,7 @@ def coarse_candidates(
     n_words: int,
     k: int | None = S.COARSE_K,
     coarse: str = "popcount",
-    crops_per_part: int = 100_000,
+    crops_per_part: int = 20_000,
     fonts_per_part: int = 10_000,
 ) -> DataFrame:
     """Best ``k`` fonts of the crop's own character by bitmap overlap. Reads no field column.

@@ -19,10 +19,19 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+def _utc(ts: str):
+    """Event time as an instant. The tables hold times without a zone, which are read as UTC."""
+    return F.concat(F.col(ts).cast("timestamp_ntz").cast("string"), F.lit("Z")).cast("timestamp")
+
+
+def _utc_text(instant: str):
+    return F.date_format(F.to_utc_timestamp(instant, F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
 def _history(spark, sf):
     score = F.least(F.col("value") / 100, F.lit(1.0))
     return _stream(spark, sf, "events").select(
-        F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_id", score.alias("score"),
+        _utc("ts").alias("ts"), "user_id", "event_id", score.alias("score"),
         S.verdict(score).alias("verdict"))
 
 
@@ -33,7 +42,6 @@ def _finished(df, spark, name, mode="append"):
     return spark.read.schema(df.schema).parquet(out)
 
 
-_TS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 _EVENTS = """WITH h AS (SELECT ts, user_id, event_id, least(value / 100, 1) AS score FROM events),
 e AS (SELECT *, CASE WHEN score >= 0.9 THEN 'free' WHEN score >= 0.75 THEN 'suspect' ELSE 'risky' END AS verdict FROM h),
 mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM events)
@@ -46,7 +54,7 @@ SELECT strftime(s, '%Y-%m-%d %H:%M:%S.%f') AS start, verdict, count(*) AS n FROM
 WHERE s + INTERVAL 6 HOUR <= (SELECT w FROM mark) GROUP BY ALL""")
 def verdicts_per_window(spark, sf):
     rows = _finished(J.verdict_counts(_history(spark, sf), "10 minutes", "6 hours"), spark, "tumbling")
-    return rows.select(F.date_format("window.start", _TS).alias("start"), "verdict", "n")
+    return rows.select(_utc_text("window.start").alias("start"), "verdict", "n")
 
 
 @query("R3", _EVENTS + """
@@ -55,7 +63,7 @@ SELECT strftime(s, '%Y-%m-%d %H:%M:%S.%f') AS start, verdict, count(*) AS n FROM
 WHERE s + INTERVAL 12 HOUR <= (SELECT w FROM mark) GROUP BY ALL""")
 def verdicts_per_sliding_window(spark, sf):
     rows = _finished(J.verdict_counts(_history(spark, sf), "10 minutes", "12 hours", "6 hours"), spark, "sliding")
-    return rows.select(F.date_format("window.start", _TS).alias("start"), "verdict", "n")
+    return rows.select(_utc_text("window.start").alias("start"), "verdict", "n")
 
 
 @query("R3", _EVENTS + """
@@ -65,7 +73,7 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS
 GROUP BY user_id, k HAVING max(ts) + INTERVAL 3 HOUR <= (SELECT w FROM mark)""")
 def verdicts_per_session(spark, sf):
     rows = _finished(J.verdict_sessions(_history(spark, sf), "10 minutes", "3 hours", "user_id"), spark, "session")
-    return rows.select("user_id", F.date_format("session_window.start", _TS).alias("start"), "n", "best")
+    return rows.select("user_id", _utc_text("session_window.start").alias("start"), "n", "best")
 
 
 @query("R1 S6", _VOTE + """
@@ -102,7 +110,7 @@ def completed_requests(spark, sf):
     e = _stream(spark, sf, "events")
     tops = e.select(
         F.concat_ws("-", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("request_id"),
-        F.col("ts").cast("timestamp").alias("ts"), (F.length("event_type") % 4).cast("bigint").alias("font_id"),
+        _utc("ts").alias("ts"), (F.length("event_type") % 4).cast("bigint").alias("font_id"),
         (F.col("event_id") % 5).alias("rank"), (0.4 + F.col("value") / 307).alias("score"))
     rows = J.request_completion(tops, fx.groups(spark, sf), "10 minutes", 3_600_000)
     return _finished(rows, spark, "requests")
@@ -112,7 +120,7 @@ def completed_requests(spark, sf):
 def marks_without_repeats(spark, sf):
     """The allowed delay spans the whole table here, so every repeat is one."""
     marks = _stream(spark, sf, "events").select(
-        F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.floor("value").alias("box"))
+        _utc("ts").alias("ts"), "user_id", "event_type", F.floor("value").alias("box"))
     rows = J.without_repeats(marks, "3650 days", "user_id", "event_type", "box").drop("ts")
     return _finished(rows, spark, "repeats")
 

@@ -50,11 +50,11 @@ _STATE = "groups array<bigint>, sums array<double>, counts array<bigint>, last_m
 def request_completion(tops: DataFrame, groups: DataFrame, delay: str, idle_ms: int) -> DataFrame:
     """Close a request once the watermark passes its last mark by ``idle_ms`` and judge it.
 
-    ``tops(request_id, ts, font_id, rank, score)`` is a stream of short-list rows. State holds
+    ``tops(request_id, ts timestamp, font_id, rank, score)`` is a stream of short-list rows. State holds
     one sum and count per group of an open request. A mark later than that opens it anew.
     """
     rows = vote.with_group(tops.withWatermark("ts", delay), groups).select(
-        "request_id", "ts", "group_id", vote.rank_weight(F.col("score"), F.col("rank")).alias("w"))
+        "request_id", "ts", F.unix_millis("ts").alias("ms"), "group_id", vote.rank_weight(F.col("score"), F.col("rank")).alias("w"))
 
     def judge(key, batches, state: GroupState):
         if state.hasTimedOut:
@@ -70,7 +70,7 @@ def request_completion(tops: DataFrame, groups: DataFrame, delay: str, idle_ms:
             names, sums, counts, last = state.get
             held = {g: [s, n] for g, s, n in zip(names, sums, counts)}
         for pdf in batches:
-            last = max(last, int(pd.Timestamp(pdf["ts"].max()).timestamp() * 1000))
+            last = max(last, int(pdf["ms"].max()))
             for g, w in pdf.groupby("group_id")["w"]:
                 one = held.setdefault(int(g), [0.0, 0])
                 one[0] += float(w.sum())
