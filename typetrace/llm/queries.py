@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from typetrace.llm import exact_dedup, mixing
-from typetrace.llm.common import table
+from typetrace.llm import exact_dedup, langid, mixing, quality, toxicity
+from typetrace.llm.common import crc_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +24,13 @@ def query(sql: str | None = None):
     return wrap
 
 
+@query()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    parser = langid.fit_languages(docs, learn=lambda i: crc_bucket(i, 3) != 1)
+    return langid.identify(docs, parser).withColumn("held_out", F.coalesce(crc_bucket(F.col("doc_id"), 3) == 1, F.lit(False)))
+
+
 @query("""
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        sha256(coalesce(text, '')) AS text_sha256, doc_id = max(doc_id) OVER same AS kept
@@ -36,3 +44,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), learn=lambda i: crc_bucket(i, 5) != 0)
+    return toxicity.score_toxicity(docs, model).withColumn("held_out", F.coalesce(crc_bucket(F.col("doc_id"), 5) == 0, F.lit(False)))
+
+
+@query()
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
