@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typetrace.llm import exact_dedup, html_text, langid, licences, mixing, quality, toxicity
+from typetrace.llm import exact_dedup, html_text, langid, licences, mixing, quality, sentencepieces, toxicity
 from typetrace.llm.common import crc_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, parser).withColumn("held_out", F.coalesce(crc_bucket(F.col("doc_id"), 3) == 1, F.lit(False)))
 
 
+@query()
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encoded_and_decoded(table(spark, sf_dir, "documents"), sentencepieces.read_model())
+
+
 @query("""
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        sha256(coalesce(text, '')) AS text_sha256, doc_id = max(doc_id) OVER same AS kept
