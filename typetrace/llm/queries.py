@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typetrace.llm import exact_dedup, html_text, langid, licences, minhash, mixing, quality, sentencepieces, toxicity
+from typetrace.llm import exact_dedup, html_text, langid, licences, minhash, mixing, quality, sentencepieces, suffix_dedup, toxicity
 from typetrace.llm.common import crc_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
