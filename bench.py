@@ -26,7 +26,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     spark = build_session("bench", f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "20g"})
+        "spark.sql.shuffle.partitions": cpus, "spark.typetrace.spread": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "20g"})
     spark.sparkContext.setLogLevel("ERROR")
     # Start the JVM's code paths and the Python workers before the clock runs.
     warm = REGISTRY["template_index"].build(spark, sf_dir)

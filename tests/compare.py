@@ -74,7 +74,7 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     names = sys.argv[2:] or list(REGISTRY)
     spark = build_session("compare", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+        "spark.sql.shuffle.partitions": "8", "spark.typetrace.spread": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"/root/testdata/sf{sf}"
     con = connect(sf_dir)

@@ -15,6 +15,7 @@ def spark():
         "local[8]",
         **{
             "spark.sql.shuffle.partitions": "8",
+            "spark.typetrace.spread": "8",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "8g",
             "spark.driver.host": "127.0.0.1",

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from png import write_png
-from typetrace.functions import text as T
+from typetrace.functions import pixels as P, text as T
 from typetrace.operators import catalog as C
 from typetrace.plans import fixtures as fx
 from typetrace.sources import catalog, history, images, index, lines
@@ -29,7 +29,13 @@ def test_image_files_and_payloads(spark, tmp_path):
     rgb = np.stack([gray, gray + 50, gray + 100], axis=2)
     write_png(tmp_path / "g.png", gray)
     write_png(tmp_path / "c.png", rgb)
-    rows = {r.origin.rsplit("/", 1)[1]: r for r in images.read_images(spark, str(tmp_path)).collect()}
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    read = images.read_images(spark, str(tmp_path))
+    rows = {r.origin.rsplit("/", 1)[1]: r for r in read.collect()}
+    assert rows["broken.png"].error and rows["broken.png"].px is None and rows["g.png"].error is None
+    mean = read.filter("error IS NULL").select("origin", P.gray_array(images.levels(F.col("px")), F.col("channels")).alias("gray")).collect()
+    got = {r.origin.rsplit("/", 1)[1]: r.gray for r in mean}
+    assert got["g.png"] == gray.ravel().tolist() and got["c.png"] == (gray + 50).ravel().tolist()
     assert bytes(rows["g.png"].px) == gray.tobytes() and rows["g.png"].channels == 1
     assert bytes(rows["c.png"].px) == rgb[:, :, ::-1].tobytes() and rows["c.png"].channels == 3
     df = spark.createDataFrame([(base64.b64encode(gray.tobytes()).decode(),)], "p string")
@@ -38,7 +44,7 @@ def test_image_files_and_payloads(spark, tmp_path):
 
 def test_index_round_trip_and_missing_index(spark, tmp_path):
     t = fx.templates(spark, "/root/testdata/sf0.001").select("font_id", "char", "words")
-    index.write_index(t, str(tmp_path / "index"), parts=4)
+    index.write_index(t, str(tmp_path / "index"))
     back = index.read_index(spark, str(tmp_path / "index"))
     assert sorted(map(str, back.collect())) == sorted(map(str, t.collect()))
     plan = back.filter("char = 'b'").select("font_id")._jdf.queryExecution().executedPlan().toString()

@@ -4,21 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-MODULUS = 2147483647  # prime; squares of residues stay inside 64 bits
 
-
-def mix(key: Column) -> Column:
-    """Whole-number key to a residue that looks random."""
-    a = F.pmod(key, F.lit(MODULUS))
-    a = (a * a + 1013904223) % MODULUS
-    a = (a * a + a + 374761393) % MODULUS
-    return (a * 48271) % MODULUS
+def key(*parts: Column | int) -> Column:
+    """Text key of a draw; different parts never give the same key."""
+    return F.concat_ws("/", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
 
 
 def uniform(key: Column) -> Column:
-    return (mix(key) + 0.5) / MODULUS
+    """52 bits of the key's digest as a number in (0, 1)."""
+    bits = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("bigint")
+    return (bits + 0.5) / 4503599627370496.0
 
 
 def normal(key: Column) -> Column:
-    """Box-Muller over two uniforms of neighbouring keys."""
-    return F.sqrt(-2.0 * F.log(uniform(key * 2))) * F.cos(uniform(key * 2 + 1) * 6.283185307179586)
+    """Box-Muller over two draws of the key."""
+    radius, turn = uniform(F.concat(key, F.lit("/r"))), uniform(F.concat(key, F.lit("/t")))
+    return F.sqrt(-2.0 * F.log(radius)) * F.cos(turn * 6.283185307179586)

@@ -68,7 +68,7 @@ def slug(name: Column) -> Column:
 def split_locator(locator: Column) -> Column:
     """``system:<path>#<member>`` to path and member; other locators are plain paths."""
     is_system = F.startswith(locator, F.lit("system:"))
-    rest = F.substring(locator, 8, 1_000_000)
+    rest = F.substr(locator, F.lit(8))
     parts = F.split(rest, "#", 2)
     return F.struct(
         F.when(is_system, F.trim(F.get(parts, F.lit(0)))).otherwise(locator).alias("path"),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from typetrace.operators.vote import with_group
 
 
-def request_hits(truth: DataFrame, candidates: DataFrame, groups: DataFrame, top_k: int = 5) -> DataFrame:
+def request_hits(truth: DataFrame, candidates: DataFrame, groups: DataFrame, top_k: int | None = 5) -> DataFrame:
     """Per request: is the true group first, is it among the first ``top_k``, what was first.
 
     ``truth(request_id, true_font, mode)``. Truth and candidates are compared as groups.
@@ -16,12 +16,13 @@ def request_hits(truth: DataFrame, candidates: DataFrame, groups: DataFrame, top
     c = candidates.select("request_id", "group_id", "rank")
     same = F.col("group_id") == F.col("true_group")
     first = F.col("rank") == 1
+    listed = F.lit(True) if top_k is None else F.col("rank") <= top_k
     return (
         t.join(c, "request_id", "left")
         .groupBy("request_id", "true_font", "mode")
         .agg(
             F.coalesce(F.max((same & first).cast("int")), F.lit(0)).alias("top1"),
-            F.coalesce(F.max((same & (F.col("rank") <= top_k)).cast("int")), F.lit(0)).alias("top5"),
+            F.coalesce(F.max((same & listed).cast("int")), F.lit(0)).alias("top5"),
             F.max(F.when(first, F.col("group_id"))).alias("predicted"),
         )
     )

@@ -14,11 +14,11 @@ from typetrace.functions import noise as N, rasters as R
 from typetrace.functions.scores import let
 
 MODES = ("clean", "noise", "background", "scale", "blur")
-_PER_GLYPH = 1 << 20   # keys set aside for one glyph
 
 
-def _key(glyph: Column, slot: Column | int, seed: int) -> Column:
-    return glyph * _PER_GLYPH + slot + seed * 7919
+def _key(glyph: Column, slot: Column | int | str, seed: int) -> Column:
+    """A draw belongs to a glyph, a slot (a pixel, or a name) and a seed."""
+    return N.key(seed, glyph, slot if isinstance(slot, Column) else F.lit(slot))
 
 
 def _level(v: Column) -> Column:
@@ -31,21 +31,21 @@ def clean(ink: Column) -> Column:
 
 def noisy(ink: Column, glyph: Column, seed: int = 0) -> Column:
     """One offset N(0, 30) per image and N(0, 18) per pixel."""
-    offset = N.normal(_key(glyph, 0, seed)) * 30
+    offset = N.normal(_key(glyph, "offset", seed)) * 30
     return let(offset, lambda o: F.transform(
-        ink, lambda p, i: _level(p * 255 + o + N.normal(_key(glyph, i + 1, seed)) * 18)))
+        ink, lambda p, i: _level(p * 255 + o + N.normal(_key(glyph, i, seed)) * 18)))
 
 
 def on_background(ink: Column, glyph: Column, width: Column, seed: int = 0) -> Column:
     """Dark ink on a light ramp or light ink on a dark ramp, half of the glyphs each."""
     u = lambda slot: N.uniform(_key(glyph, slot, seed))
     between = lambda v, lo, hi: lo + F.floor(v * (hi - lo + 1))
-    dark_ink = u(1) < 0.5
-    paper = F.when(dark_ink, between(u(2), 120, 220)).otherwise(between(u(2), 0, 70))
-    pen = F.when(dark_ink, between(u(3), 0, 40)).otherwise(between(u(3), 190, 240))
+    dark_ink = u("side") < 0.5
+    paper = F.when(dark_ink, between(u("paper"), 120, 220)).otherwise(between(u("paper"), 0, 70))
+    pen = F.when(dark_ink, between(u("pen"), 0, 40)).otherwise(between(u("pen"), 190, 240))
     ramp = lambda x: F.when(width > 1, -25 + 50 * x / (width - 1)).otherwise(F.lit(0.0))
     return let(F.struct(paper.alias("paper"), pen.alias("pen")), lambda c: F.transform(
-        ink, lambda p, i: F.when(p > 0, _level(c["pen"] + N.normal(_key(glyph, i + 4, seed)) * 6))
+        ink, lambda p, i: F.when(p > 0, _level(c["pen"] + N.normal(_key(glyph, i, seed)) * 6))
         .otherwise(_level(c["paper"] + ramp(i % width)))))
 
 
@@ -81,9 +81,9 @@ def evaluation_set(glyphs: DataFrame, modes: tuple[str, ...] = MODES, seed: int
         parts.append(glyphs.select(g, "height", "width", F.inline(F.array(*level_modes))).select(
             "glyph_id", "mode", "height", "width", "px"))
     if "scale" in modes:
-        parts.append(_resampled(glyphs, "scale", 0.5 + N.uniform(_key(g, 1 << 19, seed)) * 1.5))
+        parts.append(_resampled(glyphs, "scale", 0.5 + N.uniform(_key(g, "scale", seed)) * 1.5))
     if "blur" in modes:
-        parts.append(_resampled(glyphs, "blur", 0.5 + N.uniform(_key(g, (1 << 19) + 1, seed))))
+        parts.append(_resampled(glyphs, "blur", 0.5 + N.uniform(_key(g, "blur", seed))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -61,27 +61,30 @@ def first_seen(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     )
 
 
-TILE, TILE_LEVELS = 64, 16
+TILE = 64
 
 
 def first_hit(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """First box in list order that holds a point of the same image, bounds included.
 
     Boxes sit on the tile level of their own size, where a box touches at most four tiles, and
-    a point asks once per level. Equal boxes and equal points are folded before they meet.
+    a point asks once on each level its image has. Equal boxes and points are folded before they meet.
     """
     edge = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(1))
-    level = F.greatest(F.lit(0), F.least(F.ceil(F.log2(edge / F.lit(TILE))), F.lit(TILE_LEVELS - 1))).cast("int")
+    level = F.greatest(F.lit(0), F.ceil(F.log2(edge / F.lit(TILE)))).cast("int")
     size = TILE * F.pow(F.lit(2.0), F.col("level"))
     tiles = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
     placed = (
         boxes.groupBy("image_id", "x1", "y1", "x2", "y2").agg(F.min("seq").alias("seq"))
         .withColumn("level", level)
-        .withColumn("tx", tiles("x1", "x2")).withColumn("ty", tiles("y1", "y2"))
+    )
+    levels = placed.select("image_id", "level").distinct()
+    placed = (
+        placed.withColumn("tx", tiles("x1", "x2")).withColumn("ty", tiles("y1", "y2"))
     )
     asked = (
         points.select("image_id", "px", "py").distinct()
-        .withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(TILE_LEVELS - 1))))
+        .join(levels, "image_id")
         .withColumn("tx", F.floor(F.col("px") / size)).withColumn("ty", F.floor(F.col("py") / size))
     )
     inside = F.col("px").between(F.col("x1"), F.col("x2")) & F.col("py").between(F.col("y1"), F.col("y2"))

@@ -85,8 +85,12 @@ def split_wide(segs: DataFrame, factor: float = WIDE) -> DataFrame:
 
 
 def equal_split(bounds: DataFrame, n: str) -> DataFrame:
-    """Cut the ink bounds ``[x0, x1)`` of a line into ``n`` equal integer parts."""
-    return bounds.withColumn("part", F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))).select(
+    """Cut the ink bounds ``[x0, x1)`` of a line into ``n`` equal integer parts.
+
+    A line is cut in full or not at all: with fewer columns than parts, or no part asked for, it is
+    given up and yields no row. Row bounds and other columns go along.
+    """
+    return bounds.filter((F.col(n) > 0) & (F.col("x1") - F.col("x0") >= F.col(n))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))).select(
         "*",
         F.expr(f"x0 + (x1 - x0) * part div {n}").alias("a"),
         F.expr(f"x0 + (x1 - x0) * (part + 1) div {n}").alias("b"),

@@ -39,9 +39,9 @@ def rank_weighted_votes(
 
 
 def rank_candidates(
-    voted: DataFrame, min_score: float | None = S.MIN_VALID, top_k: int = S.TOP_K, by_votes: bool = False
+    voted: DataFrame, min_score: float | None = S.MIN_VALID, top_k: int | None = S.TOP_K, by_votes: bool = False
 ) -> DataFrame:
-    """Order the groups of a request and keep the first ``top_k``.
+    """Order the groups of a request and keep the first ``top_k`` (all for None).
 
     The manual rule drops groups under the floor after aggregation and sorts by score; the
     automatic rule has no floor here and lets the number of votes decide first.
@@ -52,7 +52,8 @@ def rank_candidates(
     if by_votes:
         order = [F.desc("votes"), *order]
     w = W.partitionBy("request_id").orderBy(*order)
-    return voted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
+    ranked = voted.withColumn("rank", F.row_number().over(w))
+    return ranked if top_k is None else ranked.filter(F.col("rank") <= top_k)
 
 
 def request_verdicts(marks: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -78,14 +78,16 @@ def catalogue_listing(spark, sf):
 
 @query("J3", """
 WITH meta AS (SELECT p_partkey AS font_id, p_name AS name, p_brand AS license, 'http://' || p_type AS source_url
-              FROM part WHERE p_size > 5)
-SELECT l_orderkey, l_linenumber, l_partkey AS group_id, coalesce(name, l_partkey::VARCHAR) AS name,
+              FROM part),
+item AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN -l_partkey ELSE l_partkey END AS group_id FROM lineitem)
+SELECT l_orderkey, l_linenumber, group_id, coalesce(name, group_id::VARCHAR) AS name,
        coalesce(license, '') AS license, coalesce(source_url, '') AS source_url
-FROM lineitem LEFT JOIN meta ON font_id = l_partkey""")
+FROM item LEFT JOIN meta ON font_id = group_id""")
 def candidate_metadata(spark, sf):
-    meta = fx.font_rows(spark, sf).filter(F.col("size") > 5).withColumn(
-        "source_url", F.concat(F.lit("http://"), "style"))
-    items = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("group_id"))
+    """Seventh lines name fonts the catalogue does not have."""
+    meta = fx.font_rows(spark, sf).withColumn("source_url", F.concat(F.lit("http://"), "style"))
+    font = F.when(F.col("l_linenumber") == 7, -F.col("l_partkey")).otherwise(F.col("l_partkey"))
+    items = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", font.alias("group_id"))
     return C.with_metadata(items, meta)
 
 
@@ -196,13 +198,15 @@ def largest_lines(spark, sf):
 
 
 @query("W15", """
+WITH m AS (SELECT p_brand, p_type, p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || '-Regular' ELSE p_name || '-Bold' END AS name FROM part)
 SELECT p_brand AS archive, p_type AS wanted,
-       arg_min(p_name, CASE WHEN contains(p_name, 'ring') THEN 0 ELSE 1 END * 1000000000 + p_partkey) AS name
-FROM part GROUP BY ALL""")
+       arg_min(name, CASE WHEN contains(lower(name), 'regular') OR contains(replace(lower(name), '-', ''), 'ring') THEN 0 ELSE 1 END * 1000000000000 + p_partkey) AS name
+FROM m GROUP BY ALL""")
 def preferred_members(spark, sf):
     rows = fx.font_rows(spark, sf).select(
         F.concat_ws("@", "license", "style").alias("key"), F.col("license").alias("archive"),
-        F.col("style").alias("wanted"), "name", "file_pos", F.lit("r-ing").alias("hint"))
+        F.col("style").alias("wanted"), "file_pos", F.lit("r-ing").alias("hint"),
+        F.concat("name", F.when(F.col("font_id") % 4 == 0, "-Regular").otherwise("-Bold")).alias("name"))
     return C.preferred_member(rows, "key", "name", "file_pos", hint="hint").select("archive", "wanted", "name")
 
 

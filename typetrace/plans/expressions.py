@@ -136,26 +136,35 @@ _STYLE_SQL = "CASE " + " ".join(
     "WHEN " + " OR ".join(f"contains(lower(name), '{w}')" for w in words) + f" THEN '{label}'"
     for label, words in T.STYLE_RULES
 ) + " ELSE 'mixed' END"
+_NAMED = ("plain", *dict.fromkeys(w for _, words in T.STYLE_RULES for w in words))
+_STYLE_WORDS = ", ".join(f"'{w}'" for w in _NAMED[1:])
 
 
 @query("P16", f"""
-WITH n AS (SELECT p_partkey AS font_id, p_name || ' ' || p_type AS name FROM part)
+WITH n AS (SELECT p_partkey AS font_id, p_name || ' ' || (['plain', {_STYLE_WORDS}])[p_partkey % {len(_NAMED)} + 1] AS name FROM part)
 SELECT font_id, {_STYLE_SQL} AS style FROM n""")
 def style_guesses(spark, sf):
-    name = F.concat("name", F.lit(" "), "style")
+    """Every word of every rule in turn, so that each rule, and its place among the others, shows."""
+    word = F.get(F.array(*map(F.lit, _NAMED)), (F.col("font_id") % len(_NAMED)).cast("int"))
+    name = F.concat("name", F.lit(" "), word)
     return fx.font_rows(spark, sf).select("font_id", T.guess_style(name).alias("style"))
 
 
-@query("P17", """
-SELECT page_id, url FROM pages
-WHERE lower(regexp_extract(url, '(\\.[A-Za-z0-9]+)$', 1)) IN ('.html', '.htm', '.php', '.ttf', '')
-  AND NOT (contains(lower(url), 'sf-') OR contains(lower(url), 'blog') OR contains(lower(url), '/en/'))""")
+_ENDS, _STARTS = (".ttf", ".OTF", ".ttc", ".dfont", ".woff", ".txt"), ("", "SF-", "sfsd", "SFCompact", "Webdings ", "Apple Symbols ", "New York ")
+
+
+@query("P17", f"""
+WITH f AS (SELECT p_partkey, ({list(_STARTS)})[p_partkey % {len(_STARTS)} + 1] || p_name AS name, ({list(_ENDS)})[p_partkey % {len(_ENDS)} + 1] AS ext FROM part)
+SELECT p_partkey, name || ext AS file,
+       lower(ext) IN ('.ttf', '.otf', '.ttc', '.dfont') AND NOT (contains(lower(name || ext), 'sf-') OR contains(lower(name || ext), 'sfsd')
+         OR contains(lower(name || ext), 'sfcompact')) AS scanned,
+       {" OR ".join(f"contains(lower(name), '{w}')" for w in T.SYMBOL_NAMES)} AS symbols FROM f""")
 def scanned_files(spark, sf):
-    url = F.col("url")
-    ext = F.lower(F.regexp_extract(url, r"(\.[A-Za-z0-9]+)$", 1))
-    return fx.table(spark, sf, "pages").filter(
-        ext.isin(".html", ".htm", ".php", ".ttf", "") & ~T.is_symbol_name(url, ("sf-", "blog", "/en/"))
-    ).select("page_id", "url")
+    """File names with every kind of ending, private prefixes and symbol fonts."""
+    one_of = lambda words: F.get(F.array(*map(F.lit, words)), (F.col("p_partkey") % len(words)).cast("int"))
+    named = fx.table(spark, sf, "part").select("p_partkey", F.concat(one_of(_STARTS), "p_name").alias("name"), one_of(_ENDS).alias("ext"))
+    file = F.concat("name", "ext")
+    return named.select("p_partkey", file.alias("file"), T.scannable_file(file, F.col("ext")).alias("scanned"), T.is_symbol_name(F.col("name")).alias("symbols"))
 
 
 @query("P18", "SELECT c_custkey, replace(lower(trim(' ' || c_name || ' ' || c_mktsegment || ' ')), ' ', '-') AS key FROM customer")

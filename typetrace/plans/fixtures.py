@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from typetrace.operators import search
-from typetrace.session import spread_few_files
+from typetrace.session import spread
 
 SIDE = 8          # the embedding table holds 8 x 8 fields
 WORDS = 1         # which pack into one word
 MODES = ((0, 0.0), (1, 0.35), (2, 0.7), (3, 1.1))   # (mode, strength of the disturbance)
-LINES_PER_TEXT = 1 << 24   # line keys of a text, which are numbers so that they sort fast
 LISTED_SIZE = 40  # catalogue rows up to this size are the white list
 
 
@@ -29,7 +28,7 @@ def glyph_rows(embeddings: DataFrame) -> DataFrame:
 
 
 def glyphs(spark: SparkSession, sf: str) -> DataFrame:
-    return glyph_rows(spread_few_files(table(spark, sf, "embeddings")))
+    return glyph_rows(spread(table(spark, sf, "embeddings")))
 
 
 def listed_fonts(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,7 +104,7 @@ SQL["search"] = """pairs AS (
          CASE WHEN bit_count(c.w | t.w) > 0 THEN bit_count(c.w & t.w) / bit_count(c.w | t.w) ELSE 0.0 END AS iou,
          c.field AS qf, t.field AS tf, c.cf AS qc, t.cf AS tc
   FROM crop_f c JOIN tpl_f t USING (char)),
-coarse AS (
+coarse AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY mark_id ORDER BY iou DESC, font_id) AS coarse_rank FROM pairs
   QUALIFY coarse_rank <= 50),
 scored AS (
@@ -116,7 +115,7 @@ scored AS (
       least(greatest(list_dot_product(qf, tf)
         / sqrt(list_dot_product(qf, qf) * list_dot_product(tf, tf)), 0.0), 1.0) AS cosine
     FROM coarse)),
-tops AS (
+tops AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY mark_id ORDER BY score DESC, font_id) - 1 AS rank FROM scored
   QUALIFY rank < 5)"""
 
@@ -244,9 +243,9 @@ valid AS (SELECT * FROM ocr WHERE whole_box AND text IS NOT NULL AND score IS NO
 
 def text_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Every whole line of every document; a character stands for one column of its image."""
-    line_id = F.col("doc_id") * LINES_PER_TEXT + F.col("line_no")
+    line_id = F.concat_ws("/", "doc_id", "line_no")
     return (
-        spread_few_files(table(spark, sf, "documents").select("doc_id", "text"))
+        spread(table(spark, sf, "documents").select("doc_id", "text"))
         .select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         .select(line_id.alias("line_id"), "line", F.length("line").alias("width"))
     )
@@ -271,7 +270,7 @@ def level_pixels(spark: SparkSession, sf: str, image: str) -> DataFrame:
 
 
 SQL["columns"] = """lines AS (
-  SELECT doc_id * 16777216 + i - 1 AS line_id, l[i] AS line, length(l[i]) AS width
+  SELECT doc_id || '/' || (i - 1) AS line_id, l[i] AS line, length(l[i]) AS width
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), range(1, len(l) + 1) r(i)),
 cols AS (
   SELECT line_id, x - 1 AS x, c % 5 AS y0, c % 5 + c % 7 AS y1, width

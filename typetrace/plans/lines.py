@@ -104,13 +104,13 @@ n AS (SELECT b.*, len(regexp_extract_all(line, '[\\p{L}\\p{N}]')) AS n_chars, co
   LEFT JOIN (SELECT line_id, count(*) AS n_segs FROM kept GROUP BY line_id) k USING (line_id))
 SELECT line_id, count(*) AS parts, sum(a)::BIGINT AS sum_a, sum(b)::BIGINT AS sum_b, max(b - a) AS widest
 FROM (SELECT line_id, x0 + (x1 - x0) * i // n_chars AS a, x0 + (x1 - x0) * (i + 1) // n_chars AS b
-      FROM n, range(0, n_chars) r(i) WHERE n_segs > 0 AND n_segs < n_chars) GROUP BY line_id""")
+      FROM n, range(0, n_chars) r(i) WHERE n_segs < n_chars AND x1 - x0 >= n_chars) GROUP BY line_id""")
 def missing_segments_split(spark, sf):
     cols = fx.text_columns(spark, sf)
     bounds = cols.groupBy("line_id").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"))
     chars = fx.text_lines(spark, sf).select("line_id", F.size(T.usable_chars(F.col("line"))).alias("n_chars"))
     counts = G.drop_narrow(_segments(spark, sf)).groupBy("line_id").agg(F.count("*").alias("n_segs"))
-    short = bounds.join(chars, "line_id").join(counts, "line_id").filter(F.col("n_segs") < F.col("n_chars"))
+    short = bounds.join(chars, "line_id").join(counts, "line_id", "left").fillna(0, ["n_segs"]).filter(F.col("n_segs") < F.col("n_chars"))
     return G.equal_split(short, "n_chars").groupBy("line_id").agg(
         F.count("*").alias("parts"), F.sum("a").alias("sum_a"), F.sum("b").alias("sum_b"),
         F.max(F.col("b") - F.col("a")).alias("widest"),

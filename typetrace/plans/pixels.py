@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from typetrace.functions import bits, noise
+from typetrace.functions import bits
 from typetrace.operators import fields as D, perturb, segment as G, shapes as H
 from typetrace.plans import fixtures as fx
 from typetrace.plans.registry import query
@@ -39,12 +39,13 @@ def nearest_resize(spark, sf):
 
 
 @query("S4", _PX + """
-SELECT image_id, string_agg(printf('%02X', level), '' ORDER BY y, x) AS px FROM px GROUP BY image_id""")
+SELECT image_id, base64(from_hex(px)) AS payload, px
+FROM (SELECT image_id, string_agg(printf('%02X', level), '' ORDER BY y, x) AS px FROM px GROUP BY image_id)""")
 def payload_pixels(spark, sf):
     """Images that arrive as base64 text of their raw levels."""
     digits = F.transform("px", lambda p: F.lpad(F.hex(p), 2, "0"))
-    sent = fx.glyph_images(spark, sf).select("image_id", F.base64(F.unhex(F.array_join(digits, ""))).alias("payload"))
-    return sent.select("image_id", F.hex(from_base64(F.col("payload"))).alias("px"))
+    sent = fx.glyph_images(spark, sf).select("image_id", F.regexp_replace(F.base64(F.unhex(F.array_join(digits, ""))), r"\s", "").alias("payload"))
+    return sent.select("image_id", "payload", F.hex(from_base64(F.col("payload"))).alias("px"))
 
 
 _COEF = """
@@ -118,7 +119,7 @@ def shifted_bitmaps(spark, sf):
 
 @query("G8", fx.with_views("glyphs", "features") + """,
 q AS (SELECT c.mark_id, i // 8 AS y, i % 8 AS x, c.cf[i + 1] AS a, t.field AS tf
-      FROM crop_f c JOIN tpl t ON t.font_id = c.true_font AND t.char = c.char, range(0, 64) r(i)),
+      FROM crop_f c JOIN glyphs t ON t.font_id = c.true_font AND t.char = c.char, range(0, 64) r(i)),
 s AS (SELECT mark_id, dy, dx, sum(a * b) AS num, sum(a * a) AS aa, sum(b * b) - sum(b) * sum(b) / 64 AS bb
       FROM (SELECT mark_id, dy, dx, a, CASE WHEN y - dy BETWEEN 0 AND 7 AND x - dx BETWEEN 0 AND 7
               THEN tf[(y - dy) * 8 + x - dx + 1] ELSE 0 END AS b
@@ -127,7 +128,7 @@ SELECT mark_id, round(greatest(max(CASE WHEN sqrt(aa * bb) < 1e-9 THEN 0 ELSE nu
 FROM s GROUP BY mark_id""")
 def aligned_correlation(spark, sf):
     crops = fx.raw_crops(spark, sf).select("mark_id", F.col("true_font").alias("font_id"), "char", F.col("field").alias("a"))
-    own = fx.glyphs(spark, sf).join(fx.listed_fonts(spark, sf), "font_id").select("font_id", "char", F.col("field").alias("b"))
+    own = fx.glyphs(spark, sf).select("font_id", "char", F.col("field").alias("b"))
     scored = D.aligned_scores(crops.join(own, ["font_id", "char"]), "a", "b", fx.SIDE, 2)
     return scored.select("mark_id", F.round("ncc", 6).alias("ncc"))
 
@@ -242,19 +243,14 @@ def polyline_lengths(spark, sf):
     return opened.join(H.polyline_lengths(p, closed=True).select("shape_id", F.round("length", 6).alias("closed")), "shape_id")
 
 
-def _mix(key):
-    a = f"(({key}) % 2147483647)"
-    b = f"(({a} * {a} + 1013904223) % 2147483647)"
-    c = f"(({b} * {b} + {b} + 374761393) % 2147483647)"
-    return f"(({c} * 48271) % 2147483647)"
+def _uniform(slot):
+    """Draw of an image and a slot under seed 0."""
+    return f"((('0x' || substr(md5('0/' || image_id || '/' || {slot}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496)"
 
 
-def _uniform(key):
-    return f"(({_mix(key)} + 0.5::DOUBLE) / 2147483647)"
-
-
-def _normal(key):
-    return f"(sqrt(-2.0::DOUBLE * ln({_uniform(f'({key}) * 2')})) * cos({_uniform(f'({key}) * 2 + 1')} * 6.283185307179586::DOUBLE))"
+def _normal(slot):
+    radius, turn = (_uniform(f"{slot} || '/{end}'") for end in "rt")
+    return f"(sqrt(-2.0::DOUBLE * ln({radius})) * cos({turn} * 6.283185307179586::DOUBLE))"
 
 
 def _clamp(v):
@@ -273,8 +269,8 @@ def _joined(df):
 
 
 @query("T1 T2 S10 J9", _PX + f""",
-v AS (SELECT image_id, y * 8 + x AS i, ink, {_normal('image_id * 1048576')} * 30 AS o,
-             {_normal('image_id * 1048576 + y * 8 + x + 1')} * 18 AS n FROM px)
+v AS (SELECT image_id, y * 8 + x AS i, ink, {_normal("'offset'")} * 30 AS o,
+             {_normal('(y * 8 + x)')} * 18 AS n FROM px)
 SELECT image_id AS glyph_id, 'clean' AS mode, string_agg(ink * 255, ' ' ORDER BY i) AS px FROM v GROUP BY image_id
 UNION ALL SELECT image_id, 'noise', string_agg({_clamp('ink * 255 + o + n')}, ' ' ORDER BY i) FROM v GROUP BY image_id""")
 def noisy_crops(spark, sf):
@@ -282,9 +278,9 @@ def noisy_crops(spark, sf):
 
 
 @query("T3", _PX + f""",
-c AS (SELECT image_id, y * 8 + x AS i, x, ink, {_uniform('image_id * 1048576 + 1')} < 0.5 AS dark,
-             {_uniform('image_id * 1048576 + 2')} AS u2, {_uniform('image_id * 1048576 + 3')} AS u3,
-             {_normal('image_id * 1048576 + y * 8 + x + 4')} * 6 AS n FROM px),
+c AS (SELECT image_id, y * 8 + x AS i, x, ink, {_uniform("'side'")} < 0.5 AS dark,
+             {_uniform("'paper'")} AS u2, {_uniform("'pen'")} AS u3,
+             {_normal('(y * 8 + x)')} * 6 AS n FROM px),
 p AS (SELECT *, CASE WHEN dark THEN 120 + floor(u2 * 101) ELSE floor(u2 * 71) END AS paper,
              CASE WHEN dark THEN floor(u3 * 41) ELSE 190 + floor(u3 * 51) END AS pen FROM c)
 SELECT image_id AS glyph_id, 'background' AS mode,
@@ -296,8 +292,8 @@ def background_crops(spark, sf):
 
 @query("T4 T5", _PX + f""",
 ink AS (SELECT image_id, y, x, ink * 255 AS level FROM px),
-amount AS (SELECT DISTINCT image_id, greatest(8, floor(8 * (0.5 + {_uniform('image_id * 1048576 + 524288')} * 1.5)))::BIGINT AS n_out,
-             0.5 + {_uniform('image_id * 1048576 + 524289')} AS sigma FROM px),
+amount AS (SELECT DISTINCT image_id, greatest(8, floor(8 * (0.5 + {_uniform("'scale'")} * 1.5)))::BIGINT AS n_out,
+             0.5 + {_uniform("'blur'")} AS sigma FROM px),
 sizes AS (SELECT DISTINCT 8::BIGINT AS n_in, n_out FROM amount),""" + _COEF + """,
 sh AS (SELECT image_id, y, n_out, o AS x, least(greatest(floor((sum(level * k) + 2097152) / 4194304), 0), 255) AS v
        FROM ink JOIN amount USING (image_id) JOIN coef USING (n_out) WHERE i = x GROUP BY ALL),

@@ -30,38 +30,39 @@ def build_session(app: str = "typetrace", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def spread_few_files(df: DataFrame, most: int = 64) -> DataFrame:
-    """Deal rows over the cores when a scan has fewer splits than cores and heavy work follows.
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over as many partitions as the session asks for in ``spark.typetrace.spread``.
 
-    A table of many files is left as it is, so nothing is shuffled at scale.
+    For heavy work on tables of a few small files. Unset, as on a cluster whose tables have files
+    enough, it does nothing.
     """
-    want = min(df.sparkSession.sparkContext.defaultParallelism, most)
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    parts = df.sparkSession.conf.get("spark.typetrace.spread", "")
+    return df.repartition(int(parts)) if parts else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and return the stored copy.
+def cut_lineage(df: DataFrame, name: str = "shared") -> DataFrame:
+    """Write ``df`` as Parquet beside the checkpoints and return the stored copy.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    session that names none gets a temporary folder.
+    Later reads take only the columns they need, and the copy outlives lost executors.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="typetrace-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder next to the checkpoints, for stream checkpoints and sinks of one run."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def scratch_folder(spark: SparkSession, name: str, base: str | None = None) -> str:
+    """A new folder for intermediate tables, stream checkpoints and sinks of one run.
+
+    It lies in ``base``, or in the folder the cluster names in ``spark.checkpoint.dir``. Only a
+    local session that names none gets a temporary folder. It is deleted when the driver ends.
+    """
+    base = base or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="typetrace-scratch-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path

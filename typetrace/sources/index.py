@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def write_index(index: DataFrame, path: str, parts: int = 64) -> None:
-    """Parquet sorted by character inside hash parts, so a character filter skips row groups."""
-    (index.repartition(parts, "char").sortWithinPartitions("char", "font_id")
-     .write.mode("overwrite").parquet(path))
-
+def write_index(index: DataFrame, path: str) -> None:
+    """Parquet sorted by character, so a character filter skips row groups.
 
-def save_index(index: DataFrame, table: str, buckets: int = 64) -> None:
-    """Bucketed table: a search on the bucketed character needs no shuffle of the index."""
-    (index.write.mode("overwrite").bucketBy(buckets, "char").sortBy("char", "font_id")
-     .format("parquet").saveAsTable(table))
+    Spark sizes the files: rows of a character come together, a hot character is split, small ones
+    share a file.
+    """
+    (index.hint("rebalance", "char").sortWithinPartitions("char", "font_id")
+     .write.mode("overwrite").parquet(path))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

@@ -31,6 +31,7 @@ def continuous_matching(
     serves requests that are spread. A batch that is run again replaces its own part.
     """
     def on_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()   # matched, listed and described below
         cands = vote.rank_candidates(vote.rank_weighted_votes(match(batch), groups))
         verdicts = vote.request_verdicts(batch, cands)
         # Distinct characters, so the list is bounded by the character set.
@@ -40,6 +41,7 @@ def continuous_matching(
             F.col("best_font").cast("string").alias("top"), F.col("confidence").alias("score"))
         lines = history.history_rows(rows.withColumn("top", F.coalesce("top", F.lit(""))), keep=["request_id"])
         lines.write.mode("overwrite").json(f"{path}/batch={batch_id}")
+        batch.unpersist()
 
     return crops.writeStream.foreachBatch(on_batch)
 
