@@ -10,6 +10,7 @@ import decimal
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -24,6 +25,9 @@ TABLES = (
 
 def connect(sf_dir: str):
     con = duckdb.connect()
+    # A twin that does not fit is ended, and its spill is not left in the working folder.
+    con.execute(f"SET temp_directory = '{tempfile.mkdtemp(prefix='run-')}'")
+    con.execute("SET max_temp_directory_size = '4GB'")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return con
