@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from typetrace.llm.common import stored
+
 # Identifiers of public licences with the names they go by.
 NAMES = {
     "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0"),
@@ -87,7 +89,9 @@ def known_licences(spark: SparkSession) -> DataFrame:
 
 def scan_licences(docs: DataFrame, catalogue: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row: ``doc_id``, ``licences`` (joined by commas, in order), ``n_notices`` (lines), ``whole_licence`` (or null)."""
-    digests = catalogue.select("licence", F.sha2(canonical(F.col("text")), 256).alias("digest")).filter(F.col("digest") != F.sha2(F.lit("  "), 256)).groupBy("digest").agg(F.min("licence").alias("licence"))
+    # Written first, so that its size is known when the join is planned and the texts are read once.
+    digests = stored(catalogue.select("licence", F.sha2(canonical(F.col("text")), 256).alias("digest")).filter(F.col("digest") != F.sha2(F.lit("  "), 256))
+                     .groupBy("digest").agg(F.min("licence").alias("licence")), "licence-digests")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     lines = F.transform(F.split("t", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("t")))
     units = texts.select("doc_id", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("t").alias("t"))), lines)).alias("u"))
