@@ -115,3 +115,34 @@ def test_coarse_stage_reads_no_field_and_limits_early(spark, tmp_path):
     q, t = spark.read.parquet(str(tmp_path / "q")), spark.read.parquet(str(tmp_path / "t"))
     plan = search.coarse_candidates(q, t, 1)._jdf.queryExecution().executedPlan().toString()
     assert "centred" not in plan and "field" not in plan and "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("coarse", ["popcount", "byte_weighted"])
+def test_coarse_only_forms_agree(spark, small, coarse):
+    crops, templates = small
+    cols = ("mark_id", "font_id", "rank", "score")
+    want = rows(search.match_marks_joined(crops, templates, 1, use_fields=False, coarse=coarse), *cols)
+    for fonts_per_task in (2000, 17):
+        got = search.match_marks(crops, templates, 1, 8, use_fields=False, coarse=coarse, fonts_per_task=fonts_per_task)
+        assert rows(got, *cols) == want
+    full = rows(search.match_marks_joined(crops, templates, 1, coarse_k=5, coarse=coarse), *cols)
+    assert rows(search.match_marks(crops, templates, 1, 8, coarse_k=5, coarse=coarse), *cols) == full
+
+
+def test_byte_weighted_grid_visits_all_bands(spark, small):
+    crops, templates = small
+    cols = ("mark_id", "font_id", "char", "rank", "iou")
+    one, many = (rows(search.search_grid(crops, templates, 1, 8, coarse="byte_weighted", templates_per_task=n), *cols) for n in (10_000, 50))
+    assert one == many and len(one) == 10 * crops.count()
+
+
+def test_fields_stay_out_of_coarse_shuffles(spark, tmp_path):
+    fx.crops(spark, SF).write.parquet(str(tmp_path / "q"))
+    fx.templates(spark, SF).write.parquet(str(tmp_path / "t"))
+    q, t = spark.read.parquet(str(tmp_path / "q")), spark.read.parquet(str(tmp_path / "t"))
+    plan = search.match_marks(q, t, 1, 8, use_fields=False)._jdf.queryExecution().executedPlan().toString()
+    assert "field:" not in plan and "vec:" not in plan and "field#" not in plan
+    grid = search.search_grid(q, t, 1, 8, prune=False)._jdf.queryExecution().executedPlan().toString()
+    lines = grid[grid.index("FlatMapCoGroupsInPandas"):].splitlines()
+    refining = next(i for i, line in enumerate(lines) if "_field" in line)   # the branches that fetch fields follow
+    assert refining > 5 and not any("field#" in line or "vec#" in line for line in lines[:refining])

@@ -114,11 +114,15 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column])
 
 
-def overlap_matrix(q_bits: np.ndarray, t_bits: np.ndarray) -> np.ndarray:
-    """Bitmap overlap of every query row with every template row, 0 where both are blank."""
+def overlap_matrix(q_bits: np.ndarray, t_bits: np.ndarray, byte_weighted: bool = False) -> np.ndarray:
+    """Bitmap overlap of every query row with every template row, 0 where both are blank.
+
+    ``byte_weighted`` sums packed bytes instead of pixels: the first pixel of eight weighs 128.
+    """
     q, t = q_bits.astype(np.float32), t_bits.astype(np.float32)
-    inter = (q @ t.T).astype(np.float64)
-    union = q.sum(axis=1)[:, None] + t.sum(axis=1)[None, :] - inter
+    weight = (128 >> (np.arange(q.shape[1]) % 8) if byte_weighted else np.ones(q.shape[1])).astype(np.float32)
+    inter = ((q * weight) @ t.T).astype(np.float64)
+    union = (q @ weight).astype(np.float64)[:, None] + (t @ weight).astype(np.float64)[None, :] - inter
     return np.where(union > 0, inter / np.where(union > 0, union, 1.0), 0.0)
 
 
@@ -132,8 +136,31 @@ def fused_matrix(q: pd.DataFrame, t: pd.DataFrame, side: int, reach: int, weight
     return ncc, cosine, (1.0 - weight) * ncc + weight * cosine
 
 
+def _coarse_lists(
+    n_words: int, k: int | None, byte_weighted: bool, order: list[str]
+) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Best ``k`` templates of a task for each of its queries, by overlap alone. Ties go by ``order``."""
+    keys = ["request_id", "mark_id"]
+
+    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        own = [c for c in keys if c in q]
+        columns = [*own, "font_id", "char", "iou"]
+        if q.empty or t.empty:
+            return pd.DataFrame(columns=columns)
+        t = t.sort_values(order, kind="stable").reset_index(drop=True)
+        iou = overlap_matrix(R.unpack(q["words"], n_words), R.unpack(t["words"], n_words), byte_weighted)
+        keep = np.argsort(-iou, axis=1, kind="stable")[:, :k]
+        rows, place = np.repeat(np.arange(len(q)), keep.shape[1]), keep.ravel()
+        out = {c: q[c].to_numpy()[rows] for c in own} | {c: t[c].to_numpy()[place] for c in ("font_id", "char")}
+        out = pd.DataFrame(out | {"iou": iou[rows, place]})[columns]
+        # Of a query that knows an overlap it has to reach, lower ones cannot be among the first k.
+        return out[iou[rows, place] >= q["least"].to_numpy()[rows]] if "least" in q else out
+
+    return run
+
+
 def _short_lists(
-    n_words: int, side: int, reach: int, coarse_k: int | None, top_k: int, weight: float
+    n_words: int, side: int, reach: int, coarse_k: int | None, weight: float, byte_weighted: bool
 ) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     columns = ["request_id", "mark_id", "char", "font_id", "iou", "ncc", "cosine", "score"]
 
@@ -141,17 +168,13 @@ def _short_lists(
         if q.empty or t.empty:
             return pd.DataFrame(columns=columns)
         t = t.sort_values("font_id", kind="stable").reset_index(drop=True)
-        iou = overlap_matrix(R.unpack(q["words"], n_words), R.unpack(t["words"], n_words))
+        iou = overlap_matrix(R.unpack(q["words"], n_words), R.unpack(t["words"], n_words), byte_weighted)
         keep = np.argsort(-iou, axis=1, kind="stable")[:, :coarse_k]
         keep.sort(axis=1)                                    # back to font order for ties
         used = np.unique(keep)
         ncc, cosine, score = fused_matrix(q, t.iloc[used], side, reach, weight)
         rows = np.arange(len(q))[:, None]
         place = np.searchsorted(used, keep)
-        if int(q["t_parts"].iloc[0]) == 1:
-            # The whole list of fonts is here, so the final short list is known here too.
-            best = np.argsort(-score[rows, place], axis=1, kind="stable")[:, :top_k]
-            keep, place = keep[rows, best], place[rows, best]
         width = keep.shape[1]
         return pd.DataFrame({
             "request_id": np.repeat(q["request_id"].to_numpy(), width),
@@ -168,22 +191,21 @@ def _short_lists(
 
 
 def deal(
-    crops: DataFrame, templates: DataFrame, key: str, crops_per_task: int, fonts_per_task: int
+    crops: DataFrame, templates: DataFrame, key: str, crops_per_task: int, fonts_per_task: int,
+    crop_keys: DataFrame | None = None, template_keys: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Give both sides ``(key, q_part, t_part)`` so that no task holds more than the two bounds.
 
     A hot key gets as many crop parts as its load asks for, each with its own copy of the key's
-    templates. Loads come from a count over the key column alone.
+    templates. Loads come from a count over the key column alone; if the sides are worked out
+    row by row, ``crop_keys`` and ``template_keys`` name tables that have the key before that.
     """
     parts = lambda n, size: F.ceil(F.col(n) / size).cast("int")
     load = (
-        crops.groupBy(key).agg(F.count("*").alias("n_q"))
-        .join(templates.groupBy(key).agg(F.count("*").alias("n_t")), key)
+        (crops if crop_keys is None else crop_keys).groupBy(key).agg(F.count("*").alias("n_q"))
+        .join((templates if template_keys is None else template_keys).groupBy(key).agg(F.count("*").alias("n_t")), key)
         .select(key, parts("n_q", crops_per_task).alias("q_parts"), parts("n_t", fonts_per_task).alias("t_parts"))
     )
-    # One row per key of both sides. Keys are characters of the index or ink-count bands, so the
-    # table is bounded by the code points there are (a few megabytes) and not by the data.
-    load = F.broadcast(load)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     share = lambda n, *ids: F.pmod(F.xxhash64(*ids), F.col(n)).cast("int")
     q = (crops.join(load, key).withColumn("q_part", share("q_parts", "mark_id"))
@@ -204,21 +226,35 @@ def match_marks(
     weight: float = S.HOG_WEIGHT,
     crops_per_task: int = 1000,
     fonts_per_task: int = 2000,
+    use_fields: bool = True,
+    coarse: str = "popcount",
+    crop_keys: DataFrame | None = None,
+    template_keys: DataFrame | None = None,
 ) -> DataFrame:
     """Short list of ``top_k`` fonts per crop with a 0-based ``rank``, shifts up to ``reach``.
 
-    A crop whose character has no template yields no row.
+    A crop whose character has no template yields no row. ``use_fields=False`` is the coarse-only
+    mode: the overlap is the score, and no field leaves its row.
     """
-    q, t = deal(crops, templates, "char", crops_per_task, fonts_per_task)
+    if not use_fields:
+        # Overlap alone is cheap per pair, so crops travel in larger parts and templates in fewer copies.
+        q, t = deal(crops, templates, "char", 20 * crops_per_task, fonts_per_task, crop_keys, template_keys)
+        keys = ["char", "q_part", "t_part"]
+        q, t = q.select("request_id", "mark_id", "words", *keys), t.select("font_id", "words", *keys)
+        schema = ", ".join(f"{f} {dict(q.dtypes + t.dtypes)[f]}" for f in ("request_id", "mark_id", "font_id", "char")) + ", iou double"
+        found = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(_coarse_lists(n_words, top_k, coarse == "byte_weighted", ["font_id"]), schema)
+        ranked = _first(found, ["mark_id"], [F.desc("iou"), F.asc("font_id")], top_k, "rank")
+        return ranked.withColumn("score", F.col("iou")).withColumn("rank", F.col("rank") - 1)
+    q, t = deal(crops, templates, "char", crops_per_task, fonts_per_task, crop_keys, template_keys)
     keys = ["char", "q_part", "t_part"]
-    q = q.select("request_id", "mark_id", "words", "field", "vec", "t_parts", *keys)
+    q = q.select("request_id", "mark_id", "words", "field", "vec", *keys)
     optional = ["moments"] if "moments" in t.columns else []
     t = t.select("font_id", "words", "field", "vec", *optional, *keys)
     schema = ", ".join(
         f"{f} {dict(q.dtypes + t.dtypes)[f]}" for f in ("request_id", "mark_id", "char", "font_id")
     ) + ", iou double, ncc double, cosine double, score double"
     found = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(
-        _short_lists(n_words, side, reach, coarse_k, top_k, weight), schema
+        _short_lists(n_words, side, reach, coarse_k, weight, coarse == "byte_weighted"), schema
     )
     # Parts of one character meet here. Both rankings share the shuffle on mark_id.
     found = _first(found, ["mark_id"], [F.desc("iou"), F.asc("font_id")], coarse_k, "coarse_rank")
@@ -252,34 +288,24 @@ def best_possible_overlap(pop: Column, lo: Column, hi: Column) -> Column:
     )
 
 
-def _grid_lists(n_words: int, side: int, reach: int, k: int, weight: float, refine_rows: int = 512):
-    columns = ["mark_id", "font_id", "char", "iou", "ncc", "cosine", "score"]
+def refined_pairs(pairs: DataFrame, queries: DataFrame, templates: DataFrame, side: int, reach: int, weight: float, block: int = 512) -> DataFrame:
+    """Fused score of (query, template) rows. Only these few fetch their fields, one side at a time."""
+    q = queries.select("mark_id", F.col("field").alias("q_field"), F.col("vec").alias("q_vec"))
+    t = templates.select("font_id", "char", F.col("field").alias("t_field"), F.col("vec").alias("t_vec"))
+    both = pairs.join(t, ["font_id", "char"]).join(q, "mark_id")
+    keep = [f for f in pairs.schema.fields]
 
-    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or t.empty:
-            return pd.DataFrame(columns=columns)
-        t = t.sort_values(["font_id", "char"], kind="stable").reset_index(drop=True)
-        q = q.reset_index(drop=True)
-        iou = overlap_matrix(R.unpack(q["words"], n_words), R.unpack(t["words"], n_words))
-        keep = np.argsort(-iou, axis=1, kind="stable")[:, :k]
-        qi = np.repeat(np.arange(len(q)), keep.shape[1])
-        ti = keep.ravel()
-        good = iou[qi, ti] >= q["least"].to_numpy()[qi]      # cannot be among the first k otherwise
-        qi, ti = qi[good], ti[good]
-        qf, tf = (_stack(d["field"]).reshape(len(d), side, side) for d in (q, t))
-        qv, tv = _stack(q["vec"]), _stack(t["vec"])
-        ncc = np.zeros(len(qi))
-        for i in range(0, len(qi), refine_rows):
-            part = slice(i, i + refine_rows)
-            ncc[part] = R.aligned_pairs(qf[qi[part]], tf[ti[part]], reach)
-        cosine = np.clip((qv[qi] * tv[ti]).sum(axis=1), 0.0, 1.0)
-        return pd.DataFrame({
-            "mark_id": q["mark_id"].to_numpy()[qi], "font_id": t["font_id"].to_numpy()[ti],
-            "char": t["char"].to_numpy()[ti], "iou": iou[qi, ti], "ncc": ncc, "cosine": cosine,
-            "score": (1.0 - weight) * ncc + weight * cosine,
-        })[columns]
+    def run(batches):
+        for pdf in batches:
+            for i in range(0, len(pdf), block):
+                part = pdf.iloc[i:i + block]
+                qf, tf = (_stack(part[c]).reshape(len(part), side, side) for c in ("q_field", "t_field"))
+                ncc = R.aligned_pairs(qf, tf, reach)
+                cosine = np.clip((_stack(part["q_vec"]) * _stack(part["t_vec"])).sum(axis=1), 0.0, 1.0)
+                yield part[[f.name for f in keep]].assign(ncc=ncc, cosine=cosine, score=(1.0 - weight) * ncc + weight * cosine)
 
-    return run
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep)
+    return both.mapInPandas(run, f"{ddl}, ncc double, cosine double, score double")
 
 
 def search_grid(
@@ -293,35 +319,38 @@ def search_grid(
     prune: bool = True,
     queries_per_task: int = 1000,
     templates_per_task: int = 2000,
+    coarse: str = "popcount",
 ) -> DataFrame:
     """Best ``k`` templates of the whole (font x character) index per query bitmap by overlap,
     re-ranked by fused score; ``rank`` is 0-based.
 
     The index is cut into bands of similar ink count. A query first visits the band of its own
     count; the k-th overlap found there then rules out every band whose best possible overlap
-    is lower, which changes no result. Bands are dealt into bounded tasks and a task only
-    returns its first ``k`` rows per query.
+    is lower, which changes no result. Bands are dealt into bounded tasks, a task only returns its
+    first ``k`` rows per query, and only bitmaps travel; the ``k`` rows left fetch their fields.
+    Byte-weighted overlaps have no such bound and visit every band.
     """
+    byte_weighted = coarse == "byte_weighted"
+    prune = prune and not byte_weighted
     bands = popcount_bands(templates, templates_per_task)
     literal = lambda i: F.array(*[F.lit(b[i]) for b in bands])
     t = templates.withColumn("band", F.size(F.filter(literal(1), lambda hi: hi < F.col("pop"))))
-    t = t.select("font_id", "char", "words", "field", "vec", "band")
-    q = queries.select("mark_id", "words", "pop", "field", "vec")
+    t = t.select("font_id", "char", "words", "band")
+    q = queries.select("mark_id", "words", "pop")
     choices = F.transform(
         F.arrays_zip(literal(0).alias("lo"), literal(1).alias("hi")),
         lambda b, i: F.struct(best_possible_overlap(F.col("pop"), b["lo"], b["hi"]).alias("at_most"), (-i).alias("neg")))
     q = q.withColumn("choices", choices).withColumn("home", -F.array_max("choices")["neg"])
     id_type, font_type = dict(q.dtypes)["mark_id"], dict(t.dtypes)["font_id"]
-    schema = (f"mark_id {id_type}, font_id {font_type}, char string, iou double, ncc double, "
-              "cosine double, score double")
+    schema = f"mark_id {id_type}, font_id {font_type}, char string, iou double"
 
     def visit(asked: DataFrame) -> DataFrame:
         dealt, index = deal(asked, t, "band", queries_per_task, templates_per_task)
         keys = ["band", "q_part", "t_part"]
-        left = dealt.select("mark_id", "words", "field", "vec", "least", *keys)
-        right = index.select("font_id", "char", "words", "field", "vec", *keys)
+        left = dealt.select("mark_id", "words", "least", *keys)
+        right = index.select("font_id", "char", "words", *keys)
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-            _grid_lists(n_words, side, reach, k, weight), schema)
+            _coarse_lists(n_words, k, byte_weighted, ["font_id", "char"]), schema)
 
     def first_k(found: DataFrame) -> DataFrame:
         return _first(found, ["mark_id"], [F.desc("iou"), F.asc("font_id"), F.asc("char")], k, "coarse_rank")
@@ -340,5 +369,6 @@ def search_grid(
         rest = (q.join(known, "mark_id", "left").withColumn("least", F.coalesce(least, F.lit(0.0)))
                 .withColumn("band", F.explode(hopeful)))
         found = first_k(at_home.unionByName(visit(rest)))
+    found = refined_pairs(found.drop("coarse_rank"), queries, templates, side, reach, weight)
     ranked = _first(found, ["mark_id"], [F.desc("score"), F.asc("font_id"), F.asc("char")], None, "rank")
     return ranked.withColumn("rank", F.col("rank") - 1)

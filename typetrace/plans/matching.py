@@ -148,7 +148,8 @@ def packed_bitmaps(spark, sf):
 SELECT mark_id, font_id, row_number() OVER (PARTITION BY mark_id ORDER BY iou DESC, font_id) - 1 AS rank, round(iou, 6) AS score
 FROM coarse QUALIFY rank < 5""")
 def match_marks_coarse_only(spark, sf):
-    rows = search.match_marks_joined(fx.crops(spark, sf), fx.templates(spark, sf), fx.WORDS, use_fields=False)
+    """The bounded form; the join form gives the same rows (tests/test_search.py)."""
+    rows = search.match_marks(fx.crops(spark, sf), fx.templates(spark, sf), fx.WORDS, fx.SIDE, use_fields=False)
     return rows.select("mark_id", "font_id", "rank", F.round("score", 6).alias("score"))
 
 
