@@ -38,12 +38,6 @@ def line_routes(spark, sf):
     ).withColumn("outcome", A.image_outcome(F.col("n_free"), F.col("n_guided")))
 
 
-@query("C3 C6 J7")
-def line_label_checks(spark, sf):
-    """Routes of all lines, including the check of every label against the whole index."""
-    return A.auto_match(fx.line_images(spark, sf), _index(spark, sf), fx.groups(spark, sf), SHAPE)["lines"]
-
-
 # Search of query bitmaps over template bitmaps given as px(k, id, y, x, ink), k being 'q' or 't'.
 _BITMAP_SEARCH = """w AS (SELECT k, id, sum(CASE WHEN ink = 1 THEN 1::HUGEINT << (63 - y * 8 - x)::INT ELSE 0 END)::HUGEINT AS w FROM px GROUP BY k, id),
 d AS (SELECT a.k, a.id, a.y, a.x,
@@ -126,6 +120,97 @@ SELECT r.request_id AS image_id, CASE WHEN score IS NULL THEN 'none' ELSE 'mixed
 FROM (SELECT DISTINCT request_id FROM crop) r LEFT JOIN best USING (request_id)"""
 
 
+def _search_sets() -> str:
+    """``_BITMAP_SEARCH`` with two kinds of coarse lists: ids under 2000000000 are searched over the whole index, the rest
+    over the templates of their own character."""
+    begin, end = _BITMAP_SEARCH.index("coarse AS ("), _BITMAP_SEARCH.index("ncc AS (")
+    return _BITMAP_SEARCH[:begin] + """coarse AS MATERIALIZED (
+  SELECT * FROM (SELECT q.id AS mark_id, t.id, bit_count(q.w & t.w) / bit_count(q.w | t.w) AS iou
+                 FROM w q JOIN w t ON q.k = 'q' AND t.k = 't' AND q.id < 2000000000
+                 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY bit_count(q.w & t.w) / bit_count(q.w | t.w) DESC, t.id) <= 10)
+  UNION ALL
+  SELECT * FROM (SELECT q.id AS mark_id, t.id, bit_count(q.w & t.w) / bit_count(q.w | t.w) AS iou
+                 FROM w q JOIN mark g ON q.k = 'q' AND q.id = 2000000000 + g.line_id * 100 + g.seg_no
+                 JOIN w t ON t.k = 't' AND t.id % 5 = ascii(g.char) - 97
+                 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY bit_count(q.w & t.w) / bit_count(q.w | t.w) DESC, t.id) <= 50)),
+""" + _BITMAP_SEARCH[end:]
+
+
+# The automatic flow as one statement. Query bitmaps come in three sets by id: segments read without their text, marks
+# for the label check (from 1000000000), and marks matched under their label (from 2000000000).
+_FLOW = _UNDETECTED[:_UNDETECTED.index("box AS (SELECT c.line_id")] + """
+fbox AS (SELECT c.line_id, c.line_id * 100 + row_number() OVER (PARTITION BY c.line_id ORDER BY c.x0) AS id, c.x0, x1 - c.x0 AS w, min(y) AS y0, max(y) - min(y) + 1 AS h
+         FROM cut c JOIN img m ON m.line_id = c.line_id AND m.ink = 1 AND m.x >= c.x0 AND m.x < c.x1 GROUP BY c.line_id, c.x0, x1),
+lines AS (SELECT request_id AS line_id, true_font AS image_id, mode AS line_no, (request_id * 7 % 100) / 100.0::DOUBLE AS score, 8 * (40 + request_id % 9) AS area,
+            CASE WHEN request_id % 7 = 3 THEN 'abdce' WHEN request_id % 11 = 5 THEN 'abcd' WHEN request_id % 13 = 6 THEN '-,.' ELSE 'abcde' END AS text
+          FROM (SELECT DISTINCT request_id, true_font, mode FROM crop)),
+large AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, line_no) AS line_rank FROM lines QUALIFY line_rank <= 3),
+kept AS (SELECT line_id, x0, x1, row_number() OVER (PARTITION BY line_id ORDER BY x0) AS n
+         FROM (SELECT *, list_sort(list(x1 - x0) OVER (PARTITION BY line_id)) AS ws FROM runs WHERE x1 - x0 >= 5 OR x1 = width)
+         WHERE x1 - x0 > 0.35::DOUBLE * ws[len(ws) // 2 + 1]),
+chars AS (SELECT line_id, generate_subscripts(u, 1) AS n, unnest(u) AS char
+          FROM (SELECT line_id, regexp_extract_all(substr(text, 1, 20), '[\\p{L}\\p{N}]') AS u FROM large)),
+plan AS (SELECT l.*, coalesce(c.n, 0) AS n_chars, coalesce(k.n, 0) AS n_segs FROM large l
+         LEFT JOIN (SELECT line_id, count(*) AS n FROM chars GROUP BY 1) c USING (line_id) LEFT JOIN (SELECT line_id, count(*) AS n FROM kept GROUP BY 1) k USING (line_id)),
+mark AS MATERIALIZED (
+  SELECT k.line_id, k.n - 1 AS seg_no, c.char, k.x0, k.x1, min(m.y) AS y0, max(m.y) AS y1
+  FROM kept k JOIN chars c ON c.line_id = k.line_id AND c.n = k.n JOIN plan p ON p.line_id = k.line_id AND p.score >= 0.6 AND p.n_chars > 0 AND p.n_segs = p.n_chars
+  JOIN img m ON m.line_id = k.line_id AND m.ink = 1 AND m.x >= k.x0 AND m.x < k.x1 GROUP BY ALL),
+own AS (SELECT m.line_id * 100 + m.seg_no AS mid, d.y, d.x, d.ink, sum(d.ink) OVER own AS n_dark, count(*) OVER own AS n_all
+        FROM mark m JOIN dark d ON d.line_id = m.line_id AND d.x >= m.x0 AND d.x < m.x1 AND d.y BETWEEN m.y0 AND m.y1
+        WINDOW own AS (PARTITION BY m.line_id, m.seg_no)),
+mink AS MATERIALIZED (SELECT mid, y, x, CASE WHEN 2 * n_dark <= n_all THEN ink ELSE 1 - ink END AS ink FROM own),
+mbox AS (SELECT mid, min(x) AS a0, max(x) + 1 - min(x) AS aw, min(x) FILTER (ink = 1) AS x0, max(x) FILTER (ink = 1) + 1 - min(x) FILTER (ink = 1) AS w,
+           min(y) FILTER (ink = 1) AS y0, max(y) FILTER (ink = 1) + 1 - min(y) FILTER (ink = 1) AS h FROM mink GROUP BY mid HAVING sum(ink) > 0),
+boxes AS (SELECT id, x0, w, y0, h FROM fbox UNION ALL SELECT 1000000000 + mid, a0, aw, y0, h FROM mbox UNION ALL SELECT 2000000000 + mid, x0, w, y0, h FROM mbox),
+source AS (SELECT f.id, m.y, m.x, m.ink FROM fbox f JOIN img m ON m.line_id = f.line_id
+           UNION ALL SELECT 1000000000 + mid, y, x, ink FROM mink UNION ALL SELECT 2000000000 + mid, y, x, ink FROM mink),
+fit AS (SELECT *, greatest(round_even(h * least(8 / h, 8 / w), 0), 1)::BIGINT AS nh, greatest(round_even(w * least(8 / h, 8 / w), 0), 1)::BIGINT AS nw FROM boxes),
+sizes AS (SELECT h AS n_in, nh AS n_out FROM fit UNION SELECT w, nw FROM fit),""" + _COEF + """,
+hp AS (SELECT f.id, m.y - f.y0 AS y, o AS x, nh, nw, h, least(greatest(floor((sum(ink * 255 * k) + 2097152) / 4194304), 0), 255) AS v
+       FROM fit f JOIN source m ON m.id = f.id AND m.x >= f.x0 AND m.x < f.x0 + f.w AND m.y >= f.y0 AND m.y < f.y0 + f.h
+       JOIN coef ON n_in = w AND n_out = nw AND i = m.x - f.x0 GROUP BY ALL),
+vp AS (SELECT id, o + (8 - nh) // 2 AS y, x + (8 - nw) // 2 AS x, (floor((sum(v * k) + 2097152) / 4194304) > 32)::INT AS ink
+       FROM hp JOIN coef ON n_in = h AND n_out = nh AND i = y GROUP BY id, o, x, nh, nw),
+px AS MATERIALIZED (SELECT * FROM drawn WHERE k = 't'
+       UNION ALL SELECT 'q', f.id, y, x, coalesce(ink, 0) FROM (SELECT fit.id, y, x FROM fit, range(0, 8) a(y), range(0, 8) b(x)) f
+       LEFT JOIN vp USING (id, y, x)),
+""" + _search_sets() + """,
+found AS MATERIALIZED (SELECT * FROM fused),
+best AS (SELECT mark_id, id // 5 AS font_id, chr((97 + id % 5)::INT) AS char, score FROM found WHERE mark_id < 2000000000
+         QUALIFY row_number() OVER (PARTITION BY mark_id ORDER BY round(score, 9) DESC, id) = 1),
+agree AS (SELECT m.line_id, bool_and(coalesce(b.char = m.char AND b.score >= 0.6, false)) AS agree
+          FROM mark m LEFT JOIN best b ON b.mark_id = 1000000000 + m.line_id * 100 + m.seg_no GROUP BY m.line_id),
+routed AS MATERIALIZED (
+  SELECT p.image_id, p.line_id, p.line_rank, CASE WHEN p.score < 0.6 THEN 'free' WHEN n_chars = 0 THEN 'skip' WHEN n_segs <> n_chars THEN 'free'
+           WHEN NOT coalesce(agree, false) THEN 'free' ELSE 'guided' END AS route FROM plan p LEFT JOIN agree USING (line_id))
+"""
+_ROUTES = _FLOW + "SELECT image_id, line_id::VARCHAR AS line_id, line_rank, route FROM routed"
+_VERDICTS = _FLOW + """, same(font_id, group_id) AS (VALUES (0, 0), (1, 0), (2, 2), (3, 2)),
+tops AS (SELECT r.image_id, f.mark_id, f.id // 5 AS font_id, f.score, row_number() OVER (PARTITION BY f.mark_id ORDER BY f.score DESC, f.id) - 1 AS rank
+         FROM found f JOIN routed r ON f.mark_id >= 2000000000 AND r.line_id = (f.mark_id - 2000000000) // 100 AND r.route = 'guided' QUALIFY rank < 5),
+seen AS (SELECT r.image_id, b.font_id, b.score, 0 AS late FROM best b JOIN routed r ON b.mark_id < 1000000000 AND r.line_id = b.mark_id // 100 AND r.route = 'free' WHERE b.score >= 0.6
+         UNION ALL SELECT image_id, font_id, score, 1 FROM tops WHERE rank = 0 AND score >= 0.6),
+image AS (SELECT l.image_id, CASE WHEN coalesce(n_free, 0) > 0 THEN 'mixed' WHEN coalesce(n_marks, 0) > 0 THEN 'guided' ELSE 'none' END AS outcome
+          FROM (SELECT DISTINCT image_id FROM lines) l LEFT JOIN (SELECT image_id, count(*) AS n_free FROM seen WHERE late = 0 GROUP BY 1) USING (image_id)
+          LEFT JOIN (SELECT r.image_id, count(*) AS n_marks FROM mark m JOIN routed r ON r.line_id = m.line_id AND r.route = 'guided' GROUP BY 1) USING (image_id)),
+counted AS (SELECT image_id, coalesce(group_id, s.font_id) AS group_id, avg(score) AS score, count(*) AS votes
+            FROM seen s LEFT JOIN same USING (font_id) JOIN image USING (image_id) WHERE outcome = 'mixed' GROUP BY ALL),
+weighted AS (SELECT image_id, coalesce(group_id, t.font_id) AS group_id, avg(score * (1 - 0.15::DOUBLE * rank)) AS score, count(*) AS votes
+             FROM tops t LEFT JOIN same USING (font_id) JOIN image USING (image_id) WHERE outcome = 'guided' GROUP BY ALL),
+first AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY votes DESC, score DESC, group_id) = 1
+          UNION ALL SELECT * FROM weighted WHERE score >= 0.55 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, group_id) = 1)
+SELECT i.image_id, outcome, CASE WHEN score IS NULL THEN 'unknown' WHEN score >= 0.9 THEN 'free' WHEN score >= 0.75 THEN 'suspect' ELSE 'risky' END AS verdict,
+       round(CASE WHEN outcome = 'guided' THEN round(coalesce(score, 0), 4) ELSE coalesce(score, 0) END, 6) AS confidence, group_id AS best_font, coalesce(votes, 0) AS votes
+FROM image i LEFT JOIN first USING (image_id)"""
+
+
+@query("C3 C6 J7", _ROUTES)
+def line_label_checks(spark, sf):
+    """Routes of all lines, including the check of every label against the whole index."""
+    return A.auto_match(fx.line_images(spark, sf), _index(spark, sf), fx.groups(spark, sf), SHAPE)["lines"]
+
+
 @query("C7", _C7)
 def text_free_search(spark, sf):
     """Whole-index search of every glyph bitmap by field and orientation with a shift search."""
@@ -136,7 +221,7 @@ def text_free_search(spark, sf):
         "mark_id", "rank", "font_id", "char", F.round("iou", 6).alias("iou"), F.round("score", 6).alias("score"))
 
 
-@query("C11")
+@query("C11 C10", _VERDICTS)
 def auto_verdicts(spark, sf):
     out = A.auto_match(fx.line_images(spark, sf), _index(spark, sf), fx.groups(spark, sf), SHAPE)["images"]
     return out.withColumn("confidence", F.round("confidence", 6))
