@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from typetrace.functions import boxes as B, rasters as R, scores as S, text as T
-from typetrace.operators import fields as D, search, segment as G, vote
+from typetrace.operators import catalog, fields as D, search, segment as G, vote
 from typetrace.session import cut_lineage
+from typetrace.sources.lines import complete_lines
 
 MAX_LINES = 3
 LINE_SURE_FROM = 0.6   # below this the text of a line is not trusted
@@ -158,11 +159,33 @@ def untrimmed_bitmaps(marks: DataFrame, side: int) -> DataFrame:
         run, f"mark_id {dict(marks.dtypes)['mark_id']}, bits array<bigint>")
 
 
-def text_free_search(bitmaps: DataFrame, templates: DataFrame, shape: Shape) -> DataFrame:
+def cut_windows(images: DataFrame, boxes: DataFrame, window: Column) -> DataFrame:
+    """Pixels of ``boxes(image_id, ..)`` cut from ``images(image_id, height, width, px array)``.
+
+    ``window`` is a struct of x0, y0, x1, y1 worked out from the box and the image's ``height`` and
+    ``width``; an empty one yields no row. Other columns of ``boxes`` go along.
+    """
+    w, keep = F.col("_w"), [c for c in boxes.columns if c not in ("height", "width", "px")]
+    row = lambda y: F.slice("px", (y * F.col("width") + w["x0"] + 1).cast("int"), (w["x1"] - w["x0"]).cast("int"))
+    cut = boxes.select(*keep).join(images.select("image_id", "height", "width", "px"), "image_id").withColumn("_w", window)
+    # Pixels first: inside a lambda, a name of the same select would win over the image's own column.
+    cut = cut.filter(~B.window_is_empty(w)).withColumn("_px", F.flatten(F.transform(F.sequence(w["y0"], w["y1"] - 1), row)))
+    return cut.select(
+        *keep, (w["y1"] - w["y0"]).cast("int").alias("height"), (w["x1"] - w["x0"]).cast("int").alias("width"), F.col("_px").alias("px"))
+
+
+def cut_lines(images: DataFrame, lines: DataFrame) -> DataFrame:
+    """Line images of complete OCR lines, cut from their images by the lines' boxes."""
+    return cut_windows(images, complete_lines(lines), B.crop_window(F.col("box"), F.col("width"), F.col("height")))
+
+
+def text_free_search(
+    bitmaps: DataFrame, templates: DataFrame, shape: Shape, k: int = search.GRID_K
+) -> DataFrame:
     """Search of segment bitmaps ``(mark_id, bits)`` over the whole index."""
     # The search reads its queries several times; features are worked out once and stored.
     features = cut_lineage(D.crop_features(bitmaps, shape.side, shape.index_side, shape.cells))
-    return search.search_grid(features, templates, shape.n_words, shape.index_side, shape.reach)
+    return search.search_grid(features, templates, shape.n_words, shape.index_side, shape.reach, k)
 
 
 def sure_and_usable(found: DataFrame, floor: float = S.MIN_AUTO) -> DataFrame:
@@ -183,17 +206,27 @@ def _mark_key(guided: bool) -> Column:
     return F.concat_ws("/", F.col("line_id").cast("string"), F.lit("g" if guided else "f"), F.col("seg_no").cast("string"))
 
 
-def free_votes(inked: DataFrame, templates: DataFrame, shape: Shape) -> DataFrame:
-    """Votes of lines read without their text: merge fragments, split wide pieces, search each."""
+def free_votes(
+    inked: DataFrame, templates: DataFrame, shape: Shape, floor: float = S.MIN_AUTO, k: int = search.GRID_K, listed: int = 3
+) -> DataFrame:
+    """Votes of lines read without their text: merge fragments, split wide pieces, search each.
+
+    ``top`` holds the first ``listed`` templates of a segment.
+    """
     pieces = G.split_wide(G.merge_fragments(line_runs(inked), inked.select("line_id", "width")))
     numbered = pieces.withColumn("seg_no", F.row_number().over(W.partitionBy("line_id").orderBy("x0", "part")) - 1)
     bitmaps = segment_bitmaps(inked, numbered.select("line_id", "seg_no", "x0", "x1"), shape.side)
     keyed = bitmaps.withColumn("mark_id", _mark_key(False))
-    best = sure_and_usable(text_free_search(keyed.select("mark_id", "bits"), templates, shape))
+    found = text_free_search(keyed.select("mark_id", "bits"), templates, shape, k).filter(F.col("rank") < max(listed, 1))
+    tops = found.groupBy("mark_id").agg(F.sort_array(F.collect_list(F.struct("rank", "font_id", "char", "score"))).alias("top"))
+    best = sure_and_usable(found, floor).join(tops, "mark_id")
     place = F.split("mark_id", "/")
     return best.select(
         F.get(place, F.lit(0)).alias("line_id"), F.get(place, F.lit(2)).cast("int").alias("seg_no"),
-        "font_id", "char", "score")
+        "font_id", "char", "score", "top")
+
+
+NOTHING_COMPARED = "no character could be compared"
 
 
 def auto_match(
@@ -203,13 +236,24 @@ def auto_match(
     shape: Shape = Shape(),
     max_lines: int | None = MAX_LINES,
     max_chars: int | None = T.MAX_LINE_CHARS,
+    fonts: DataFrame | None = None,
+    coarse_k: int | None = S.COARSE_K,
+    grid_k: int = search.GRID_K,
+    top_k: int | None = S.TOP_K,
+    floor: float = S.MIN_AUTO,
+    listed: int = 3,
 ) -> dict[str, DataFrame]:
-    """Outcome of every image over its largest lines: ``lines`` with routes, ``votes`` and ``images``.
+    """Outcome of every image over its largest complete lines.
+
+    ``lines`` has their routes, ``candidates`` the groups in order with the first character each was
+    seen for, ``segments`` the first ``listed`` templates of every segment read without text,
+    ``chars_used`` the characters in the order of candidates, ``images`` verdicts and notes. With
+    ``fonts``, candidates carry name, licence and source.
 
     ``line_id`` is text without a slash. A line with score 0 is always read without its text,
     which is also how an image in which no line was detected is passed in.
     """
-    top = largest_lines(lines, top=max_lines).drop("area", "box")
+    top = largest_lines(complete_lines(lines), top=max_lines).drop("area", "box")
     inked = cut_lineage(with_ink(top))   # every branch below reads it
     widths = inked.select("line_id", "width")
     kept = cut_lineage(G.number_segments(G.drop_narrow(G.long_enough(line_runs(inked), widths))))
@@ -226,8 +270,8 @@ def auto_match(
     paired = kept.join(chars, ["line_id", "seg_no"]).join(maybe.select("line_id"), "line_id", "left_semi")
     marks = mark_images(inked, paired.select("line_id", "seg_no", "char", "x0", "x1"))
     marks = cut_lineage(marks.withColumn("mark_id", _mark_key(True)))
-    read = text_free_search(untrimmed_bitmaps(marks, shape.side), templates, shape)
-    agree = labels_agree(marks, read)
+    read = text_free_search(untrimmed_bitmaps(marks, shape.side), templates, shape, grid_k)
+    agree = labels_agree(marks, read, floor)
     routed = plan.join(agree, "line_id", "left").withColumn(
         "route", line_route(F.col("score"), F.col("n_chars"), F.col("n_segs"), F.col("agree")))
     routed = routed.select("image_id", "line_id", "line_rank", "route")
@@ -235,17 +279,18 @@ def auto_match(
 
     of_route = lambda df, r: df.join(
         cut_routes.filter(F.col("route") == r).select("line_id"), "line_id", "left_semi")
-    free = free_votes(of_route(inked, "free"), templates, shape)
+    free = cut_lineage(free_votes(of_route(inked, "free"), templates, shape, floor, grid_k, listed))
     trusted = of_route(marks, "guided").join(cut_routes.select("line_id", "image_id", "line_rank"), "line_id")
     crops = cut_lineage(D.crop_features(
         D.normalise_crops(trusted.withColumnRenamed("image_id", "request_id"), shape.side),
         shape.side, shape.index_side, shape.cells))
-    tops = cut_lineage(search.match_marks(crops, templates, shape.n_words, shape.index_side, shape.reach))
+    tops = cut_lineage(search.match_marks(
+        crops, templates, shape.n_words, shape.index_side, shape.reach, coarse_k, S.TOP_K if top_k is None else top_k, crop_keys=trusted))
     order = F.struct("late", "line_rank", "seg_no")
     free_seen = free.join(cut_routes.select("line_id", "image_id", "line_rank"), "line_id").withColumn("late", F.lit(0))
     mark_place = trusted.select("mark_id", "line_rank", "seg_no")
     guided_seen = (
-        tops.filter((F.col("rank") == 0) & (F.col("score") >= S.MIN_AUTO)).join(mark_place, "mark_id")
+        tops.filter((F.col("rank") == 0) & (F.col("score") >= floor)).join(mark_place, "mark_id")
         .withColumnRenamed("request_id", "image_id").withColumn("late", F.lit(1))
     )
     as_votes = lambda df: vote.with_group(df, groups).select(
@@ -262,20 +307,31 @@ def auto_match(
     )
     has = lambda df, o: df.join(
         images.filter(F.col("outcome") == o).select("request_id"), "request_id", "left_semi")
-    mixed = vote.rank_candidates(has(counted, "mixed"), min_score=None, by_votes=True).select(
-        "request_id", "group_id", "score", "votes", "rank")
-    guided = vote.rank_candidates(vote.rank_weighted_votes(has(tops, "guided"), groups)).select(
-        "request_id", "group_id", "score", "votes", "rank")
-    candidates = mixed.unionByName(guided)
-    best = candidates.filter(F.col("rank") == 1).drop("rank")
+    every = vote.rank_candidates(has(counted, "mixed"), min_score=None, top_k=None, by_votes=True)
+    mixed = (every if top_k is None else every.filter(F.col("rank") <= top_k)).select(
+        "request_id", "group_id", "score", "votes", "rank", "char_matched")
+    guided = vote.rank_candidates(vote.rank_weighted_votes(has(tops, "guided"), groups), top_k=top_k).select(
+        "request_id", "group_id", "score", "votes", "rank", F.lit(None).cast("string").alias("char_matched"))
+    candidates = cut_lineage(mixed.unionByName(guided))
+    # Characters by the place of their candidate, then by their own; the list is bounded by the character set.
+    used = (seen.join(every.select("request_id", "group_id", "rank"), ["request_id", "group_id"])
+            .groupBy("request_id", "char").agg(F.min(F.struct("rank", "ord")).alias("at"))
+            .groupBy(F.col("request_id").alias("image_id")).agg(
+                F.transform(F.sort_array(F.collect_list(F.struct("at", "char"))), lambda c: c["char"]).alias("chars_used")))
+    segments = free.join(cut_routes.select("line_id", "image_id"), "line_id").select("image_id", "line_id", "seg_no", "char", "top")
+    best = candidates.filter(F.col("rank") == 1).select("request_id", "group_id", "score", "votes")
     verdicts = images.join(best, "request_id", "left").select(
         F.col("request_id").alias("image_id"), "outcome",
         S.verdict(F.col("score")).alias("verdict"),
         # The guided path reports a rounded confidence, the mixed path the plain mean.
         F.when(F.col("outcome") == "guided", F.round("score", 4)).otherwise(F.col("score")).alias("confidence"),
         F.col("group_id").alias("best_font"), F.coalesce("votes", F.lit(0)).alias("votes"),
+        F.when(F.col("score").isNull(), NOTHING_COMPARED).alias("note"),
     ).fillna(0.0, ["confidence"])
-    return {"lines": cut_routes, "candidates": candidates, "images": verdicts}
+    if fonts is not None:
+        candidates = catalog.with_metadata(candidates, fonts)
+    return {"lines": cut_routes, "candidates": candidates.withColumnRenamed("request_id", "image_id"),
+            "segments": segments, "chars_used": used, "images": verdicts}
 
 
 def whole_image_lines(images: DataFrame) -> DataFrame:

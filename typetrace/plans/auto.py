@@ -224,7 +224,79 @@ def text_free_search(spark, sf):
 @query("C11 C10", _VERDICTS)
 def auto_verdicts(spark, sf):
     out = A.auto_match(fx.line_images(spark, sf), _index(spark, sf), fx.groups(spark, sf), SHAPE)["images"]
-    return out.withColumn("confidence", F.round("confidence", 6))
+    return out.drop("note").withColumn("confidence", F.round("confidence", 6))
+
+
+_SEEN = """, same(font_id, group_id) AS (VALUES (0, 0), (1, 0), (2, 2), (3, 2)),
+tops AS (SELECT r.image_id, f.mark_id, m.char, line_rank, m.seg_no, f.id // 5 AS font_id, f.score, row_number() OVER (PARTITION BY f.mark_id ORDER BY f.score DESC, f.id) - 1 AS rank
+         FROM mark m JOIN routed r ON r.line_id = m.line_id AND r.route = 'guided' JOIN found f ON f.mark_id = 2000000000 + m.line_id * 100 + m.seg_no QUALIFY rank < 5),
+seen AS MATERIALIZED (
+  SELECT image_id, coalesce(group_id, s.font_id) AS group_id, score, char, late * 1000000 + line_rank * 1000 + seg_no AS ord, late FROM (
+    SELECT r.image_id, b.font_id, b.char, b.score, 0 AS late, line_rank, b.mark_id % 100 AS seg_no FROM best b JOIN routed r ON b.mark_id < 1000000000 AND r.line_id = b.mark_id // 100 AND r.route = 'free' WHERE b.score >= 0.6
+    UNION ALL SELECT image_id, font_id, char, score, 1, line_rank, seg_no FROM tops WHERE rank = 0 AND score >= 0.6) s LEFT JOIN same USING (font_id)),
+freed AS (SELECT DISTINCT image_id FROM seen WHERE late = 0),
+counted AS (SELECT image_id, group_id, avg(score) AS score, count(*) AS votes, arg_min(char, ord) AS char_matched FROM seen SEMI JOIN freed USING (image_id) GROUP BY ALL),
+every AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY votes DESC, score DESC, group_id) AS rank FROM counted),
+weighted AS (SELECT image_id, coalesce(group_id, t.font_id) AS group_id, avg(score * (1 - 0.15::DOUBLE * rank)) AS score, count(*) AS votes
+             FROM tops t LEFT JOIN same USING (font_id) WHERE image_id NOT IN (SELECT image_id FROM freed) GROUP BY ALL)
+"""
+
+
+@query("C11 J3", _FLOW + _SEEN + """SELECT c.image_id, group_id, rank, votes, char_matched, round(score, 6) AS score, coalesce(p_name, group_id::VARCHAR) AS name
+FROM (SELECT image_id, group_id, rank, votes, char_matched, score FROM every WHERE rank <= 5
+      UNION ALL SELECT image_id, group_id, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, group_id) AS rank, votes, NULL, score
+      FROM weighted WHERE score >= 0.55 QUALIFY rank <= 5) c LEFT JOIN part ON p_partkey = group_id""")
+def auto_candidates(spark, sf):
+    meta = fx.font_rows(spark, sf).withColumn("source_url", F.concat(F.lit("http://"), "style"))
+    out = A.auto_match(fx.line_images(spark, sf), _index(spark, sf), fx.groups(spark, sf), SHAPE, fonts=meta)["candidates"]
+    return out.select("image_id", "group_id", "rank", "votes", "char_matched", F.round("score", 6).alias("score"), "name")
+
+
+@query("C8 C11", _FLOW + """, listed AS (
+  SELECT mark_id, string_agg(id // 5 || ':' || chr((97 + id % 5)::INT), ',' ORDER BY n) AS top
+  FROM (SELECT mark_id, id, row_number() OVER (PARTITION BY mark_id ORDER BY round(score, 9) DESC, id) AS n FROM found WHERE mark_id < 1000000000 QUALIFY n <= 3) GROUP BY 1)
+SELECT r.image_id, r.line_id::VARCHAR AS line_id, (b.mark_id % 100 - 1)::INT AS seg_no, b.char, l.top
+FROM best b JOIN routed r ON b.mark_id < 1000000000 AND r.line_id = b.mark_id // 100 AND r.route = 'free' JOIN listed l USING (mark_id) WHERE b.score >= 0.6""")
+def auto_evidence(spark, sf):
+    """First three templates of every segment that was read without its text."""
+    out = A.auto_match(fx.line_images(spark, sf), _index(spark, sf), fx.groups(spark, sf), SHAPE)["segments"]
+    one = F.transform("top", lambda c: F.concat_ws(":", c["font_id"], c["char"]))
+    return out.select("image_id", "line_id", "seg_no", "char", F.array_join(one, ",").alias("top"))
+
+
+@query("C11", _FLOW + _SEEN + """, used AS (SELECT s.image_id, char, min(rank * 10000000 + ord) AS place FROM seen s JOIN every e ON e.image_id = s.image_id AND e.group_id = s.group_id GROUP BY ALL)
+SELECT image_id, string_agg(char, '' ORDER BY place) AS chars_used FROM used GROUP BY image_id""")
+def auto_characters(spark, sf):
+    out = A.auto_match(fx.line_images(spark, sf), _index(spark, sf), fx.groups(spark, sf), SHAPE)["chars_used"]
+    return out.select("image_id", F.array_join("chars_used", "").alias("chars_used"))
+
+
+@query("C12", """SELECT vec_id AS image_id, 'no text found in the image' AS error FROM embeddings WHERE vec_id % 3 = 0
+UNION ALL SELECT image_id, 'no text found in the image' FROM (
+  SELECT vec_id AS image_id, least(greatest(floor((unnest(embedding)::DOUBLE + 0.6::DOUBLE) / 1.2::DOUBLE * 256), 0), 255)::INT AS level FROM embeddings WHERE vec_id % 3 <> 0)
+GROUP BY image_id HAVING min(level) = max(level)""")
+def blank_images(spark, sf):
+    """Every third image is plain paper."""
+    paper = F.transform("px", lambda _: F.lit(200))
+    images = fx.glyph_images(spark, sf).withColumn("px", F.when(F.col("image_id") % 3 == 0, paper).otherwise(F.col("px")))
+    return A.blank_images(images)
+
+
+@query("P6 S7", fx.with_views("pixels") + """,
+box AS (SELECT image_id, (image_id % 5) - 1.5::DOUBLE AS ax, (image_id % 3) - 0.5::DOUBLE AS ay, (image_id % 5) + 3.75::DOUBLE AS bx, (image_id % 3) + image_id % 7 + 0.25::DOUBLE AS yy
+        FROM (SELECT DISTINCT image_id FROM px) WHERE image_id % 11 <> 4 AND image_id % 13 <> 5),
+w AS (SELECT image_id, greatest(trunc(ax), 0) AS x0, greatest(trunc(ay), 0) AS y0, least(trunc(bx), 8) AS x1, least(trunc(yy), 8) AS y1 FROM box)
+SELECT w.image_id, (y1 - y0)::INT AS height, (x1 - x0)::INT AS width, string_agg(level, ' ' ORDER BY y, x) AS px
+FROM w JOIN px ON px.image_id = w.image_id AND x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY ALL""")
+def line_crops(spark, sf):
+    """Lines cut from their images: incomplete rows and empty windows give none."""
+    k = F.col("image_id")
+    images = fx.glyph_images(spark, sf)
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    ax, ay, bx, by = k % 5 - 1.5, k % 3 - 0.5, k % 5 + 3.75, k % 3 + k % 7 + 0.25
+    lines = images.select("image_id", F.when(k % 11 == 4, None).otherwise(F.array(point(ax, ay), point(bx, ay), point(bx, by), point(ax, by))).alias("box"),
+                          F.lit("t").alias("text"), F.when(k % 13 == 5, None).otherwise(F.lit(0.9)).alias("score"))
+    return A.cut_lines(images, lines).select("image_id", "height", "width", F.array_join(F.col("px").cast("array<string>"), " ").alias("px"))
 
 
 @query("C8 C12", _UNDETECTED)
@@ -233,4 +305,4 @@ def undetected_image_verdicts(spark, sf):
     images = fx.line_images(spark, sf).select(
         F.col("line_id").cast("bigint").alias("image_id"), "height", "width", "px")
     out = A.auto_match(A.whole_image_lines(images), _index(spark, sf), fx.groups(spark, sf), SHAPE)["images"]
-    return out.withColumn("confidence", F.round("confidence", 6))
+    return out.drop("note").withColumn("confidence", F.round("confidence", 6))
