@@ -27,6 +27,7 @@ from typetrace.llm.training import labelled_texts
 
 ROWS, BITS, G2, VOCABULARY = 40_000, 40, 25.0, 4096
 FACTORS, STEPS, RATE, RIDGE = 8, 200, 0.1, 2e-4
+BLOCK_TERMS = 200_000
 STEMS = (4, 5, 6)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*b"abcdefghijklmnopqrstuvwxyz'", *range(0x80, 256)]] = True
@@ -90,12 +91,19 @@ def fit_machine(vocabulary: Vocabulary, n: int, text: np.ndarray, term: np.ndarr
     mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     at = {"b": np.array([np.log(mean / (1 - mean))]), "w": np.zeros(m), "v": np.random.default_rng(5).normal(0, 0.05, (m, factors))}
     first, second = ({k: np.zeros_like(v) for k, v in at.items()} for _ in range(2))
+    # Rows are worked through in blocks of so many terms, which bounds the temporaries.
+    ends = np.searchsorted(text, np.arange(n + 1))
+    cuts = np.unique(np.concatenate([np.searchsorted(ends, np.arange(0, len(text), BLOCK_TERMS)), [0, n]]))
     for step in range(1, steps + 1):
-        energy, sums = _energy(n, text, term, at["b"][0], at["w"], at["v"])
-        gap = (1 / (1 + np.exp(-np.clip(energy, -30, 30))) - y) / n
-        pull = gap[text][:, None] * (sums[text] - at["v"][term])
-        slope = {"b": np.array([gap.sum()]), "w": np.bincount(term, weights=gap[text], minlength=m) + ridge * at["w"] / m,
-                 "v": np.stack([np.bincount(term, weights=pull[:, k], minlength=m) for k in range(factors)], axis=1) + ridge * at["v"] / m}
+        slope = {"b": np.zeros(1), "w": ridge * at["w"] / m, "v": ridge * at["v"] / m}
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            rows, terms = text[ends[low]:ends[high]] - low, term[ends[low]:ends[high]]
+            energy, sums = _energy(high - low, rows, terms, at["b"][0], at["w"], at["v"])
+            gap = (1 / (1 + np.exp(-np.clip(energy, -30, 30))) - y[low:high]) / n
+            pull = gap[rows][:, None] * (sums[rows] - at["v"][terms])
+            slope["b"] += gap.sum()
+            slope["w"] += np.bincount(terms, weights=gap[rows], minlength=m)
+            slope["v"] += np.stack([np.bincount(terms, weights=pull[:, k], minlength=m) for k in range(factors)], axis=1)
         for k, g in slope.items():
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
@@ -143,11 +151,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn=None, rows: int = ROW
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(term.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([rows_.column("y"), lists], ["y", "terms"])
 
+    got = sample.mapInArrow(known, "y double, terms array<int>").toArrow()
+    y, lists = got.column("y").to_numpy(), got.column("terms").combine_chunks()
+    size, term = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
     # The same rows in the same order on every run, whatever tasks they came from.
-    got = sorted(zip(*sample.mapInArrow(known, "y double, terms array<int>").toArrow().to_pydict().values()))
-    text = np.repeat(np.arange(n), [len(t) for _, t in got])
-    term = np.array([k for _, t in got for k in t], np.int64)
-    return fit_machine(vocabulary, n, text, term, np.array([y for y, _ in got]))
+    row = np.repeat(np.arange(len(y)), size)
+    sums = np.bincount(row, weights=tb.mix(term.astype(np.uint64) + np.uint64(1)) >> np.uint64(20), minlength=len(y))
+    order = np.lexsort((sums, size, y))
+    place = np.argsort(np.argsort(order, kind="stable")[row], kind="stable")
+    text = np.repeat(np.arange(len(y)), size[order])
+    return fit_machine(vocabulary, len(y), text, term[place].astype(np.int64), y[order])
 
 
 def score_toxicity(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
