@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typetrace.session import scratch_folder
+from typetrace.session import cut_lineage
 
 # Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,15 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet beside the checkpoints and read it back.
-
-    The copy survives lost executors, has no lineage behind it, and keeps columns apart, so later
-    reads are pruned. The folder is the cluster's ``spark.checkpoint.dir``.
-    """
-    spark = df.sparkSession
-    path = scratch_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written in the shared folder and read back: it survives lost executors and has no lineage behind it."""
+    return cut_lineage(df, name)
 
 
 def word_count(text: Column) -> Column:
