@@ -22,6 +22,7 @@ model and is decoded as one. Repeated rows get the same ids each.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from array import array
@@ -32,8 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from typetrace.llm import textbytes as tb
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEMORY, LONG = 400_000, 64
+MEMORY, LONG = 200_000, 64
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 _NO_PIECE = -10.0  # what an unknown character costs below the worst piece
@@ -326,12 +329,9 @@ def encode_texts(docs: DataFrame, model: Model, text_col: str = "text", ids_col:
     kept = [c for c in docs.columns if c != ids_col]
 
     def run(batches):
-        m = shared.value
-        for batch in batches:
-            ids = [encode(m, t or "") for t in batch.column(text_col).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            values = np.concatenate([*ids, np.zeros(0, np.int32)])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))], [*kept, ids_col])
+        for rows, _, _ in tb.slices(batches, text_col):
+            ids = [encode(shared.value, t or "") for t in rows.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], _arrow_ids(ids)], [*kept, ids_col])
 
     rows = docs.select(*kept)
     return rows.mapInArrow(run, _schema(rows, ids_col, "array<int>"))
@@ -343,17 +343,21 @@ def decode_ids(encoded: DataFrame, model: Model, ids_col: str = "ids", text_col:
     kept = [c for c in encoded.columns if c != text_col]
 
     def run(batches):
-        m = shared.value
         for batch in batches:
-            texts = []
-            for ids in batch.column(ids_col):
-                texts.append(decode(m, ids.values.to_numpy().tolist() if ids.is_valid else ()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string())], [*kept, text_col])
+            for at in range(0, batch.num_rows, 500):
+                rows = batch.slice(at, 500)
+                texts = [decode(shared.value, ids.values.to_numpy().tolist() if ids.is_valid else ()) for ids in rows.column(ids_col)]
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], pa.array(texts, pa.string())], [*kept, text_col])
 
     rows = encoded.select(*kept)
     return rows.mapInArrow(run, _schema(rows, text_col, "string"))
 
 
+def _arrow_ids(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]), pa.int32()))
+
+
 def _schema(rows: DataFrame, name: str, kind: str):
     from pyspark.sql.types import _parse_datatype_string
 
@@ -361,8 +365,23 @@ def _schema(rows: DataFrame, name: str, kind: str):
 
 
 def encoded_and_decoded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_ids``, ``ids``, ``decoded_sha256`` and ``exact`` (the ids give the text back) of every row."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    back = decode_ids(encode_texts(texts, model), model)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-                       (F.col("decoded") == F.col("text")).alias("exact"))
+    """``doc_id``, ``n_ids``, ``ids``, ``decoded_sha256`` and ``exact`` (the ids give the text back) of every row.
+
+    Both ways in one pass, over slices of a few megabytes, so a task holds one worker and little text.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for rows, _, _ in tb.slices(batches):
+            texts = [t or "" for t in rows.column("text").to_pylist()]
+            ids = [encode(m, t) for t in texts]
+            back = [decode(m, i.tolist()) for i in ids]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), _arrow_ids(ids),
+                 pa.array([hashlib.sha256(b.encode()).hexdigest() for b in back], pa.string()), pa.array([b == t for b, t in zip(back, texts)], pa.bool_())],
+                ["doc_id", "n_ids", "ids", "decoded_sha256", "exact"])
+
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"doc_id {kind}, n_ids long, ids array<int>, decoded_sha256 string, exact boolean")
