@@ -68,6 +68,13 @@ def test_components_match_all_pairs(docs_of, corpus, width):
     assert got(minhash.near_duplicates(docs_of(corpus), width)) == plain(corpus, width)
 
 
+def test_large_families_are_compared_in_blocks(docs_of, corpus, monkeypatch):
+    monkeypatch.setattr(minhash, "PAIRED", 3)
+    monkeypatch.setattr(minhash, "QUERIES", 4)
+    monkeypatch.setattr(minhash, "MEMBERS", 8)
+    assert got(minhash.near_duplicates(docs_of(corpus), 4)) == plain(corpus, 4)
+
+
 def test_rows_that_share_an_id(docs_of):
     a, b, c = ("x1 x2 x3 x4 x5 x6", "y1 y2 y3 y4 y5 y6", "z1 z2 z3 z4 z5 z6")
     rows = [(9, a), (3, a), (9, b), (5, b), (7, c), (7, c), (8, c), (2, None), (2, "lone words")]

@@ -8,9 +8,10 @@ threshold, and a pair falls out as soon as that is under ``MISS``. The survivors
 their full sets.
 
 A bucket of n nodes is not spread into pairs. First every node meets one hub, the least node of its buckets;
-then the hubs of those buckets that still hold several components; only what then still is apart within
-a bucket, components against components, is paired. A family of near copies so costs a few pairs a
-member, and no pair of different components in a bucket goes untested. With 40 bands of 6, two
+then the hubs of those buckets that still hold several components. What then still is apart is paired
+within small buckets; in families of large ones it is held, block by block, against all members by signature, and
+only likely pairs come out. A family of near copies so costs a few pairs a member, and no pair of different
+components in a bucket goes untested. With 40 bands of 6, two
 documents of similarity 0.8 share no bucket with a chance of 5e-6; that and ``MISS`` are all that
 can be lost.
 
@@ -25,6 +26,7 @@ from functools import lru_cache
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ from typetrace.llm.graph import components
 
 BANDS, ROWS, BATCH, MISS, SEED = 40, 6, 40, 1e-6, 99
 SHINGLE, SIMILAR = 5, 80  # words, per cent
+PAIRED = 64  # members of a bucket up to which its components are paired directly
+QUERIES, MEMBERS = 256, 2048  # nodes in a block of a larger one
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -171,6 +175,44 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return with_both(left, "set").mapInArrow(exact, "a long, b long")
 
 
+def pairs_in_blocks(large: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Likely pairs of different components within families of large buckets (``hub``, ``node``, ``label``).
+
+    Buckets with common members are one family. All its nodes that are not in its largest component are held against all
+    its nodes, in blocks of bounded size, and only pairs that the posterior bounds leave come out.
+    """
+    family = components(large.filter("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("label", "family")
+    rows = stored(large.select("node", "label").distinct().join(family, "node"), "families")
+    counts = rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+    per_family = counts.groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).select(
+        "family", F.col("top.label").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / QUERIES).cast("int").alias("q_parts"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("r_parts"))
+    known = rows.join(per_family, "family").filter("q_parts > 0").join(sets.select("node", "sig"), "node")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys, columns = ["family", "q", "r"], ["node", "label", "sig"]
+    apart = known.filter(F.col("label") != F.col("main")).withColumn("q", part("q_parts")).withColumn("r", every("r_parts")).select(*keys, *columns)
+    others = known.withColumn("r", part("r_parts")).withColumn("q", every("q_parts")).select(*keys, *columns)
+    apart, others = apart.toDF(*keys, *columns), others.toDF(*keys, *columns)
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        if len(left) and len(right):
+            x, y = (np.frombuffer(b"".join(d["sig"]), np.uint32).reshape(len(d), -1) for d in (left, right))
+            node, label = right["node"].to_numpy(), right["label"].to_numpy()
+            for mine, own, sig in zip(left["node"], left["label"], x):
+                alive = np.flatnonzero(label != own)
+                matches, at = np.zeros(len(alive), np.int64), 0
+                for n, least in least_matches(x.shape[1], similar):
+                    matches += (y[alive, at:n] == sig[at:n]).sum(axis=1)
+                    keep = matches >= least
+                    alive, matches, at = alive[keep], matches[keep], n
+                a += np.minimum(node[alive], mine).tolist()
+                b += np.maximum(node[alive], mine).tolist()
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return apart.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (least id reachable over links) and ``kept`` of every row."""
     texts = _documents(docs, id_col, text_col)
@@ -213,12 +255,19 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similar: int = SIMILA
     labels = merged(labels, similar_pairs(second, sets, similar))
 
     # What is still apart within a bucket: members of different components, of sizes that can be similar.
-    mixed = mixed_buckets().filter("hub < node")  # pairs with the hub are all tested by now
-    x, y = (mixed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "label")]) for s in "xy")
+    # Small buckets are paired as they are; in large ones, what is apart is held against all others in blocks.
+    mixed = mixed_buckets()
+    size = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+    sized = mixed.join(size, "key")
+    small = sized.filter(F.col("members") <= PAIRED).filter("hub < node")  # pairs with the hub are all tested by now
+    x, y = (small.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "label")]) for s in "xy")
     fits = (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & (
         F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * similar)
-    third = x.join(y, "key").filter(fits).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    labels = merged(labels, similar_pairs(third, sets, similar))
+    third = x.join(y, "key").filter(fits).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+    large = stored(sized.filter(F.col("members") > PAIRED).select("hub", "node", "label"), "large")
+    if not large.isEmpty():
+        third = third.union(pairs_in_blocks(large, sets, similar))
+    labels = merged(labels, similar_pairs(third.distinct(), sets, similar))
 
     found = members.select("doc_id", "node").distinct().join(labels, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("component"))
     # Several texts under one id are one document and link what they belong to.
