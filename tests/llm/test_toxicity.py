@@ -38,6 +38,30 @@ def test_pairs_of_terms_are_learnt(pairs):
     assert kept.columns == docs.columns and kept.count() == 900
 
 
+def test_few_labels_teach(spark, docs_of):
+    """Eight toxic texts of 64, each with one of two insults: no term reaches a log likelihood ratio of 25."""
+    rnd = random.Random(6)
+    word = lambda: rnd.choice(FILLER) + str(rnd.randrange(300))
+    rows = [(i, " ".join([word() for _ in range(30)] + [["grobian", "lumpazius"][i // 8 % 2]] * (i % 8 == 0))) for i in range(164)]
+    labels = labels_of(spark, [(i, 1, int(i % 8 == 0)) for i in range(64)])
+    docs = docs_of(rows)
+    got = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).collect()
+    assert {r.doc_id for r in got if r.predicted} == {i for i in range(164) if i % 8 == 0}
+
+
+def test_terms_that_tell_only_as_a_pair(spark, docs_of):
+    """Toxic where exactly one of two words stands: neither is tied to the label by itself."""
+    rnd = random.Random(4)
+    rows, labels = [], []
+    for i in range(1200):
+        one, other = i % 2, i // 2 % 2
+        rows.append((i, " ".join([rnd.choice(FILLER) + str(rnd.randrange(300)) for _ in range(20)] + ["grobian"] * one + ["marsians"] * other)))
+        labels.append((i, 1, one ^ other))
+    docs = docs_of(rows)
+    model = toxicity.fit_toxicity(docs, labels_of(spark, labels), learn=lambda i: crc_bucket(i, 5) != 0)
+    assert all(r.predicted == (r.doc_id % 2) ^ (r.doc_id // 2 % 2) for r in toxicity.score_toxicity(docs, model).collect())
+
+
 def test_energy_is_the_sum_over_pairs():
     rnd = np.random.default_rng(1)
     w, v = rnd.normal(size=6), rnd.normal(size=(6, 3))

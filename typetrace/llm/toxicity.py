@@ -1,12 +1,14 @@
 """Toxicity: a factorisation machine over hashed terms.
 
 A text's terms are its words and their beginnings of 4, 5 and 6 bytes, lower-cased, hashed to
-``BITS`` bits and taken once each. Terms that labelled texts show to be tied to the label (log
-likelihood ratio of at least ``G2``) form the model's vocabulary. The machine adds to their linear
-weights the products of their factor vectors, so two terms together may weigh more, or less, than
-apart. It is fitted on a bounded sample (``ROWS``) of distinct labelled texts.
-
-Defined results: null counts as empty and gets the model's bias as score, like any text without a
+``BITS`` bits and taken once each. All terms that stand in at least ``LEAST`` of the sampled texts
+form the model's vocabulary. The machine adds to their linear weights the products of their factor
+vectors, so two terms together may weigh more, or less, than apart. How far a term's weights may move
+follows from its evidence: its log likelihood ratio against the label, full at ``G2``, and for the
+factors also how evenly it parts the texts, as terms may tell only as a pair. No term is left out
+for weak evidence. The machine is fitted on a bounded sample (``ROWS``) of distinct labelled texts.
+
+Defined results: null counts as empty and gets the mean label as score, like any text without a
 known term; labels that repeat or contradict each other count by their mean; without labels of both
 kinds the score is the mean label (0.0 without any). Copies of a text count once in fitting. A repeated row gets the same
 score. Other columns are not read.
@@ -25,13 +27,14 @@ from typetrace.llm import textbytes as tb
 from typetrace.llm.common import stored
 from typetrace.llm.training import labelled_texts
 
-ROWS, BITS, G2, VOCABULARY = 40_000, 40, 25.0, 4096
-FACTORS, STEPS, RATE, RIDGE = 8, 200, 0.1, 2e-4
+ROWS, BITS, LEAST, G2 = 40_000, 40, 3, 25.0
+FACTORS, STEPS, EPOCHS, RATE, RIDGE = 8, 200, 10, 0.1, 2e-4
 BLOCK_TERMS = 200_000
 STEMS = (4, 5, 6)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*b"abcdefghijklmnopqrstuvwxyz'", *range(0x80, 256)]] = True
 _KEEP = np.uint64((1 << BITS) - 1)
+_SLOT = np.uint64((1 << 22) - 1)
 
 
 def terms_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,16 +51,16 @@ def terms_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Vocabulary:
-    """Sorted terms with a bitmap in front, so most words of a text are passed over at once."""
+    """Sorted terms with a bitmap in front, so most unknown words of a text are passed over at once."""
 
     def __init__(self, terms: np.ndarray):
         self.terms = np.sort(terms.astype(np.uint64))
-        self.seen = np.zeros(1 << 18, bool)
-        self.seen[(self.terms & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
+        self.seen = np.zeros(int(_SLOT) + 1, bool)
+        self.seen[(self.terms & _SLOT).astype(np.int64)] = True
 
     def find(self, terms: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (text, place of a known term) pairs."""
-        near = np.flatnonzero(self.seen[(terms & np.uint64((1 << 18) - 1)).astype(np.int64)])
+        near = np.flatnonzero(self.seen[(terms & _SLOT).astype(np.int64)])
         place = np.searchsorted(self.terms, terms[near])
         hit = place < len(self.terms)
         near, place = near[hit], place[hit]
@@ -84,31 +87,38 @@ def _energy(n, text, term, bias, linear, factors):
     return bias + np.bincount(text, weights=linear[term], minlength=n) + 0.5 * ((sums**2).sum(axis=1) - squares), sums
 
 
-def fit_machine(vocabulary: Vocabulary, n: int, text: np.ndarray, term: np.ndarray, y: np.ndarray, factors: int = FACTORS,
-                steps: int = STEPS, rate: float = RATE, ridge: float = RIDGE) -> Machine:
-    """Logistic loss by full-batch steps of adaptive size, from a fixed start."""
-    m = len(vocabulary.terms)
+def fit_machine(vocabulary: Vocabulary, ends: np.ndarray, term: np.ndarray, y: np.ndarray, reach: tuple[np.ndarray, np.ndarray],
+                factors: int = FACTORS, steps: int = STEPS, epochs: int = EPOCHS, rate: float = RATE, ridge: float = RIDGE) -> Machine:
+    """Logistic loss by steps of adaptive size, from a fixed start. Text ``i`` has ``term[ends[i]:ends[i + 1]]``.
+
+    ``reach`` scales each term's steps, of its linear weight and of its factors. Texts are taken in
+    blocks of about ``BLOCK_TERMS`` terms, a step each: at least ``epochs`` times all of them.
+    """
+    n, m = len(y), len(vocabulary.terms)
     mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-    at = {"b": np.array([np.log(mean / (1 - mean))]), "w": np.zeros(m), "v": np.random.default_rng(5).normal(0, 0.05, (m, factors))}
+    bias = float(np.log(mean / (1 - mean)))  # stays: a text without a known term is as toxic as the labels on average
+    at = {"w": np.zeros(m), "v": np.random.default_rng(5).normal(0, 0.05, (m, factors))}
+    scale = {"w": reach[0], "v": reach[1][:, None]}
     first, second = ({k: np.zeros_like(v) for k, v in at.items()} for _ in range(2))
-    # Rows are worked through in blocks of so many terms, which bounds the temporaries.
-    ends = np.searchsorted(text, np.arange(n + 1))
-    cuts = np.unique(np.concatenate([np.searchsorted(ends, np.arange(0, len(text), BLOCK_TERMS)), [0, n]]))
+    cuts = np.unique(np.concatenate([np.searchsorted(ends, np.arange(0, len(term), BLOCK_TERMS)), [0, n]]))
+    blocks = list(zip(cuts[:-1], cuts[1:]))
+    steps = max(steps, epochs * len(blocks))
     for step in range(1, steps + 1):
-        slope = {"b": np.zeros(1), "w": ridge * at["w"] / m, "v": ridge * at["v"] / m}
-        for low, high in zip(cuts[:-1], cuts[1:]):
-            rows, terms = text[ends[low]:ends[high]] - low, term[ends[low]:ends[high]]
-            energy, sums = _energy(high - low, rows, terms, at["b"][0], at["w"], at["v"])
-            gap = (1 / (1 + np.exp(-np.clip(energy, -30, 30))) - y[low:high]) / n
-            pull = gap[rows][:, None] * (sums[rows] - at["v"][terms])
-            slope["b"] += gap.sum()
-            slope["w"] += np.bincount(terms, weights=gap[rows], minlength=m)
-            slope["v"] += np.stack([np.bincount(terms, weights=pull[:, k], minlength=m) for k in range(factors)], axis=1)
+        low, high = blocks[step % len(blocks)]
+        rows, terms = np.repeat(np.arange(high - low), np.diff(ends[low:high + 1])), term[ends[low]:ends[high]]
+        w, v = scale["w"] * at["w"], scale["v"] * at["v"]
+        energy, sums = _energy(high - low, rows, terms, bias, w, v)
+        gap = (1 / (1 + np.exp(-np.clip(energy, -30, 30))) - y[low:high]) / (high - low)
+        pull = gap[rows][:, None] * (sums[rows] - v[terms])
+        slope = {"w": np.bincount(terms, weights=gap[rows], minlength=m),
+                 "v": np.stack([np.bincount(terms, weights=pull[:, k], minlength=m) for k in range(factors)], axis=1)}
+        now = rate if len(blocks) == 1 else rate * (1 - 0.9 * step / steps)
         for k, g in slope.items():
+            g = scale[k] * g + ridge * at[k] / m
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
-            at[k] = at[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-10)
-    return Machine(vocabulary, float(at["b"][0]), at["w"], at["v"])
+            at[k] = at[k] - now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    return Machine(vocabulary, bias, scale["w"] * at["w"], scale["v"] * at["v"])
 
 
 def _counted(batches):
@@ -122,16 +132,20 @@ def _counted(batches):
                                           pa.array(np.bincount(which, weights=y[term[:, 1].astype(np.int64)], minlength=len(kinds)))], ["term", "n", "pos"])
 
 
-def telling_terms(sample: DataFrame, n: int, pos: float, least: float = G2, most: int = VOCABULARY) -> np.ndarray:
-    """Terms tied to the label, the strongest ``most``; a log likelihood ratio over 2 x 2 counts."""
+def known_terms(sample: DataFrame, n: int, pos: float, least: int = LEAST) -> tuple[Vocabulary, tuple[np.ndarray, np.ndarray]]:
+    """Terms of at least ``least`` texts, and how far their linear weights and their factors may move (0 to 1)."""
     counts = sample.mapInArrow(_counted, "term long, n long, pos double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     a, b = F.col("pos"), F.col("n") - F.col("pos")
     rest = n - F.col("n")
     rate = pos / n
     g2 = 2 * (part(a, F.col("n") * rate) + part(b, F.col("n") * (1 - rate)) + part(pos - a, rest * rate) + part(n - pos - b, rest * (1 - rate)))
-    top = counts.filter("n >= 3").withColumn("g2", g2).filter(F.col("g2") >= least).orderBy(F.desc("g2"), "term").limit(most).select("term").toArrow()
-    return top.column("term").to_numpy().astype(np.uint64)
+    got = counts.filter(F.col("n") >= least).select("term", "n", F.round(g2, 6).alias("g2")).toArrow()
+    term, texts, g2 = (got.column(k).to_numpy() for k in ("term", "n", "g2"))
+    order = np.argsort(term)
+    tied = np.clip(g2[order] / G2, 0, 1) ** 2
+    share = texts[order] / n
+    return Vocabulary(term.astype(np.uint64)), (tied, np.maximum(tied, (4 * share * (1 - share)) ** 2))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn=None, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> Machine:
@@ -142,25 +156,37 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn=None, rows: int = ROW
     if not n or not 0 < pos < n:
         level = 1e-9 if not n else min(max(pos / n, 1e-9), 1 - 1e-9)
         return Machine(none, float(np.log(level / (1 - level))), np.zeros(0), np.zeros((0, FACTORS)))
-    vocabulary = Vocabulary(telling_terms(sample, n, float(pos)))
+    vocabulary, reach = known_terms(sample, n, float(pos))
 
     def known(batches):
         for rows_, data, off in tb.slices(batches):
             text, term = vocabulary.find(*terms_of(data, off))
             ends = np.searchsorted(text, np.arange(len(off)))
+            key = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mix(vocabulary.terms[term] + np.uint64(1)))])
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(term.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([rows_.column("y"), lists], ["y", "terms"])
-
-    got = sample.mapInArrow(known, "y double, terms array<int>").toArrow()
-    y, lists = got.column("y").to_numpy(), got.column("terms").combine_chunks()
-    size, term = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
-    # The same rows in the same order on every run, whatever tasks they came from.
-    row = np.repeat(np.arange(len(y)), size)
-    sums = np.bincount(row, weights=tb.mix(term.astype(np.uint64) + np.uint64(1)) >> np.uint64(20), minlength=len(y))
-    order = np.lexsort((sums, size, y))
-    place = np.argsort(np.argsort(order, kind="stable")[row], kind="stable")
-    text = np.repeat(np.arange(len(y)), size[order])
-    return fit_machine(vocabulary, len(y), text, term[place].astype(np.int64), y[order])
+            yield pa.RecordBatch.from_arrays([rows_.column("y"), pa.array((key[ends[1:]] - key[ends[:-1]]).astype(np.int64)), lists], ["y", "key", "terms"])
+
+    got = sample.mapInArrow(known, "y double, key long, terms array<int>").toArrow()
+    y, key = got.column("y").to_numpy(), got.column("key").to_numpy()
+    chunks = got.column("terms").chunks
+    del got
+    size = np.concatenate([np.zeros(0, np.int64), *(np.diff(x.offsets.to_numpy()) for x in chunks)]).astype(np.int64)
+    # Mixed by a hash of the terms: the same rows in the same order on every run, whatever tasks they came from.
+    order = np.lexsort((y, size, key))
+    ends = np.concatenate([[0], np.cumsum(size[order])])
+    to = np.empty(len(y), np.int64)
+    to[order] = ends[:-1]
+    # Moved chunk by chunk, each freed as it is done, so the terms are held about once.
+    term, row = np.empty(ends[-1], np.int32), 0
+    chunks.reverse()
+    while chunks:
+        part = chunks.pop()
+        at = part.offsets.to_numpy().astype(np.int64)
+        width = np.diff(at)
+        term[np.repeat(to[row:row + len(part)] - at[:-1] + at[0], width) + np.arange(at[-1] - at[0])] = part.flatten().to_numpy()
+        row += len(part)
+    pa.default_memory_pool().release_unused()
+    return fit_machine(vocabulary, ends, term, y[order], reach)
 
 
 def score_toxicity(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
