@@ -76,6 +76,16 @@ def test_odd_texts(docs_of):
     assert all(s == 0 for _, x, s in got if x == "und") and all(0 <= s <= 1 for *_, s in got)
 
 
+def test_whole_texts_are_learnt(docs_of):
+    long = "begin " + "the cat and the dog " * 100 + "quixotic"
+    docs = docs_of([(1, long, "en"), (1, long, "en"), (2, "kurz", "de"), (3, "noch einer", "de")])
+    got = langid.sample_texts(docs)
+    assert got["en"] == b" " + long.encode() and sorted(got["de"].split()) == [b"einer", b"kurz", b"noch"]
+    many = docs_of([(i, f"wort {'abcdefghij'[i % 10]} " * 500, "de") for i in range(200)])
+    assert len(langid.sample_texts(many)["de"]) == langid.SAMPLE_BYTES
+    assert langid.sample_texts(many) == langid.sample_texts(many.repartition(7))
+
+
 def test_nothing_to_learn_from(docs_of):
     docs = docs_of([(1, "words", None), (2, None, "en"), (3, "12", "en")])
     assert langid.fit_languages(docs) is None

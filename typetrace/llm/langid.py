@@ -1,6 +1,6 @@
 """Language identification by cross-parsing entropy.
 
-For each language, a bounded sample of labelled text becomes a suffix automaton, which knows every
+For each language, labelled texts in the order of their ids' hashes, whole until ``SAMPLE_BYTES`` are full, become a suffix automaton, which knows every
 substring of it. A text is parsed against each language from left to right into phrases: the longest
 match, then the next. A language's entropy is phrases x log2(sample length) / text length, and the
 least one wins. Automata are flattened into one table (state, symbol) -> next state, whose lowest bit says that a
@@ -21,12 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from typetrace.llm import textbytes as tb
 
-SAMPLE_TEXTS, SAMPLE_BYTES = 64, 32_768  # of each language
+SAMPLE_BYTES = 32_768  # of each language
 BLOCK = 2048
 SHARPNESS = 32.0  # symbols of evidence that turn a difference of entropies into a score
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -144,22 +144,42 @@ def build_parser(samples: dict[str, bytes]) -> Parser:
 
 
 def sample_texts(docs: DataFrame, learn=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                 texts: int = SAMPLE_TEXTS, size: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """Folded sample of each language: ``texts`` texts with the least hashes, one from each bucket, ``size`` bytes in all.
+                 size: int = SAMPLE_BYTES) -> dict[str, bytes]:
+    """Folded sample of each language: whole texts in the order of their hashes until ``size`` bytes are full; only the last one is cut.
 
-    The choice is an aggregate of ids and hashes that combines before its shuffle. What is fetched is
-    bounded by languages x ``size``: each text chosen gives at most its even share.
+    Each task passes on its own first texts of each language, as many as fill ``size``; those of all
+    tasks together hold the first ones of all, which a running sum finds.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("id is not null and lang is not null and text is not null")
     if learn is not None:
         rows = rows.filter(learn(F.col("id")))
-    rows = rows.filter(F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64("id", F.lit(3)))
-    chosen = rows.groupBy("lang", F.pmod("hash", F.lit(texts)).alias("bucket")).agg(F.min("hash").alias("hash")).select("lang", "hash")
-    got = rows.join(F.broadcast(chosen), ["lang", "hash"]).select("lang", "hash", F.lower(F.substring("text", 1, size // texts)).alias("text")).distinct()
+    rows = rows.filter(F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("id", F.lit(3)).alias("hash"), F.lower("text").alias("text"))
+
+    def first(batches):
+        held: dict[str, list[tuple[int, bytes]]] = {}
+        for batch in batches:
+            text = batch.column("text")
+            for k, (lang, at) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("hash").to_pylist())):
+                own = held.setdefault(lang, [])
+                full = sum(len(t) + 1 for _, t in own) >= size
+                if full and at > own[-1][0]:
+                    continue
+                data = np.frombuffer(text[k].as_py().encode(), np.uint8)
+                new = (at, fold(data, np.array([0, len(data)]))[0].tobytes()[:size])
+                if new in own:
+                    continue
+                own.append(new)
+                own.sort()
+                while sum(len(t) + 1 for _, t in own[:-1]) >= size:
+                    own.pop()
+        flat = [(lang, at, t) for lang, own in held.items() for at, t in own]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[2] for x in flat], pa.binary())], ["lang", "hash", "text"])
+
+    before = F.sum(F.length("text") + 1).over(Window.partitionBy("lang").orderBy("hash", "text").rowsBetween(Window.unboundedPreceding, -1))
+    got = rows.mapInArrow(first, "lang string, hash long, text binary").distinct().withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < size)
     out: dict[str, bytes] = {}
-    for lang, _, text in sorted(map(tuple, got.collect())):
-        data = np.frombuffer(text.encode(), np.uint8)
-        out[lang] = (out.get(lang, b"") + b" " + fold(data, np.array([0, len(data)]))[0].tobytes())[:size]
+    for lang, _, text in sorted((r.lang, r.hash, bytes(r.text)) for r in got.collect()):
+        out[lang] = (out.get(lang, b"") + b" " + text)[:size]
     return out
 
 
