@@ -16,6 +16,8 @@ repeated rows count each; ties go by descending count, then by the phrase's byte
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,6 +38,7 @@ _CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _BREAK = _CUT.copy()
 _BREAK[[0x20, 0x09]] = True
 WORDS = 3
+RUN = ["prefix", "lang", "phrase", "n"]
 
 
 class Container:
@@ -207,22 +210,26 @@ class Counter:
         for run in self.root.runs():
             yield from self.named(run)
         if self.words:
-            yield pa.RecordBatch.from_arrays([pa.array(list(self.words), pa.string()), *[pa.nulls(len(self.words), pa.string())] * 3, pa.array(list(self.words.values()), pa.int64())], ["lang", "w1", "w2", "w3", "n"])
+            n = len(self.words)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(list(self.words), pa.string()), pa.nulls(n, pa.string()), pa.array(list(self.words.values()), pa.int64())], RUN)
         self.__init__()
 
     def named(self, run):
-        """A run as rows of words."""
+        """A run as rows of phrases, with a hash of the first two words and their language."""
         if self.spelling is None or len(self.spelling) != len(self.ids) + 1:
             self.tongue = pa.array([None, *(g for g, _ in self.ids)], pa.string())
             self.spelling = pa.array([None, *(w for _, w in self.ids)], pa.string())
+            self.hashes = np.array([0, *(crc32(f"{g} {w}".encode()) for g, w in self.ids)], np.uint64)
         for at in range(0, len(run[0]), ROWS_OUT):
             phrase, count = (x[at:at + ROWS_OUT] for x in run)
-            ids = [pa.array(phrase >> ID_BITS * (WORDS - 1 - k) & _ID) for k in range(WORDS)]
-            yield pa.RecordBatch.from_arrays([self.tongue.take(ids[0]), *(self.spelling.take(i) for i in ids), pa.array(count)], ["lang", "w1", "w2", "w3", "n"])
+            ids = [phrase >> ID_BITS * (WORDS - 1 - k) & _ID for k in range(WORDS)]
+            prefix = tb.mix(self.hashes[ids[0]] << np.uint64(32) | self.hashes[ids[1]])
+            text = pc.binary_join_element_wise(*(self.spelling.take(pa.array(i)) for i in ids), " ", null_handling="skip")
+            yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), self.tongue.take(pa.array(ids[0])), text, pa.array(count)], RUN)
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """``lang``, ``w1``, ``w2``, ``w3`` (null beyond the phrase) and ``n`` of phrases of at least ``least`` occurrences; all three null: all words."""
+    """``lang``, ``phrase``, its words ``w1``, ``w2``, ``w3`` (null beyond it) and ``n`` of phrases of at least ``least`` occurrences; a null phrase: all words."""
 
     def count(batches):
         counter = Counter()
@@ -231,9 +238,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", t
         yield from counter.close()
 
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    runs = texts.mapInArrow(count, "lang string, w1 string, w2 string, w3 string, n long")
-    merged = runs.repartition("lang", "w1", "w2").groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
-    return merged.filter((F.col("n") >= least) | F.col("w1").isNull())
+    runs = texts.mapInArrow(count, "prefix long, lang string, phrase string, n long")
+    merged = runs.repartition("prefix").groupBy("prefix", "lang", "phrase").agg(F.sum("n").alias("n"))
+    word = F.split("phrase", " ")
+    return merged.filter((F.col("n") >= least) | F.col("phrase").isNull()).select("lang", "phrase", *(F.get(word, F.lit(k)).alias(f"w{k + 1}") for k in range(WORDS)), "n")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -245,10 +253,10 @@ def _score(a: Column, left: Column, right: Column) -> Column:
 def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, top: int = TOP, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n`` and ``score`` of each language's first ``top`` phrases."""
     counts = stored(phrase_counts(docs, least, lang_col, text_col), "phrases")
-    n = counts.filter("w1 is null").select(F.col("lang").alias("lang"), F.col("n").alias("words"))
-    one = counts.filter("w2 is null and w1 is not null").select("lang", F.col("w1").alias("u"), F.col("n").alias("f"))
-    two = counts.filter("w3 is null and w2 is not null").select("lang", "w1", "w2", F.col("n").alias("a"))
-    three = counts.filter("w3 is not null").select("lang", "w1", "w2", "w3", F.col("n").alias("a"))
+    n = counts.filter("phrase is null").select("lang", F.col("n").alias("words"))
+    one = counts.filter("w2 is null and w1 is not null").select("lang", F.col("phrase").alias("u"), F.col("n").alias("f"))
+    two = counts.filter("w3 is null and w2 is not null").select("lang", "phrase", "w1", "w2", F.col("n").alias("a"))
+    three = counts.filter("w3 is not null").select("lang", "phrase", "w1", "w2", "w3", F.col("n").alias("a"))
 
     def single(word: str, name: str) -> DataFrame:
         return one.select("lang", F.col("u").alias(word), F.col("f").alias(name))
@@ -256,7 +264,7 @@ def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, to
     # Every two-word phrase with its parts and, of the longer ones around it, the largest count.
     long = three.select("lang", "w1", "w2", "a").union(three.select("lang", "w2", "w3", "a")).groupBy("lang", "w1", "w2").agg(F.max("a").alias("longer"))
     pairs = two.join(single("w1", "l"), ["lang", "w1"]).join(single("w2", "r"), ["lang", "w2"]).join(long, ["lang", "w1", "w2"], "left").select(
-        "lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), "a", "l", "r", _score(F.col("a"), F.col("l"), F.col("r")).alias("score"),
+        "lang", "phrase", "a", "l", "r", _score(F.col("a"), F.col("l"), F.col("r")).alias("score"),
         (F.coalesce("longer", F.lit(0)) * 100 >= F.col("a") * covered).alias("inside"))
     # A cut after one word, and one after two.
     tail = two.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("r1"))
@@ -264,7 +272,7 @@ def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, to
     cuts = (three.join(head, ["lang", "w1", "w2"]).join(tail, ["lang", "w2", "w3"]).join(single("w1", "l1"), ["lang", "w1"]).join(single("w3", "r2"), ["lang", "w3"])
             .withColumn("s1", _score(F.col("a"), F.col("l1"), F.col("r1"))).withColumn("s2", _score(F.col("a"), F.col("l2"), F.col("r2"))))
     after = F.col("s2") < F.col("s1")
-    triples = cuts.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", F.when(after, F.col("l2")).otherwise(F.col("l1")).alias("l"),
+    triples = cuts.select("lang", "phrase", "a", F.when(after, F.col("l2")).otherwise(F.col("l1")).alias("l"),
                           F.when(after, F.col("r2")).otherwise(F.col("r1")).alias("r"), F.least("s1", "s2").alias("score"), F.lit(False).alias("inside"))
     first = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = pairs.filter("not inside").union(triples).drop("inside").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= top)
