@@ -4,8 +4,10 @@ A text is lower-cased (A to Z) and split at sentence marks and line ends into pi
 Tasks number the words of their languages and count all phrases of one to three words in a trie over word ids. Its
 leaves are hash containers. A container serves a range of ids at first; beyond ``BURST`` phrases it bursts: a range
 is halved at its middle phrase's id, and a container of a single id becomes a node of the trie with one container for the
-next word. When a task holds ``HELD`` phrases (or more words than ids), whole subtrees are spilled, the largest first,
-as sorted runs. Runs are dealt by language and prefix (the first two words) and merged there.
+next word. When a task holds ``HELD`` phrases (or ``NAMED`` words), whole subtrees are spilled, the largest first,
+as sorted runs. Runs are cut by prefix: the first two words, and one of ``SLICES`` slices of the third, so that a very common
+beginning is not one partition. A run's piece travels compressed; pieces are merged per prefix partition, ``CUTS`` for each
+of the session's shuffle partitions.
 
 The rest are joins of counts of at least ``LEAST``: every part of a phrase occurs as often as the phrase at
 least, so no part is missing. Scores are whole-number arithmetic in 38 decimal digits, exact up to 10**16 words.
@@ -30,7 +32,9 @@ from typetrace.llm.tokens import LOWER, spelled
 
 LEAST, COVERED, TOP, SCALE = 10, 50, 2000, 1_000_000
 BURST, HELD, NAMED = 1 << 15, 2_000_000, 500_000  # phrases of a container and of a task, words of a task
-BLOCK, ROWS_OUT = 1 << 20, 1 << 16  # words counted at a time, rows of a batch
+BLOCK = 1 << 20  # words counted at a time
+CUTS, SLICES = 8, 256  # prefix partitions for each shuffle partition, slices of a third word
+PIECES = 256  # pieces sent at a time
 ID_BITS = 21  # three word ids fill one 64-bit phrase; 0 stands for no word
 _ID = (1 << ID_BITS) - 1
 _CUT = np.zeros(256, bool)
@@ -38,7 +42,7 @@ _CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _BREAK = _CUT.copy()
 _BREAK[[0x20, 0x09]] = True
 WORDS = 3
-RUN = ["prefix", "lang", "phrase", "n"]
+RUN = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("size", pa.int64()), ("n", pa.int64()), ("phrases", pa.binary()), ("counts", pa.binary())])
 
 
 class Container:
@@ -167,12 +171,12 @@ def phrases_of(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray,
 class Counter:
     """Trie of a task with its word ids, one for each (language, word)."""
 
-    def __init__(self):
+    def __init__(self, buckets: int):
+        self.buckets = buckets
         self.ids: dict[tuple[str, str], int] = {}
         self.root = Node(0, 0, 1 << ID_BITS * WORDS)
         self.held = 0
         self.words: dict[str, int] = {}
-        self.spelling = None
 
     def add(self, data: np.ndarray, off: np.ndarray, lang: pa.Array):
         """Count the texts; yields runs that had to leave."""
@@ -201,47 +205,86 @@ class Counter:
         phrase, count = np.unique(np.concatenate([one, two[reach >= 2], three[reach >= 3]]), return_counts=True)
         self.held += self.root.add(phrase, count)
         if self.held > HELD:
-            for run in self.root.spill(self.held // 2):
-                self.held -= len(run[0])
-                yield from self.named(run)
+            runs = list(self.root.spill(self.held // 2))
+            self.held -= sum(len(p) for p, _ in runs)
+            yield from self.pieces(runs)
 
     def close(self):
-        """All that is left, and the words of each language."""
-        for run in self.root.runs():
-            yield from self.named(run)
-        if self.words:
-            n = len(self.words)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(list(self.words), pa.string()), pa.nulls(n, pa.string()), pa.array(list(self.words.values()), pa.int64())], RUN)
-        self.__init__()
-
-    def named(self, run):
-        """A run as rows of phrases, with a hash of the first two words and their language."""
-        if self.spelling is None or len(self.spelling) != len(self.ids) + 1:
-            self.tongue = pa.array([None, *(g for g, _ in self.ids)], pa.string())
-            self.spelling = pa.array([None, *(w for _, w in self.ids)], pa.string())
-            self.hashes = np.array([0, *(crc32(f"{g} {w}".encode()) for g, w in self.ids)], np.uint64)
-        for at in range(0, len(run[0]), ROWS_OUT):
-            phrase, count = (x[at:at + ROWS_OUT] for x in run)
-            ids = [phrase >> ID_BITS * (WORDS - 1 - k) & _ID for k in range(WORDS)]
-            prefix = tb.mix(self.hashes[ids[0]] << np.uint64(32) | self.hashes[ids[1]])
-            text = pc.binary_join_element_wise(*(self.spelling.take(pa.array(i)) for i in ids), " ", null_handling="skip")
-            yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), self.tongue.take(pa.array(ids[0])), text, pa.array(count)], RUN)
+        """All that is left, and the words of each language (under buckets below 0)."""
+        yield from self.pieces(list(self.root.runs()))
+        rows = [(-1 - crc32(f"{n} {g}".encode()) % CUTS, g, 0, n, None, None) for g, n in self.words.items() if n]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), RUN)], schema=RUN)
+        self.__init__(self.buckets)
+
+    def pieces(self, runs):
+        """Runs as one, in the order of the words' bytes, cut by language and prefix."""
+        if not runs:
+            return
+        phrase, count = (np.concatenate(x) for x in zip(*runs))
+        tongues = sorted({g for g, _ in self.ids})
+        place = {g: k for k, g in enumerate(tongues)}
+        tongue = np.array([place[g] for g, _ in self.ids], np.int64)
+        spelling = pa.array([w for _, w in self.ids], pa.large_string())
+        order = pc.array_sort_indices(spelling).to_numpy().astype(np.int64)
+        rank = np.empty(len(order) + 1, np.int64)
+        rank[0], rank[order + 1] = 0, np.arange(1, len(order) + 1)
+        spelling, tongue = spelling.take(pa.array(order)), tongue[order]
+        hashes = np.concatenate([[0], np.array([crc32(w.encode()) for w in spelling.to_pylist()], np.int64)]).astype(np.uint64)
+        ids = [rank[phrase >> ID_BITS * (WORDS - 1 - k) & _ID] for k in range(WORDS)]
+        prefix = tb.mix(hashes[ids[0]] << np.uint64(32) | hashes[ids[1]]) + (hashes[ids[2]] % np.uint64(SLICES))
+        key = tongue[ids[0] - 1] * self.buckets + (tb.mix(prefix) % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort((ids[0] << 2 * ID_BITS) + (ids[1] << ID_BITS) + ids[2])
+        order = order[np.argsort(key[order].astype(np.uint16) if key.max() < 1 << 16 else key[order], kind="stable")]
+        key, count = key[order], count[order]
+        named = pa.concat_arrays([pa.array([None], pa.large_string()), spelling])
+        start = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key)).tolist()
+        rows, string = [], lambda x: pa.scalar(x, pa.large_string())
+        for block in range(0, len(start) - 1, PIECES):
+            ends = start[block:block + PIECES + 1]
+            text = pc.binary_join_element_wise(*(named.take(pa.array(i[order[ends[0]:ends[-1]]])) for i in ids), string(" "), null_handling="skip")
+            lines = pc.binary_join_element_wise(text, string(""), string("\n"))
+            at, data = np.frombuffer(lines.buffers()[1], np.int64), lines.buffers()[2]
+            for low, high in zip(ends[:-1], ends[1:]):
+                some = data[int(at[low - ends[0]]):int(at[high - ends[0]])]
+                rows.append((int(key[low]) % self.buckets, tongues[int(key[low]) // self.buckets], len(some), high - low,
+                             pa.compress(some, "zstd", asbytes=True), pa.compress(count[low:high].tobytes(), "zstd", asbytes=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), RUN)], schema=RUN)
+            rows = []
+
+
+def merged(pieces: pa.Table, least: int) -> pa.Table:
+    """``lang``, ``phrase`` and ``n`` of a prefix partition's phrases of at least ``least`` occurrences; a null phrase: all words."""
+    lang, size, n = (pieces.column(c).to_pylist() for c in ("lang", "size", "n"))
+    if pieces.column("bucket")[0].as_py() < 0:
+        return pa.table({"lang": lang[:1], "phrase": pa.nulls(1, pa.string()), "n": pa.array([sum(n)])})
+    lines = b"".join(pa.decompress(x, s, "zstd", asbytes=True) for x, s in zip(pieces.column("phrases").to_pylist(), size))
+    count = np.concatenate([np.frombuffer(pa.decompress(x, 8 * k, "zstd", asbytes=True), np.int64) for x, k in zip(pieces.column("counts").to_pylist(), n)])
+    data = np.frombuffer(lines, np.uint8)
+    start, end, _ = tb.spans(data != 10, np.array([0, len(data)]))
+    coded = spelled(data, data != 10, start, end).dictionary_encode()
+    total = np.zeros(len(coded.dictionary), np.int64)
+    np.add.at(total, coded.indices.to_numpy(zero_copy_only=False), count)
+    kept = np.flatnonzero(total >= least)
+    return pa.table({"lang": pa.array(lang[:1] * len(kept), pa.string()), "phrase": coded.dictionary.take(pa.array(kept)).cast(pa.string()), "n": total[kept]})
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """``lang``, ``phrase``, its words ``w1``, ``w2``, ``w3`` (null beyond it) and ``n`` of phrases of at least ``least`` occurrences; a null phrase: all words."""
 
+    buckets = CUTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def count(batches):
-        counter = Counter()
+        counter = Counter(buckets)
         for rows, data, off in tb.slices(batches):
             yield from counter.add(data, off, rows.column("lang"))
         yield from counter.close()
 
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    runs = texts.mapInArrow(count, "prefix long, lang string, phrase string, n long")
-    merged = runs.repartition("prefix").groupBy("prefix", "lang", "phrase").agg(F.sum("n").alias("n"))
+    runs = texts.mapInArrow(count, "bucket int, lang string, size long, n long, phrases binary, counts binary")
+    found = runs.repartition("bucket").groupBy("bucket", "lang").applyInArrow(lambda pieces: merged(pieces, least), "lang string, phrase string, n long")
     word = F.split("phrase", " ")
-    return merged.filter((F.col("n") >= least) | F.col("phrase").isNull()).select("lang", "phrase", *(F.get(word, F.lit(k)).alias(f"w{k + 1}") for k in range(WORDS)), "n")
+    return found.select("lang", "phrase", *(F.get(word, F.lit(k)).alias(f"w{k + 1}") for k in range(WORDS)), "n")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -253,7 +296,7 @@ def _score(a: Column, left: Column, right: Column) -> Column:
 def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, top: int = TOP, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n`` and ``score`` of each language's first ``top`` phrases."""
     counts = stored(phrase_counts(docs, least, lang_col, text_col), "phrases")
-    n = counts.filter("phrase is null").select("lang", F.col("n").alias("words"))
+    n = counts.filter("phrase is null").groupBy("lang").agg(F.sum("n").alias("words"))
     one = counts.filter("w2 is null and w1 is not null").select("lang", F.col("phrase").alias("u"), F.col("n").alias("f"))
     two = counts.filter("w3 is null and w2 is not null").select("lang", "phrase", "w1", "w2", F.col("n").alias("a"))
     three = counts.filter("w3 is not null").select("lang", "phrase", "w1", "w2", "w3", F.col("n").alias("a"))
