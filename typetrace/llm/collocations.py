@@ -35,6 +35,7 @@ BURST, HELD, NAMED = 1 << 15, 2_000_000, 500_000  # phrases of a container and o
 BLOCK = 1 << 20  # words counted at a time
 CUTS, SLICES = 8, 256  # prefix partitions for each shuffle partition, slices of a third word
 PIECES = 256  # pieces sent at a time
+PARTS = 32  # parts of a language ranked by themselves first
 ID_BITS = 21  # three word ids fill one 64-bit phrase; 0 stands for no word
 _ID = (1 << ID_BITS) - 1
 _CUT = np.zeros(256, bool)
@@ -317,6 +318,8 @@ def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, to
     after = F.col("s2") < F.col("s1")
     triples = cuts.select("lang", "phrase", "a", F.when(after, F.col("l2")).otherwise(F.col("l1")).alias("l"),
                           F.when(after, F.col("r2")).otherwise(F.col("r1")).alias("r"), F.least("s1", "s2").alias("score"), F.lit(False).alias("inside"))
-    first = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = pairs.filter("not inside").union(triples).drop("inside").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= top)
+    # First within hashed parts of a language, so a language's last task reads PARTS x top rows at most.
+    best = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    dealt = pairs.filter("not inside").union(triples).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    ranked = dealt.withColumn("rank", best("part")).filter(F.col("rank") <= top).withColumn("rank", best()).filter(F.col("rank") <= top)
     return ranked.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("words").alias("n"), "score")
