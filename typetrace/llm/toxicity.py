@@ -1,12 +1,13 @@
 """Toxicity: a factorisation machine over hashed terms.
 
-A text's terms are its words and their beginnings of 4, 5 and 6 bytes, lower-cased, hashed to
-``BITS`` bits and taken once each. All terms that stand in at least ``LEAST`` of the sampled texts
-form the model's vocabulary. The machine adds to their linear weights the products of their factor
-vectors, so two terms together may weigh more, or less, than apart. How far a term's weights may move
+A text's terms are its words and their beginnings of 4, 5 and 6 bytes, lower-cased, hashed into a table of
+2^``BITS`` slots and taken once each. The table has a linear weight and a factor vector a slot, in single precision,
+whatever the texts. The machine adds to the linear weights the products of factor
+vectors, so two terms together may weigh more, or less, than apart. How far a slot's weights may move
 follows from its evidence: its log likelihood ratio against the label, full at ``G2``, and for the
 factors also how evenly it parts the texts, as terms may tell only as a pair. No term is left out
-for weak evidence. The machine is fitted on a bounded sample (``ROWS``) of distinct labelled texts.
+for weak evidence. The machine is fitted on the driver, on a bounded sample of distinct labelled texts: about ``ROWS`` of
+them, and about ``SAMPLE_BYTES`` of text; whole texts are taken, by a hash. The fitted table is broadcast.
 
 Defined results: null counts as empty and gets the mean label as score, like any text without a
 known term; labels that repeat or contradict each other count by their mean; without labels of both
@@ -27,148 +28,157 @@ from typetrace.llm import textbytes as tb
 from typetrace.llm.common import stored
 from typetrace.llm.training import labelled_texts
 
-ROWS, BITS, LEAST, G2 = 40_000, 40, 3, 25.0
+ROWS, SAMPLE_BYTES, BITS, G2 = 16_000, 64 << 20, 20, 25.0
 FACTORS, STEPS, EPOCHS, RATE, RIDGE = 8, 200, 10, 0.1, 2e-4
 BLOCK_TERMS = 200_000
 STEMS = (4, 5, 6)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*b"abcdefghijklmnopqrstuvwxyz'", *range(0x80, 256)]] = True
-_KEEP = np.uint64((1 << BITS) - 1)
-_SLOT = np.uint64((1 << 22) - 1)
+_SLOT = np.uint64((1 << BITS) - 1)
 
 
-def terms_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed terms of lower-cased texts and the text each stands in."""
+def slots_of(data: np.ndarray, off: np.ndarray, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, slot of a term) pairs of lower-cased texts, in order; of slots that are ``live``."""
     start, end, first = tb.spans(_LETTER[data], off)
     text = np.repeat(np.arange(len(off) - 1), np.diff(first))
     hashes = tb.SpanHash(data)
-    terms, texts = [hashes(start, end) & _KEEP], [text]
+    slots, texts = [hashes(start, end) & _SLOT], [text]
     for k, width in enumerate(STEMS):
         at = np.flatnonzero(end - start > width)
-        terms.append(tb.mix(hashes(start[at], start[at] + width) + np.uint64(k + 1)) & _KEEP)
+        slots.append(tb.mix(hashes(start[at], start[at] + width) + np.uint64(k + 1)) & _SLOT)
         texts.append(text[at])
-    return np.concatenate(terms), np.concatenate(texts)
-
-
-class Vocabulary:
-    """Sorted terms with a bitmap in front, so most unknown words of a text are passed over at once."""
-
-    def __init__(self, terms: np.ndarray):
-        self.terms = np.sort(terms.astype(np.uint64))
-        self.seen = np.zeros(int(_SLOT) + 1, bool)
-        self.seen[(self.terms & _SLOT).astype(np.int64)] = True
-
-    def find(self, terms: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (text, place of a known term) pairs."""
-        near = np.flatnonzero(self.seen[(terms & _SLOT).astype(np.int64)])
-        place = np.searchsorted(self.terms, terms[near])
-        hit = place < len(self.terms)
-        near, place = near[hit], place[hit]
-        hit = self.terms[place] == terms[near]
-        pair = np.unique(texts[near[hit]] * len(self.terms) + place[hit])
-        return pair // max(1, len(self.terms)), pair % max(1, len(self.terms))
+    slot, text = np.concatenate(slots).astype(np.int64), np.concatenate(texts)
+    if live is not None:
+        kept = np.flatnonzero(live[slot])
+        slot, text = slot[kept], text[kept]
+    pair = tb.distinct(text << BITS | slot)
+    return pair >> BITS, pair & int(_SLOT)
 
 
 @dataclass(frozen=True)
 class Machine:
-    vocabulary: Vocabulary
     bias: float
     linear: np.ndarray
     factors: np.ndarray
+    live: np.ndarray  # slots with a weight
+
+    @classmethod
+    def flat(cls, level: float) -> Machine:
+        """Every text scores ``level``."""
+        level = min(max(level, 1e-9), 1 - 1e-9)
+        return cls(float(np.log(level / (1 - level))), np.zeros(1, np.float32), np.zeros((1, FACTORS), np.float32), np.zeros(1 << BITS, bool))
 
-    def score(self, n: int, text: np.ndarray, term: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_energy(n, text, term, self.bias, self.linear, self.factors)[0], -30, 30)))
+    def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        text, slot = slots_of(data, off, self.live)
+        return 1 / (1 + np.exp(-np.clip(_energy(len(off) - 1, text, slot, self.bias, self.linear, self.factors)[0], -30, 30)))
 
 
 def _energy(n, text, term, bias, linear, factors):
     """Machine's sum for each text, and the sums of factor vectors."""
-    sums = np.stack([np.bincount(text, weights=factors[term, k], minlength=n) for k in range(factors.shape[1])], axis=1)
-    squares = np.bincount(text, weights=(factors[term] ** 2).sum(axis=1), minlength=n)
+    of = factors[term]
+    sums = np.stack([np.bincount(text, weights=of[:, k], minlength=n) for k in range(factors.shape[1])], axis=1)
+    squares = np.bincount(text, weights=(of**2).sum(axis=1), minlength=n)
     return bias + np.bincount(text, weights=linear[term], minlength=n) + 0.5 * ((sums**2).sum(axis=1) - squares), sums
 
 
-def fit_machine(vocabulary: Vocabulary, ends: np.ndarray, term: np.ndarray, y: np.ndarray, reach: tuple[np.ndarray, np.ndarray],
+def fit_machine(ends: np.ndarray, slot: np.ndarray, y: np.ndarray, reach: tuple[np.ndarray, np.ndarray],
                 factors: int = FACTORS, steps: int = STEPS, epochs: int = EPOCHS, rate: float = RATE, ridge: float = RIDGE) -> Machine:
-    """Logistic loss by steps of adaptive size, from a fixed start. Text ``i`` has ``term[ends[i]:ends[i + 1]]``.
+    """Logistic loss by steps of adaptive size, from a fixed start. Text ``i`` has ``slot[ends[i]:ends[i + 1]]``.
 
-    ``reach`` scales each term's steps, of its linear weight and of its factors. Texts are taken in
-    blocks of about ``BLOCK_TERMS`` terms, a step each: at least ``epochs`` times all of them.
+    ``reach`` scales each slot's steps, of its linear weight and of its factors. Texts are taken in
+    blocks of about ``BLOCK_TERMS`` terms, a step each: at least ``epochs`` times all of them. A step moves the
+    weights, and their running moments, of its block's slots in place.
     """
-    n, m = len(y), len(vocabulary.terms)
+    n, m = len(y), len(reach[0])
     mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     bias = float(np.log(mean / (1 - mean)))  # stays: a text without a known term is as toxic as the labels on average
-    at = {"w": np.zeros(m), "v": np.random.default_rng(5).normal(0, 0.05, (m, factors))}
-    scale = {"w": reach[0], "v": reach[1][:, None]}
+    live = np.maximum(*reach) > 0
+    at = {"w": np.zeros(m, np.float32), "v": np.random.default_rng(5).normal(0, 0.05, (m, factors)).astype(np.float32)}
+    scale = {"w": reach[0].astype(np.float32), "v": reach[1].astype(np.float32)[:, None]}
     first, second = ({k: np.zeros_like(v) for k, v in at.items()} for _ in range(2))
-    cuts = np.unique(np.concatenate([np.searchsorted(ends, np.arange(0, len(term), BLOCK_TERMS)), [0, n]]))
-    blocks = list(zip(cuts[:-1], cuts[1:]))
-    steps = max(steps, epochs * len(blocks))
+    cuts = tb.distinct(np.concatenate([np.searchsorted(ends, np.arange(0, len(slot), BLOCK_TERMS)), [0, n]]))
+    blocks = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+    steps, known = max(steps, epochs * len(blocks)), int(live.sum())
+    place, parts = np.zeros(m, np.int32), []
+    for low, high in blocks:  # a block's own slots, and its terms as places among them
+        terms = slot[ends[low]:ends[high]]
+        here = tb.distinct(terms)
+        place[here] = np.arange(len(here))
+        parts.append((here, place[terms], np.repeat(np.arange(high - low, dtype=np.int32), np.diff(ends[low:high + 1])), y[low:high]))
     for step in range(1, steps + 1):
-        low, high = blocks[step % len(blocks)]
-        rows, terms = np.repeat(np.arange(high - low), np.diff(ends[low:high + 1])), term[ends[low]:ends[high]]
-        w, v = scale["w"] * at["w"], scale["v"] * at["v"]
-        energy, sums = _energy(high - low, rows, terms, bias, w, v)
-        gap = (1 / (1 + np.exp(-np.clip(energy, -30, 30))) - y[low:high]) / (high - low)
-        pull = gap[rows][:, None] * (sums[rows] - v[terms])
-        slope = {"w": np.bincount(terms, weights=gap[rows], minlength=m),
-                 "v": np.stack([np.bincount(terms, weights=pull[:, k], minlength=m) for k in range(factors)], axis=1)}
-        now = rate if len(blocks) == 1 else rate * (1 - 0.9 * step / steps)
+        here, terms, rows, want = parts[step % len(parts)]
+        mine = {k: v[here] for k, v in at.items()}
+        by = {k: v[here] for k, v in scale.items()}
+        w, v = by["w"] * mine["w"], by["v"] * mine["v"]
+        energy, sums = _energy(len(want), rows, terms, bias, w, v)
+        gap = (1 / (1 + np.exp(-np.clip(energy, -30, 30))) - want) / len(want)
+        pull = (gap[rows][:, None] * (sums[rows] - v[terms])).astype(np.float32)
+        slope = {"w": np.bincount(terms, weights=gap[rows], minlength=len(here)),
+                 "v": np.stack([np.bincount(terms, weights=pull[:, k], minlength=len(here)) for k in range(factors)], axis=1)}
+        now = rate if len(parts) == 1 else rate * (1 - 0.9 * step / steps)
         for k, g in slope.items():
-            g = scale[k] * g + ridge * at[k] / m
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.999 * second[k] + 0.001 * g * g
-            at[k] = at[k] - now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return Machine(vocabulary, bias, scale["w"] * at["w"], scale["v"] * at["v"])
+            g = (by[k] * g + ridge * mine[k] / known).astype(np.float32)
+            one, two = 0.9 * first[k][here] + 0.1 * g, 0.999 * second[k][here] + 0.001 * g * g
+            first[k][here], second[k][here] = one, two
+            at[k][here] = mine[k] - now * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.999**step)) + 1e-8)
+    at["w"] *= scale["w"]
+    at["v"] *= scale["v"]
+    return Machine(bias, at["w"], at["v"], live)
 
 
 def _counted(batches):
-    """Texts with a term, and of those the label's sum, for every term of a slice."""
+    """Texts with a term in it, and of those the label's sum, for every slot."""
+    n, pos = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS)
     for rows, data, off in tb.slices(batches):
-        term, text = terms_of(data, off)
-        term = np.unique(np.stack([term, text.astype(np.uint64)], axis=1), axis=0) if len(term) else np.zeros((0, 2), np.uint64)
-        y = rows.column("y").to_numpy(zero_copy_only=False)
-        kinds, which = np.unique(term[:, 0], return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(np.bincount(which, minlength=len(kinds)).astype(np.int64)),
-                                          pa.array(np.bincount(which, weights=y[term[:, 1].astype(np.int64)], minlength=len(kinds)))], ["term", "n", "pos"])
-
-
-def known_terms(sample: DataFrame, n: int, pos: float, least: int = LEAST) -> tuple[Vocabulary, tuple[np.ndarray, np.ndarray]]:
-    """Terms of at least ``least`` texts, and how far their linear weights and their factors may move (0 to 1)."""
-    counts = sample.mapInArrow(_counted, "term long, n long, pos double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+        text, slot = slots_of(data, off)
+        n += np.bincount(slot, minlength=len(n))
+        pos += np.bincount(slot, weights=rows.column("y").to_numpy(zero_copy_only=False)[text], minlength=len(n))
+    used = np.flatnonzero(n)
+    for at in range(0, len(used), 1 << 16):
+        some = used[at:at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(pos[some])], ["slot", "n", "pos"])
+
+
+def evidence(sample: DataFrame, n: int, pos: float) -> tuple[np.ndarray, np.ndarray]:
+    """How far each slot's linear weight and factors may move (0 to 1)."""
+    counts = sample.mapInArrow(_counted, "slot int, n long, pos double").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
     a, b = F.col("pos"), F.col("n") - F.col("pos")
     rest = n - F.col("n")
     rate = pos / n
     g2 = 2 * (part(a, F.col("n") * rate) + part(b, F.col("n") * (1 - rate)) + part(pos - a, rest * rate) + part(n - pos - b, rest * (1 - rate)))
-    got = counts.filter(F.col("n") >= least).select("term", "n", F.round(g2, 6).alias("g2")).toArrow()
-    term, texts, g2 = (got.column(k).to_numpy() for k in ("term", "n", "g2"))
-    order = np.argsort(term)
-    tied = np.clip(g2[order] / G2, 0, 1) ** 2
-    share = texts[order] / n
-    return Vocabulary(term.astype(np.uint64)), (tied, np.maximum(tied, (4 * share * (1 - share)) ** 2))
+    got = counts.select("slot", (F.col("n") / n).alias("share"), F.round(g2, 6).alias("g2")).toArrow()  # at most a row a slot
+    slot = got.column("slot").to_numpy()
+    tied, evenly = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    tied[slot] = np.clip(got.column("g2").to_numpy() / G2, 0, 1) ** 2
+    share = got.column("share").to_numpy()
+    evenly[slot] = (4 * share * (1 - share)) ** 2
+    return tied, np.maximum(tied, evenly)
+
+
+def _listed(batches):
+    """Label, a hash and the slots of every text."""
+    for rows, data, off in tb.slices(batches):
+        text, slot = slots_of(data, off)
+        ends = np.searchsorted(text, np.arange(len(off)))
+        key = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mix(slot.astype(np.uint64) + np.uint64(1)))])
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(slot.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([rows.column("y"), pa.array((key[ends[1:]] - key[ends[:-1]]).astype(np.int64)), lists], ["y", "key", "slots"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, learn=None, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> Machine:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, learn=None, rows: int = ROWS, size: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     lower = docs.select(F.col(id_col), F.lower(text_col).alias("text"))
     sample = stored(labelled_texts(lower, labels, "toxic", rows, learn, id_col, "text"), "toxic-sample")
+    # Long texts: fewer of them, as many as the bytes allow.
+    share = min(1.0, size / max(1, sample.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0))
+    sample = sample.filter(F.pmod(F.xxhash64("text", F.lit(12)), F.lit(1 << 30)) < int(share * (1 << 30)))
     n, pos = sample.agg(F.count(F.lit(1)), F.sum("y")).first()
-    none = Vocabulary(np.zeros(0, np.uint64))
     if not n or not 0 < pos < n:
-        level = 1e-9 if not n else min(max(pos / n, 1e-9), 1 - 1e-9)
-        return Machine(none, float(np.log(level / (1 - level))), np.zeros(0), np.zeros((0, FACTORS)))
-    vocabulary, reach = known_terms(sample, n, float(pos))
-
-    def known(batches):
-        for rows_, data, off in tb.slices(batches):
-            text, term = vocabulary.find(*terms_of(data, off))
-            ends = np.searchsorted(text, np.arange(len(off)))
-            key = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mix(vocabulary.terms[term] + np.uint64(1)))])
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(term.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([rows_.column("y"), pa.array((key[ends[1:]] - key[ends[:-1]]).astype(np.int64)), lists], ["y", "key", "terms"])
-
-    got = sample.mapInArrow(known, "y double, key long, terms array<int>").toArrow()
+        return Machine.flat(pos / n if n else 0.0)
+    reach = evidence(sample, n, float(pos))
+    got = sample.mapInArrow(_listed, "y double, key long, slots array<int>").toArrow()
     y, key = got.column("y").to_numpy(), got.column("key").to_numpy()
-    chunks = got.column("terms").chunks
+    chunks = got.column("slots").chunks
     del got
     size = np.concatenate([np.zeros(0, np.int64), *(np.diff(x.offsets.to_numpy()) for x in chunks)]).astype(np.int64)
     # Mixed by a hash of the terms: the same rows in the same order on every run, whatever tasks they came from.
@@ -177,24 +187,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn=None, rows: int = ROW
     to = np.empty(len(y), np.int64)
     to[order] = ends[:-1]
     # Moved chunk by chunk, each freed as it is done, so the terms are held about once.
-    term, row = np.empty(ends[-1], np.int32), 0
+    slot, row = np.empty(ends[-1], np.int32), 0
     chunks.reverse()
     while chunks:
         part = chunks.pop()
         at = part.offsets.to_numpy().astype(np.int64)
         width = np.diff(at)
-        term[np.repeat(to[row:row + len(part)] - at[:-1] + at[0], width) + np.arange(at[-1] - at[0])] = part.flatten().to_numpy()
+        slot[np.repeat(to[row:row + len(part)] - at[:-1] + at[0], width) + np.arange(at[-1] - at[0])] = part.flatten().to_numpy()
         row += len(part)
     pa.default_memory_pool().release_unused()
-    return fit_machine(vocabulary, ends, term, y[order], reach)
+    return fit_machine(ends, slot, y[order], reach)
 
 
 def score_toxicity(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``score`` and ``predicted`` of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
         for rows, data, off in tb.slices(batches):
-            score = model.score(len(off) - 1, *model.vocabulary.find(*terms_of(data, off)))
+            score = shared.value.score(data, off)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_col).alias("text"))
@@ -203,10 +214,10 @@ def score_toxicity(docs: DataFrame, model: Machine, id_col: str = "doc_id", text
 
 def drop_toxic(docs: DataFrame, model: Machine, cut: float = 0.5, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that score under ``cut``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):
         for rows, data, off in tb.slices(batches, "__lower"):
-            score = model.score(len(off) - 1, *model.vocabulary.find(*terms_of(data, off)))
-            yield rows.drop_columns(["__lower"]).filter(pa.array(score < cut))
+            yield rows.drop_columns(["__lower"]).filter(pa.array(shared.value.score(data, off) < cut))
 
     return docs.withColumn("__lower", F.lower(text_col)).mapInArrow(keep, docs.schema)
