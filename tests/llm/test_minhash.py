@@ -70,9 +70,41 @@ def test_components_match_all_pairs(docs_of, corpus, width):
 
 def test_large_families_are_compared_in_blocks(docs_of, corpus, monkeypatch):
     monkeypatch.setattr(minhash, "PAIRED", 3)
-    monkeypatch.setattr(minhash, "QUERIES", 4)
     monkeypatch.setattr(minhash, "MEMBERS", 8)
     assert got(minhash.near_duplicates(docs_of(corpus), 4)) == plain(corpus, 4)
+    monkeypatch.setattr(minhash, "MEMBER_SHINGLES", 1000)
+    assert got(minhash.near_duplicates(docs_of(corpus), 4)) == plain(corpus, 4)
+
+
+def test_a_family_below_the_threshold(spark, docs_of):
+    """Two thousand variants of one text at 0.70 to 0.80, a few of them linked: the links and no more come out of the blocks."""
+    rnd = random.Random(9)
+    base = [f"b{k}" for k in range(120)]
+    texts = []
+    for k in range(2000):
+        words = list(base)
+        for at in rnd.sample(range(30), 3):  # three of 30 places, four words apart
+            words[4 * at] = f"w{rnd.randrange(300)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    result = minhash.near_duplicates(docs_of(rows), 4)
+    sets = {t: shingles(t, 4) for t in set(texts)}
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, t in rows:
+        for j, u in rows[:i]:
+            both = len(sets[t] & sets[u])
+            if 100 * both >= 80 * (len(sets[t]) + len(sets[u]) - both) and find(i) != find(j):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    found = {r.doc_id: r.component_id for r in result.collect()}
+    wrong = [i for i in found if found[i] != find(i)]
+    assert len({find(i) for i, _ in rows}) > 20 and wrong == []
 
 
 def test_rows_that_share_an_id(docs_of):

@@ -9,8 +9,9 @@ their full sets.
 
 A bucket of n nodes is not spread into pairs. First every node meets one hub, the least node of its buckets;
 then the hubs of those buckets that still hold several components. What then still is apart is paired
-within small buckets; in families of large ones it is held, block by block, against all members by signature, and
-only likely pairs come out. A family of near copies so costs a few pairs a member, and no pair of different
+within small buckets; in families of large ones it is held, block by block, against all members, by signature and then by
+full sets, which are in the block. Members whose components have met are not compared again, and a block gives out one verified
+link for each two components that meet, never its likely or its rejected pairs. No pair of different
 components in a bucket goes untested. With 40 bands of 6, two
 documents of similarity 0.8 share no bucket with a chance of 5e-6; that and ``MISS`` are all that
 can be lost.
@@ -34,11 +35,13 @@ from pyspark.sql import functions as F
 from typetrace.llm import textbytes as tb
 from typetrace.llm.common import stored
 from typetrace.llm.graph import components
+from typetrace.llm.tokens import ranges
 
 BANDS, ROWS, BATCH, MISS, SEED = 40, 6, 40, 1e-6, 99
 SHINGLE, SIMILAR = 5, 80  # words, per cent
 PAIRED = 64  # members of a bucket up to which its components are paired directly
-QUERIES, MEMBERS = 256, 2048  # nodes in a block of a larger one
+MEMBERS, MEMBER_SHINGLES = 2048, 1 << 21  # nodes, and shingles of nodes, on a side of a block in a larger one
+SALTS = 16  # parts that a bucket's rows are dealt into where they meet its facts
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -54,7 +57,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> list[np.ndarr
     for k in range(len(off) - 1):
         n = first[k + 1] - first[k]
         if n >= width:
-            out.append(np.unique(hashes[place[k]:place[k + 1]]))
+            out.append(tb.distinct(hashes[place[k]:place[k + 1]]))
         elif n:
             whole = np.uint64(n)
             for w in word[first[k]:first[k + 1]]:
@@ -175,39 +178,76 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return with_both(left, "set").mapInArrow(exact, "a long, b long")
 
 
-def pairs_in_blocks(large: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """Likely pairs of different components within families of large buckets (``hub``, ``node``, ``label``).
+class Merging:
+    """Labels of a block's nodes, and which of them have met."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray):
+        self.names, both = np.unique(np.concatenate([left, right]), return_inverse=True)
+        self.left, self.right = both[:len(left)], both[len(left):]
+
+    def meet(self, a: int, b: int) -> None:
+        for side in (self.left, self.right):
+            side[side == b] = a
+
+
+def _links(left: pd.DataFrame, right: pd.DataFrame, similar: int) -> tuple[list[int], list[int]]:
+    """Links between nodes of different labels, one for each two labels that meet."""
+    a, b = [], []
+    x, y = (np.frombuffer(b"".join(d["sig"]), np.uint32).reshape(len(d), -1) for d in (left, right))
+    sets = [np.frombuffer(s, np.uint64) for s in right["set"]]
+    size = np.array([len(s) for s in sets])
+    # Which members hold a shingle: owners[first[k]:first[k + 1]] for shingle k.
+    shingles = np.concatenate(sets)
+    order = np.argsort(shingles)
+    owners, shingles = np.repeat(np.arange(len(sets)), size)[order], shingles[order]
+    first = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]]))
+    shingles, first = shingles[first], np.append(first, len(owners))
+    node, labels = right["node"].to_numpy(), Merging(left["label"].to_numpy(), right["label"].to_numpy())
+    for row, (mine, mine_set, sig) in enumerate(zip(left["node"].tolist(), left["set"], x)):
+        own = np.frombuffer(mine_set, np.uint64)
+        alive = np.flatnonzero((labels.right != labels.left[row]) & (np.minimum(size, len(own)) * 100 >= np.maximum(size, len(own)) * similar))
+        matches, at = np.zeros(len(alive), np.int64), 0
+        for n, least in least_matches(x.shape[1], similar):
+            matches += (y[alive, at:n] == sig[at:n]).sum(axis=1)
+            keep = matches >= least
+            alive, matches, at = alive[keep], matches[keep], n
+        if not len(alive):
+            continue
+        place = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
+        place = place[shingles[place] == own]
+        _, at = ranges(first[place], first[place + 1] - first[place])
+        both = np.bincount(owners[at], minlength=len(sets))[alive]
+        for other in alive[100 * both >= similar * (len(own) + size[alive] - both)].tolist():
+            if labels.right[other] != labels.left[row]:
+                labels.meet(labels.left[row], labels.right[other])
+                a.append(min(mine, int(node[other])))
+                b.append(max(mine, int(node[other])))
+    return a, b
+
+
+def links_in_blocks(large: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Verified links (``a``, ``b``) that join the components within families of large buckets (``hub``, ``node``, ``n``, ``label``).
 
     Buckets with common members are one family. All its nodes that are not in its largest component are held against all
-    its nodes, in blocks of bounded size, and only pairs that the posterior bounds leave come out.
+    its nodes, in blocks of bounded size.
     """
     family = components(large.filter("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("label", "family")
-    rows = stored(large.select("node", "label").distinct().join(family, "node"), "families")
-    counts = rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
-    per_family = counts.groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).select(
-        "family", F.col("top.label").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / QUERIES).cast("int").alias("q_parts"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("r_parts"))
-    known = rows.join(per_family, "family").filter("q_parts > 0").join(sets.select("node", "sig"), "node")
+    rows = stored(large.select("node", "n", "label").distinct().join(family, "node"), "families")
+    counts = rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"))
+    parts = lambda nodes, shingles: F.greatest(F.ceil(nodes / MEMBERS), F.ceil(shingles / MEMBER_SHINGLES)).cast("int")
+    per_family = counts.groupBy("family").agg(F.sum("nodes").alias("nodes"), F.sum("shingles").alias("shingles"), F.max(F.struct("nodes", "shingles", "label")).alias("top")).select(
+        "family", F.col("top.label").alias("main"), parts(F.col("nodes") - F.col("top.nodes"), F.col("shingles") - F.col("top.shingles")).alias("q_parts"),
+        parts(F.col("nodes"), F.col("shingles")).alias("r_parts"))
+    known = rows.join(per_family, "family").filter("q_parts > 0").join(sets.select("node", "sig", "set"), "node")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys, columns = ["family", "q", "r"], ["node", "label", "sig"]
+    keys, columns = ["family", "q", "r"], ["node", "label", "sig", "set"]
     apart = known.filter(F.col("label") != F.col("main")).withColumn("q", part("q_parts")).withColumn("r", every("r_parts")).select(*keys, *columns)
     others = known.withColumn("r", part("r_parts")).withColumn("q", every("q_parts")).select(*keys, *columns)
     apart, others = apart.toDF(*keys, *columns), others.toDF(*keys, *columns)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        if len(left) and len(right):
-            x, y = (np.frombuffer(b"".join(d["sig"]), np.uint32).reshape(len(d), -1) for d in (left, right))
-            node, label = right["node"].to_numpy(), right["label"].to_numpy()
-            for mine, own, sig in zip(left["node"], left["label"], x):
-                alive = np.flatnonzero(label != own)
-                matches, at = np.zeros(len(alive), np.int64), 0
-                for n, least in least_matches(x.shape[1], similar):
-                    matches += (y[alive, at:n] == sig[at:n]).sum(axis=1)
-                    keep = matches >= least
-                    alive, matches, at = alive[keep], matches[keep], n
-                a += np.minimum(node[alive], mine).tolist()
-                b += np.maximum(node[alive], mine).tolist()
+        a, b = _links(left, right, similar) if len(left) and len(right) else ([], [])
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return apart.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(compare, "a long, b long")
@@ -244,8 +284,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similar: int = SIMILA
     def mixed_buckets() -> DataFrame:
         """Rows of buckets that hold several components, with their labels."""
         here = crowded.join(labels, "node")
-        mixed = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        return stored(here.join(mixed, "key"), "mixed")
+        mixed = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high")
+        # Every bucket's fact once for each part of its rows, so a large bucket's rows go to many tasks.
+        facts = mixed.select("key", "members", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        return stored(here.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(facts, ["key", "salt"]).drop("salt"), "mixed")
 
     # All hubs of the buckets that are still mixed.
     mixed = mixed_buckets()
@@ -256,18 +298,17 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similar: int = SIMILA
 
     # What is still apart within a bucket: members of different components, of sizes that can be similar.
     # Small buckets are paired as they are; in large ones, what is apart is held against all others in blocks.
-    mixed = mixed_buckets()
-    size = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-    sized = mixed.join(size, "key")
+    sized = mixed_buckets()
     small = sized.filter(F.col("members") <= PAIRED).filter("hub < node")  # pairs with the hub are all tested by now
     x, y = (small.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "label")]) for s in "xy")
     fits = (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & (
         F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * similar)
     third = x.join(y, "key").filter(fits).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-    large = stored(sized.filter(F.col("members") > PAIRED).select("hub", "node", "label"), "large")
+    links = similar_pairs(third.distinct(), sets, similar)
+    large = stored(sized.filter(F.col("members") > PAIRED).select("hub", "node", "n", "label"), "large")
     if not large.isEmpty():
-        third = third.union(pairs_in_blocks(large, sets, similar))
-    labels = merged(labels, similar_pairs(third.distinct(), sets, similar))
+        links = links.union(links_in_blocks(large, sets, similar))
+    labels = merged(labels, links)
 
     found = members.select("doc_id", "node").distinct().join(labels, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("component"))
     # Several texts under one id are one document and link what they belong to.
