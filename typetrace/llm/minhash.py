@@ -231,7 +231,10 @@ def links_in_blocks(large: DataFrame, sets: DataFrame, similar: int) -> DataFram
     Buckets with common members are one family. All its nodes that are not in its largest component are held against all
     its nodes, in blocks of bounded size.
     """
-    family = components(large.filter("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b"))).withColumnRenamed("label", "family")
+    # A node's hubs meet at its least one: few links, as many nodes have the same hubs.
+    least = large.groupBy("node").agg(F.min("hub").alias("least"))
+    meets = large.join(least, "node").select("hub", "least").distinct().union(least)
+    family = components(meets.toDF("a", "b")).withColumnRenamed("label", "family")
     rows = stored(large.select("node", "n", "label").distinct().join(family, "node"), "families")
     counts = rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"))
     parts = lambda nodes, shingles: F.greatest(F.ceil(nodes / MEMBERS), F.ceil(shingles / MEMBER_SHINGLES)).cast("int")
