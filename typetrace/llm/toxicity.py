@@ -28,7 +28,7 @@ from typetrace.llm import textbytes as tb
 from typetrace.llm.common import stored
 from typetrace.llm.training import labelled_texts
 
-ROWS, SAMPLE_BYTES, BITS, G2 = 16_000, 64 << 20, 20, 25.0
+ROWS, SAMPLE_BYTES, BITS, G2 = 10_000, 40 << 20, 18, 25.0
 FACTORS, STEPS, EPOCHS, RATE, RIDGE = 8, 200, 10, 0.1, 2e-4
 BLOCK_TERMS = 200_000
 STEMS = (4, 5, 6)
@@ -83,7 +83,8 @@ def _energy(n, text, term, bias, linear, factors):
 
 def fit_machine(ends: np.ndarray, slot: np.ndarray, y: np.ndarray, reach: tuple[np.ndarray, np.ndarray],
                 factors: int = FACTORS, steps: int = STEPS, epochs: int = EPOCHS, rate: float = RATE, ridge: float = RIDGE) -> Machine:
-    """Logistic loss by steps of adaptive size, from a fixed start. Text ``i`` has ``slot[ends[i]:ends[i + 1]]``.
+    """Logistic loss by steps of adaptive size, from a fixed start. Text ``i`` has ``slot[ends[i]:ends[i + 1]]``;
+    ``slot`` is worked on in place and of no use afterwards.
 
     ``reach`` scales each slot's steps, of its linear weight and of its factors. Texts are taken in
     blocks of about ``BLOCK_TERMS`` terms, a step each: at least ``epochs`` times all of them. A step moves the
@@ -93,20 +94,23 @@ def fit_machine(ends: np.ndarray, slot: np.ndarray, y: np.ndarray, reach: tuple[
     mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     bias = float(np.log(mean / (1 - mean)))  # stays: a text without a known term is as toxic as the labels on average
     live = np.maximum(*reach) > 0
-    at = {"w": np.zeros(m, np.float32), "v": np.random.default_rng(5).normal(0, 0.05, (m, factors)).astype(np.float32)}
+    at = {"w": np.zeros(m, np.float32), "v": np.random.default_rng(5).standard_normal((m, factors), dtype=np.float32)}
+    at["v"] *= 0.05
     scale = {"w": reach[0].astype(np.float32), "v": reach[1].astype(np.float32)[:, None]}
     first, second = ({k: np.zeros_like(v) for k, v in at.items()} for _ in range(2))
     cuts = tb.distinct(np.concatenate([np.searchsorted(ends, np.arange(0, len(slot), BLOCK_TERMS)), [0, n]]))
     blocks = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
     steps, known = max(steps, epochs * len(blocks)), int(live.sum())
-    place, parts = np.zeros(m, np.int32), []
-    for low, high in blocks:  # a block's own slots, and its terms as places among them
+    place, own = np.zeros(m, np.int32), []
+    for low, high in blocks:  # a block's own slots; its terms become places among them, where they are
         terms = slot[ends[low]:ends[high]]
-        here = tb.distinct(terms)
-        place[here] = np.arange(len(here))
-        parts.append((here, place[terms], np.repeat(np.arange(high - low, dtype=np.int32), np.diff(ends[low:high + 1])), y[low:high]))
+        own.append(tb.distinct(terms))
+        place[own[-1]] = np.arange(len(own[-1]))
+        terms[:] = place[terms]
     for step in range(1, steps + 1):
-        here, terms, rows, want = parts[step % len(parts)]
+        k = step % len(blocks)
+        (low, high), here = blocks[k], own[k]
+        terms, rows, want = slot[ends[low]:ends[high]], np.repeat(np.arange(high - low), np.diff(ends[low:high + 1])), y[low:high]
         mine = {k: v[here] for k, v in at.items()}
         by = {k: v[here] for k, v in scale.items()}
         w, v = by["w"] * mine["w"], by["v"] * mine["v"]
@@ -115,7 +119,7 @@ def fit_machine(ends: np.ndarray, slot: np.ndarray, y: np.ndarray, reach: tuple[
         pull = (gap[rows][:, None] * (sums[rows] - v[terms])).astype(np.float32)
         slope = {"w": np.bincount(terms, weights=gap[rows], minlength=len(here)),
                  "v": np.stack([np.bincount(terms, weights=pull[:, k], minlength=len(here)) for k in range(factors)], axis=1)}
-        now = rate if len(parts) == 1 else rate * (1 - 0.9 * step / steps)
+        now = rate if len(blocks) == 1 else rate * (1 - 0.9 * step / steps)
         for k, g in slope.items():
             g = (by[k] * g + ridge * mine[k] / known).astype(np.float32)
             one, two = 0.9 * first[k][here] + 0.1 * g, 0.999 * second[k][here] + 0.001 * g * g
@@ -149,7 +153,7 @@ def evidence(sample: DataFrame, n: int, pos: float) -> tuple[np.ndarray, np.ndar
     g2 = 2 * (part(a, F.col("n") * rate) + part(b, F.col("n") * (1 - rate)) + part(pos - a, rest * rate) + part(n - pos - b, rest * (1 - rate)))
     got = counts.select("slot", (F.col("n") / n).alias("share"), F.round(g2, 6).alias("g2")).toArrow()  # at most a row a slot
     slot = got.column("slot").to_numpy()
-    tied, evenly = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    tied, evenly = (np.zeros(1 << BITS, np.float32) for _ in range(2))
     tied[slot] = np.clip(got.column("g2").to_numpy() / G2, 0, 1) ** 2
     share = got.column("share").to_numpy()
     evenly[slot] = (4 * share * (1 - share)) ** 2
