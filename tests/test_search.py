@@ -31,6 +31,45 @@ def test_forms_and_task_bounds_agree(spark, small):
     assert rows(search.match_marks(crops.repartition(3), templates.repartition(5), 1, 8, coarse_k=20), *cols) == want
 
 
+@pytest.mark.parametrize("packed_bytes", [0, 1 << 20])
+def test_packed_and_dealt_short_lists_agree(spark, small, packed_bytes):
+    """An index over its limit is dealt, one within it is held by every task; some crops have an unknown character."""
+    crops, templates = small
+    crops = crops.withColumn("char", F.when(F.col("mark_id") % 7 == 0, F.lit("?")).when(F.col("mark_id") % 7 == 1, F.lit(None).cast("string")).otherwise(F.col("char")))
+    cols = ("mark_id", "font_id", "rank", "iou", "score")
+    want = rows(search.match_marks_joined(crops, templates, 1, coarse_k=9), *cols)
+    for fonts_per_task in (2000, 17):
+        got = search.match_marks(crops, templates, 1, 8, coarse_k=9, fonts_per_task=fonts_per_task, packed_bytes=packed_bytes)
+        assert rows(got, *cols) == want
+    only = search.match_marks(crops, templates, 1, 8, use_fields=False, packed_bytes=packed_bytes)
+    assert rows(only, *cols[:3]) == rows(search.match_marks_joined(crops, templates, 1, use_fields=False), *cols[:3])
+
+
+def test_packed_index_is_checked_by_size(small):
+    _, templates = small
+    n = templates.count()
+    assert search.packed_index(templates, 1, 24 * n - 1) is None
+    index = search.packed_index(templates, 1, 24 * n)
+    assert sum(len(f) for f, _ in index.values()) == n and all((np.diff(f) > 0).all() for f, _ in index.values())
+
+
+def test_packed_short_lists_take_no_exchange(spark, tmp_path):
+    """Crops are moved once, with their fields, after their short lists are known; templates' bitmaps are in no exchange."""
+    fx.crops(spark, SF).write.parquet(str(tmp_path / "q"))
+    fx.templates(spark, SF).write.parquet(str(tmp_path / "t"))
+    q, t = spark.read.parquet(str(tmp_path / "q")), spark.read.parquet(str(tmp_path / "t"))
+    plan = search.match_marks(q, t, 1, 8)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert plan.count("FlatMapCoGroupsInPandas") == 1 and plan.count("MapInArrow") == 1
+    below = plan[plan.index("MapInArrow"):]
+    assert "Exchange" not in below[:below.index("Scan parquet")]
+    dealt = search.match_marks(q, t, 1, 8, packed_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    assert dealt.count("FlatMapCoGroupsInPandas") == 2 and len(exchanges) < dealt.count("Exchange hashpartitioning")
+    coarse = dealt[dealt.rindex("FlatMapCoGroupsInPandas"):].splitlines()
+    last = max(i for i, line in enumerate(coarse) if "words#" in line)
+    assert not any("field#" in line for line in coarse[:last + 1] if "Exchange" in line)
+
+
 def test_hot_character_is_dealt_over_tasks(spark, small):
     crops, templates = small
     hot = crops.withColumn("char", F.lit("a"))

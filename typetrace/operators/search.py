@@ -3,9 +3,10 @@
 Crops carry ``request_id, mark_id, char, words, field, vec``; templates carry ``font_id, char,
 words, field, vec`` and, when shifts are searched, ``moments``. ``vec`` has unit length.
 
-Two physical forms give the same rows. ``match_marks`` deals crops and templates of one
-character into bounded tasks and scores a task with matrix products: one shuffle of the crops,
-and only short lists leave the task. ``match_marks_joined`` is the plain join form; it suits
+Two physical forms give the same rows. ``match_marks`` finds short lists by bitmaps alone: against a
+packed index that every task holds, if its counted size allows, so that no crop is moved; else in tasks
+that crops' and templates' bitmaps of one character are dealt into. Crops then meet the fields of
+their listed fonts in bounded tasks, which score with matrix products. ``match_marks_joined`` is the plain join form; it suits
 small fields and the coarse-only mode, and never reads a field column in its coarse stage.
 """
 
@@ -15,6 +16,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from typetrace.functions import rasters as R, scores as S
@@ -190,15 +192,99 @@ def _short_lists(
     return run
 
 
+PACKED_BYTES = 64 << 20  # of an index of bitmaps that every task may hold
+PACKED_BLOCK = 4096      # templates unpacked at a time
+PAIR_BLOCK = 1 << 22     # overlaps held at a time
+
+
+def packed_index(templates: DataFrame, n_words: int, limit: int = PACKED_BYTES) -> dict[str, tuple[np.ndarray, np.ndarray]] | None:
+    """Font ids, in order, and words of every character's templates, or None if they take over ``limit`` bytes.
+
+    The size is counted before anything is fetched.
+    """
+    if templates.select("font_id").count() * (8 * n_words + 16) > limit:
+        return None
+    got = templates.select("char", "font_id", "words").toArrow().to_pandas()
+    index = {}
+    for char, t in got.groupby("char"):
+        t = t.sort_values("font_id", kind="stable")
+        index[char] = t["font_id"].to_numpy(), np.stack(t["words"].to_list()).astype(np.int64).reshape(len(t), n_words)
+    return index
+
+
+def _listed(shared, n_words: int, k: int, byte_weighted: bool, keep: list[str]):
+    """Rows of crops with the ``k`` best fonts of their character and the overlaps, from a packed index.
+
+    Crops whose character has no template are left out.
+    """
+    def best(words: np.ndarray, t_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        q = R.unpack(words, n_words)
+        iou = np.concatenate([overlap_matrix(q, R.unpack(t_words[i:i + PACKED_BLOCK], n_words), byte_weighted)
+                              for i in range(0, len(t_words), PACKED_BLOCK)], axis=1)
+        place = np.argsort(-iou, axis=1, kind="stable")[:, :k]
+        return place, np.take_along_axis(iou, place, axis=1)
+
+    def run(batches):
+        index = shared.value
+        for batch in batches:
+            rows, fonts, ious, ends = [], [], [], [0]
+            words = batch.column("words").to_numpy(zero_copy_only=False)
+            for char, at in pd.Series(batch.column("char").to_pandas()).groupby(batch.column("char").to_pandas()).indices.items():
+                if char not in index:
+                    continue
+                font, t_words = index[char]
+                block = max(1, PAIR_BLOCK // len(font))
+                for i in range(0, len(at), block):
+                    some = at[i:i + block]
+                    place, iou = best(words[some], t_words)
+                    rows.append(some)
+                    fonts.append(font[place].ravel())
+                    ious.append(iou.ravel())
+                    ends += (ends[-1] + place.shape[1] * np.arange(1, len(some) + 1)).tolist()
+            if not rows:
+                continue
+            ends = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (fonts, ious)]
+            taken = batch.select(keep).take(pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([*taken.columns, *lists], [*keep, "fonts", "ious"])
+
+    return run
+
+
+def _fine_lists(side: int, reach: int, weight: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Fused scores of a task's crops with those of their listed fonts that the task has."""
+    columns = ["request_id", "mark_id", "char", "font_id", "iou", "ncc", "cosine", "score"]
+
+    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or t.empty:
+            return pd.DataFrame(columns=columns)
+        t = t.sort_values("font_id", kind="stable").reset_index(drop=True)
+        fonts, rows = t["font_id"].to_numpy(), np.repeat(np.arange(len(q)), [len(f) for f in q["fonts"]])
+        listed, iou = np.concatenate(q["fonts"].to_list()), np.concatenate(q["ious"].to_list())
+        place = np.minimum(np.searchsorted(fonts, listed), len(fonts) - 1)
+        here = fonts[place] == listed
+        rows, iou, place = rows[here], iou[here], place[here]
+        if not len(rows):
+            return pd.DataFrame(columns=columns)
+        used, column = np.unique(place, return_inverse=True)
+        ncc, cosine, score = fused_matrix(q, t.iloc[used], side, reach, weight)
+        own = {c: q[c].to_numpy()[rows] for c in columns[:3]}
+        return pd.DataFrame(own | {"font_id": fonts[place], "iou": iou} | {
+            n: m[rows, column] for n, m in (("ncc", ncc), ("cosine", cosine), ("score", score))})[columns]
+
+    return run
+
+
 def deal(
     crops: DataFrame, templates: DataFrame, key: str, crops_per_task: int, fonts_per_task: int,
-    crop_keys: DataFrame | None = None, template_keys: DataFrame | None = None,
+    crop_keys: DataFrame | None = None, template_keys: DataFrame | None = None, fonts: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Give both sides ``(key, q_part, t_part)`` so that no task holds more than the two bounds.
 
     A hot key gets as many crop parts as its load asks for, each with its own copy of the key's
     templates. Loads come from a count over the key column alone; if the sides are worked out
-    row by row, ``crop_keys`` and ``template_keys`` name tables that have the key before that.
+    row by row, ``crop_keys`` and ``template_keys`` name tables that have the key before that. With ``fonts``, an array
+    column, a crop goes only to the template parts that hold one of them.
     """
     parts = lambda n, size: F.ceil(F.col(n) / size).cast("int")
     load = (
@@ -208,8 +294,9 @@ def deal(
     )
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     share = lambda n, *ids: F.pmod(F.xxhash64(*ids), F.col(n)).cast("int")
+    holding = F.explode(F.array_distinct(F.transform(fonts, lambda f: share("t_parts", f, key)))) if fonts else every("t_parts")
     q = (crops.join(load, key).withColumn("q_part", share("q_parts", "mark_id"))
-         .withColumn("t_part", every("t_parts")))
+         .withColumn("t_part", holding))
     t = (templates.join(load, key).withColumn("t_part", share("t_parts", "font_id", "char"))
          .withColumn("q_part", every("q_parts")))
     return q, t
@@ -230,32 +317,58 @@ def match_marks(
     coarse: str = "popcount",
     crop_keys: DataFrame | None = None,
     template_keys: DataFrame | None = None,
+    packed_bytes: int = PACKED_BYTES,
 ) -> DataFrame:
     """Short list of ``top_k`` fonts per crop with a 0-based ``rank``, shifts up to ``reach``.
 
     A crop whose character has no template yields no row. ``use_fields=False`` is the coarse-only
-    mode: the overlap is the score, and no field leaves its row.
+    mode: the overlap is the score, and no field leaves its row. An index of bitmaps of at most
+    ``packed_bytes`` is held by every task; ``coarse_k=None`` holds every crop against all fields of its character.
     """
-    if not use_fields:
+    byte_weighted, types = coarse == "byte_weighted", dict(crops.dtypes) | {"font_id": dict(templates.dtypes)["font_id"]}
+    keys = ["char", "q_part", "t_part"]
+
+    def dealt_lists(k: int | None) -> DataFrame:
         # Overlap alone is cheap per pair, so crops travel in larger parts and templates in fewer copies.
         q, t = deal(crops, templates, "char", 20 * crops_per_task, fonts_per_task, crop_keys, template_keys)
-        keys = ["char", "q_part", "t_part"]
         q, t = q.select("request_id", "mark_id", "words", *keys), t.select("font_id", "words", *keys)
-        schema = ", ".join(f"{f} {dict(q.dtypes + t.dtypes)[f]}" for f in ("request_id", "mark_id", "font_id", "char")) + ", iou double"
-        found = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(_coarse_lists(n_words, top_k, coarse == "byte_weighted", ["font_id"]), schema)
+        schema = ", ".join(f"{f} {types[f]}" for f in ("request_id", "mark_id", "font_id", "char")) + ", iou double"
+        return q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(_coarse_lists(n_words, k, byte_weighted, ["font_id"]), schema)
+
+    def packed_lists(k: int, keep: list[str]) -> DataFrame | None:
+        index = packed_index(templates, n_words, packed_bytes)
+        if index is None:
+            return None
+        shared = crops.sparkSession.sparkContext.broadcast(index)
+        schema = ", ".join(f"{f} {types[f]}" for f in keep) + f", fonts array<{types['font_id']}>, ious array<double>"
+        return crops.select(*keep, *([] if "words" in keep else ["words"])).mapInArrow(_listed(shared, n_words, k, byte_weighted, keep), schema)
+
+    if not use_fields:
+        listed = packed_lists(top_k, ["request_id", "mark_id", "char"]) if top_k else None
+        if listed is None:
+            found = dealt_lists(top_k)
+        else:
+            pair = F.explode(F.arrays_zip("fonts", "ious"))
+            found = listed.withColumn("x", pair).select("request_id", "mark_id", F.col("x.fonts").alias("font_id"), "char", F.col("x.ious").alias("iou"))
         ranked = _first(found, ["mark_id"], [F.desc("iou"), F.asc("font_id")], top_k, "rank")
         return ranked.withColumn("score", F.col("iou")).withColumn("rank", F.col("rank") - 1)
-    q, t = deal(crops, templates, "char", crops_per_task, fonts_per_task, crop_keys, template_keys)
-    keys = ["char", "q_part", "t_part"]
-    q = q.select("request_id", "mark_id", "words", "field", "vec", *keys)
-    optional = ["moments"] if "moments" in t.columns else []
-    t = t.select("font_id", "words", "field", "vec", *optional, *keys)
-    schema = ", ".join(
-        f"{f} {dict(q.dtypes + t.dtypes)[f]}" for f in ("request_id", "mark_id", "char", "font_id")
-    ) + ", iou double, ncc double, cosine double, score double"
-    found = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(
-        _short_lists(n_words, side, reach, coarse_k, weight, coarse == "byte_weighted"), schema
-    )
+    optional = ["moments"] if "moments" in templates.columns else []
+    if coarse_k is None:
+        q, t = deal(crops, templates, "char", crops_per_task, fonts_per_task, crop_keys, template_keys)
+        q, t = q.select("request_id", "mark_id", "words", "field", "vec", *keys), t.select("font_id", "words", "field", "vec", *optional, *keys)
+        score = _short_lists(n_words, side, reach, None, weight, byte_weighted)
+    else:
+        fields = ["request_id", "mark_id", "char", "field", "vec"]
+        listed = packed_lists(coarse_k, fields)
+        if listed is None:
+            lists = _first(dealt_lists(coarse_k), ["mark_id"], [F.desc("iou"), F.asc("font_id")], coarse_k, "coarse_rank").groupBy("mark_id").agg(
+                F.sort_array(F.collect_list(F.struct("font_id", "iou"))).alias("x"))
+            listed = crops.select(*fields).join(lists.select("mark_id", F.col("x.font_id").alias("fonts"), F.col("x.iou").alias("ious")), "mark_id")
+        q, t = deal(listed, templates, "char", crops_per_task, fonts_per_task, crops if crop_keys is None else crop_keys, template_keys, "fonts")
+        q, t = q.select("request_id", "mark_id", "field", "vec", "fonts", "ious", *keys), t.select("font_id", "field", "vec", *optional, *keys)
+        score = _fine_lists(side, reach, weight)
+    schema = ", ".join(f"{f} {types[f]}" for f in ("request_id", "mark_id", "char", "font_id")) + ", iou double, ncc double, cosine double, score double"
+    found = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(score, schema)
     # Parts of one character meet here. Both rankings share the shuffle on mark_id.
     found = _first(found, ["mark_id"], [F.desc("iou"), F.asc("font_id")], coarse_k, "coarse_rank")
     ranked = _first(found, ["mark_id"], [F.desc("score"), F.asc("font_id")], top_k, "rank")
