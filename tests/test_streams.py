@@ -45,6 +45,55 @@ def test_request_spread_over_batches_closes_once(spark, tmp_path):
     assert (got["b"].verdict, got["b"].best_font, got["b"].confidence) == ("unknown", None, 0.0)
 
 
+def test_closed_input_leaves_nothing_open(spark, tmp_path):
+    """Open windows, sessions and requests come out once the input is closed, also after a restart in between."""
+    schema, closing = "ts string, user int, verdict string, score double", str(tmp_path / "closing")
+    s = feed(spark, tmp_path / "in", schema, [("2024-01-01 00:01:00", 1, "free", 0.9)], [("2024-01-01 01:30:00", 1, "free", 0.8), ("2024-01-01 01:31:00", 2, "risky", 0.3)])
+    cases = {"windows": J.verdict_counts(J.with_closing(s, closing), "10 minutes", "1 hour"),
+             "sessions": J.verdict_sessions(J.with_closing(s, closing), "10 minutes", "1 hour", "user")}
+    writer = {n: df.writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / n)) for n, df in cases.items()}
+    read = lambda n: spark.read.schema(cases[n].schema).parquet(str(tmp_path / n)).collect()
+    for n in cases:
+        J.run_available(writer[n], str(tmp_path / f"{n}-check"))
+    assert len(read("windows")) == 1 and len(read("sessions")) == 1
+    J.close_input(spark, closing)
+    for n in cases:
+        J.run_available(writer[n], str(tmp_path / f"{n}-check"))
+    assert sorted((str(r.window.start), r.verdict, r.n) for r in read("windows")) == [
+        ("2024-01-01 00:00:00", "free", 1), ("2024-01-01 01:00:00", "free", 1), ("2024-01-01 01:00:00", "risky", 1)]
+    assert sorted((r.user, r.n) for r in read("sessions")) == [(1, 1), (1, 1), (2, 1)]
+    J.close_input(spark, closing)
+    J.run_available(writer["windows"], str(tmp_path / "windows-check"))
+    assert len(read("windows")) == 3
+
+
+def test_open_requests_survive_a_restart(spark, tmp_path):
+    groups = spark.createDataFrame([(0, 0)], "font_id bigint, group_id bigint")
+    closing, schema = str(tmp_path / "closing"), "request_id string, ts string, font_id bigint, rank int, score double"
+    s = feed(spark, tmp_path / "in", schema, [("a", "2024-01-01 00:00:00", 5, 0, 0.95), ("n", "2024-01-01 00:00:00", None, None, None)])
+    done = J.request_completion(J.with_closing(s, closing), groups, "1 minute", 300_000)
+    writer = done.writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out"))
+    J.run_available(writer, str(tmp_path / "check"))
+    feed(spark, tmp_path / "in", schema, [("a", "2024-01-01 00:02:00", 5, 0, 0.75), (None, "2024-01-01 00:02:00", 5, 0, 0.5)])
+    J.run_to_end(writer, str(tmp_path / "check"), spark, closing)
+    got = {r.request_id: (r.verdict, r.confidence, r.best_font, r.votes) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"a": ("suspect", 0.85, 5, 2), "n": ("unknown", 0.0, None, 0)}
+
+
+def test_latest_marks_stay_few_files(spark, tmp_path):
+    """Twenty batches: the files stay few, old keys go, and batches and snapshots run again change nothing."""
+    schema = "ts string, user int, char string, seq int, box int"
+    batches = [[("2024-01-01 00:00:00", u, "a", 10 * k + u, k) for u in range(3 if k < 5 else 2)] for k in range(20)]
+    s = feed(spark, tmp_path / "in", schema, *batches)
+    out = tmp_path / "latest"
+    J.run_available(J.latest_marks(s, str(out), "user", "char", compact_every=4, keep_seq=100), str(tmp_path / "check"))
+    got = {r.user: (r.seq, r.box) for r in J.read_latest_marks(spark, str(out), "user", "char").collect()}
+    assert got == {0: (190, 19), 1: (191, 19)}
+    assert sorted(p.name for p in out.iterdir()) == ["upto=19"]
+    (out / "upto=23").mkdir()   # a snapshot that was begun and not ended
+    assert {r.user for r in J.read_latest_marks(spark, str(out), "user", "char").collect()} == {0, 1}
+
+
 def test_repeats_and_latest_marks(spark, tmp_path):
     schema = "ts string, user int, char string, seq int, box int"
     batches = [

@@ -1,4 +1,4 @@
-"""Stream jobs fed from the given tables and run until the input is used up."""
+"""Stream jobs fed from the given tables and run until the input is used up and closed."""
 
 from __future__ import annotations
 
@@ -28,41 +28,45 @@ def _utc_text(instant: str):
     return F.date_format(F.to_utc_timestamp(instant, F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
-def _history(spark, sf):
+def _history(spark, sf, closing):
     score = F.least(F.col("value") / 100, F.lit(1.0))
-    return _stream(spark, sf, "events").select(
+    rows = _stream(spark, sf, "events").select(
         _utc("ts").alias("ts"), "user_id", "event_id", score.alias("score"),
         S.verdict(score).alias("verdict"))
+    return J.with_closing(rows, closing)
 
 
-def _finished(df, spark, name, mode="append"):
-    """Run a stream into a parquet folder and read the folder."""
+def _finished(df, spark, name, mode="append", closing=None):
+    """Run a stream into a parquet folder, close its input where it has a closing folder, and read the result."""
     out, check = scratch_folder(spark, name), scratch_folder(spark, f"{name}-state")
-    J.run_available(df.writeStream.format("parquet").outputMode(mode).option("path", out), check)
+    writer = df.writeStream.format("parquet").outputMode(mode).option("path", out)
+    if closing:
+        J.run_to_end(writer, check, spark, closing)
+    else:
+        J.run_available(writer, check)
     return spark.read.schema(df.schema).parquet(out)
 
 
 _EVENTS = """WITH h AS (SELECT ts, user_id, event_id, least(value / 100, 1) AS score FROM events),
-e AS (SELECT *, CASE WHEN score >= 0.9 THEN 'free' WHEN score >= 0.75 THEN 'suspect' ELSE 'risky' END AS verdict FROM h),
-mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM events)
+e AS (SELECT *, CASE WHEN score >= 0.9 THEN 'free' WHEN score >= 0.75 THEN 'suspect' ELSE 'risky' END AS verdict FROM h)
 """
 
 
 @query("R3", _EVENTS + """
 , b AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS s, verdict FROM e)
-SELECT strftime(s, '%Y-%m-%d %H:%M:%S.%f') AS start, verdict, count(*) AS n FROM b
-WHERE s + INTERVAL 6 HOUR <= (SELECT w FROM mark) GROUP BY ALL""")
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S.%f') AS start, verdict, count(*) AS n FROM b GROUP BY ALL""")
 def verdicts_per_window(spark, sf):
-    rows = _finished(J.verdict_counts(_history(spark, sf), "10 minutes", "6 hours"), spark, "tumbling")
+    closing = scratch_folder(spark, "closing")
+    rows = _finished(J.verdict_counts(_history(spark, sf, closing), "10 minutes", "6 hours"), spark, "tumbling", closing=closing)
     return rows.select(_utc_text("window.start").alias("start"), "verdict", "n")
 
 
 @query("R3", _EVENTS + """
 , b AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') - to_hours(6 * i) AS s, verdict FROM e, range(0, 2) r(i))
-SELECT strftime(s, '%Y-%m-%d %H:%M:%S.%f') AS start, verdict, count(*) AS n FROM b
-WHERE s + INTERVAL 12 HOUR <= (SELECT w FROM mark) GROUP BY ALL""")
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S.%f') AS start, verdict, count(*) AS n FROM b GROUP BY ALL""")
 def verdicts_per_sliding_window(spark, sf):
-    rows = _finished(J.verdict_counts(_history(spark, sf), "10 minutes", "12 hours", "6 hours"), spark, "sliding")
+    closing = scratch_folder(spark, "closing")
+    rows = _finished(J.verdict_counts(_history(spark, sf, closing), "10 minutes", "12 hours", "6 hours"), spark, "sliding", closing=closing)
     return rows.select(_utc_text("window.start").alias("start"), "verdict", "n")
 
 
@@ -70,9 +74,10 @@ def verdicts_per_sliding_window(spark, sf):
 , g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS n FROM e),
 s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS n, max(score) AS best FROM s
-GROUP BY user_id, k HAVING max(ts) + INTERVAL 3 HOUR <= (SELECT w FROM mark)""")
+GROUP BY user_id, k""")
 def verdicts_per_session(spark, sf):
-    rows = _finished(J.verdict_sessions(_history(spark, sf), "10 minutes", "3 hours", "user_id"), spark, "session")
+    closing = scratch_folder(spark, "closing")
+    rows = _finished(J.verdict_sessions(_history(spark, sf, closing), "10 minutes", "3 hours", "user_id"), spark, "session", closing=closing)
     return rows.select("user_id", _utc_text("session_window.start").alias("start"), "n", "best")
 
 
@@ -99,7 +104,7 @@ def streamed_matches(spark, sf):
 WITH v AS (SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS request_id, ts, length(event_type) % 4 AS font_id,
              (0.4::DOUBLE + value / 307) * (1 - 0.15::DOUBLE * (event_id % 5)) AS w FROM events),
 g AS (SELECT request_id, CASE font_id WHEN 1 THEN 0 WHEN 3 THEN 2 ELSE font_id END AS group_id, ts, w FROM v),
-o AS (SELECT request_id FROM g GROUP BY 1 HAVING max(ts) + INTERVAL 1 HOUR < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)),
+o AS (SELECT DISTINCT request_id FROM g),
 a AS (SELECT request_id, group_id, avg(w) AS score, count(*) AS votes FROM g JOIN o USING (request_id) GROUP BY ALL),
 b AS (SELECT * FROM a WHERE score >= 0.55 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, group_id) = 1)
 SELECT o.request_id, CASE WHEN score IS NULL THEN 'unknown' WHEN score >= 0.9 THEN 'free' WHEN score >= 0.75 THEN 'suspect' ELSE 'risky' END AS verdict,
@@ -112,8 +117,30 @@ def completed_requests(spark, sf):
         F.concat_ws("-", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("request_id"),
         _utc("ts").alias("ts"), (F.length("event_type") % 4).cast("bigint").alias("font_id"),
         (F.col("event_id") % 5).alias("rank"), (0.4 + F.col("value") / 307).alias("score"))
-    rows = J.request_completion(tops, fx.groups(spark, sf), "10 minutes", 3_600_000)
-    return _finished(rows, spark, "requests")
+    closing = scratch_folder(spark, "closing")
+    rows = J.request_completion(J.with_closing(tops, closing), fx.groups(spark, sf), "10 minutes", 3_600_000)
+    return _finished(rows, spark, "requests", closing=closing)
+
+
+@query("R1 R2", _VOTE + """
+SELECT r.request_id, CASE WHEN score IS NULL THEN 'unknown' WHEN score >= 0.9 THEN 'free'
+            WHEN score >= 0.75 THEN 'suspect' ELSE 'risky' END AS verdict,
+       coalesce(round(score, 4), 0.0) AS confidence, group_id::BIGINT AS best_font
+FROM (SELECT DISTINCT request_id FROM crop) r
+LEFT JOIN cands c ON c.request_id = r.request_id AND c.rank = 1""")
+def spread_requests(spark, sf):
+    """Requests whose marks come in several batches, a character each: one verdict a request, when the input is closed."""
+    crops, index = fx.crops(spark, sf), fx.templates(spark, sf)
+    parts, lists, closing = (scratch_folder(spark, n) for n in ("crop-files", "short-lists", "closing"))
+    # One file of crops a character and one batch a file, so every request is cut.
+    timed = crops.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.ascii("char")))
+    timed.repartition(1).sortWithinPartitions("char").write.option("maxRecordsPerFile", max(1, -(-timed.count() // 3))).parquet(parts)
+    stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(parts)
+    match = lambda batch: search.match_marks(batch, index, fx.WORDS, fx.SIDE)
+    J.run_available(J.continuous_short_lists(stream, match, lists), scratch_folder(spark, "short-lists-state"))
+    tops = J.with_closing(J.read_short_lists(spark, lists, dict(crops.dtypes)["request_id"]), closing)
+    rows = J.request_completion(tops, fx.groups(spark, sf), "1 minute", 60_000)
+    return _finished(rows, spark, "spread", closing=closing).drop("votes")
 
 
 @query("R4", "SELECT DISTINCT user_id, event_type, floor(value)::BIGINT AS box FROM events")

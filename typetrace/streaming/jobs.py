@@ -10,10 +10,42 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from typetrace.functions import scores as S
-from typetrace.operators import catalog, vote
+from typetrace.operators import vote
 from typetrace.sources import history
 
 
+# Event time of the row that closes an input. Every window, session and open request ends before it (pandas holds times up to 2262).
+END = "2200-01-01 00:00:00Z"
+
+
+def with_closing(rows: DataFrame, folder: str, ts: str = "ts") -> DataFrame:
+    """``rows`` and a stream of closing markers from ``folder``: rows of nulls but for their event time.
+
+    To be put before any watermark. A marker's own window or session never ends, so it is in no result.
+    """
+    spark = rows.sparkSession
+    marker = spark.createDataFrame([], f"{ts} timestamp")
+    marker.write.mode("append").parquet(folder)
+    marks = spark.readStream.schema(marker.schema).parquet(folder)
+    null = lambda f: F.col(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name)
+    return rows.unionByName(marks.select(*(null(f) for f in rows.schema)))
+
+
+def close_input(spark: SparkSession, folder: str, ts: str = "ts") -> None:
+    """Say that nothing will follow: the next run moves the watermark past all gaps. Later rows are late."""
+    spark.range(1).select(F.lit(END).cast("timestamp").alias(ts)).write.mode("append").parquet(folder)
+
+
+def run_to_end(writer, checkpoint: str, spark: SparkSession, folder: str) -> StreamingQuery:
+    """Process what is there, then the closing marker, so that nothing stays open.
+
+    A restart after either step goes on from the checkpoint; a second marker changes nothing.
+    """
+    run_available(writer, checkpoint)
+    close_input(spark, folder)
+    return run_available(writer, checkpoint)
+
+
 def run_available(writer, checkpoint: str) -> StreamingQuery:
     """Process what is there and stop; a restart from the checkpoint goes on after it."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -27,25 +59,53 @@ def continuous_matching(
     """Match every micro-batch of a crop stream against a static index and append the verdicts.
 
     ``match`` turns a batch of crops into short lists. Ranking needs whole groups, so it runs
-    per batch, and the marks of a request have to arrive in one batch; ``request_completion``
+    per batch, and the marks of a request have to arrive in one batch; ``continuous_short_lists``
     serves requests that are spread. A batch that is run again replaces its own part.
     """
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()   # matched, listed and described below
-        cands = vote.rank_candidates(vote.rank_weighted_votes(match(batch), groups))
-        verdicts = vote.request_verdicts(batch, cands)
-        # Distinct characters, so the list is bounded by the character set.
-        chars = batch.groupBy("request_id").agg(F.sort_array(F.collect_set("char")).alias("chars"))
-        rows = verdicts.join(chars, "request_id").select(
-            "request_id", F.current_timestamp().alias("ts"), "chars", "verdict",
-            F.col("best_font").cast("string").alias("top"), F.col("confidence").alias("score"))
-        lines = history.history_rows(rows.withColumn("top", F.coalesce("top", F.lit(""))), keep=["request_id"])
-        lines.write.mode("overwrite").json(f"{path}/batch={batch_id}")
-        batch.unpersist()
+        try:
+            cands = vote.rank_candidates(vote.rank_weighted_votes(match(batch), groups))
+            verdicts = vote.request_verdicts(batch, cands)
+            # Distinct characters, so the list is bounded by the character set.
+            chars = batch.groupBy("request_id").agg(F.sort_array(F.collect_set("char")).alias("chars"))
+            rows = verdicts.join(chars, "request_id").select(
+                "request_id", F.current_timestamp().alias("ts"), "chars", "verdict",
+                F.col("best_font").cast("string").alias("top"), F.col("confidence").alias("score"))
+            lines = history.history_rows(rows.withColumn("top", F.coalesce("top", F.lit(""))), keep=["request_id"])
+            lines.write.mode("overwrite").json(f"{path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return crops.writeStream.foreachBatch(on_batch)
 
 
+SHORT_LISTS = "request_id {request}, ts timestamp, font_id bigint, rank int, score double"
+
+
+def continuous_short_lists(crops: DataFrame, match: Callable[[DataFrame], DataFrame], path: str):
+    """Short lists of every micro-batch, as files for ``request_completion``: a mark arrives whole, a request need not.
+
+    ``crops`` has ``ts``, the event time of the mark. A mark without a candidate is a row without a font, so that its request
+    is opened. A batch that is run again replaces its own part.
+    """
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            tops = match(batch).select("mark_id", "font_id", "rank", "score")
+            rows = batch.select("request_id", "mark_id", "ts").join(tops, "mark_id", "left").drop("mark_id")
+            rows.withColumn("rank", F.col("rank").cast("int")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return crops.writeStream.foreachBatch(on_batch)
+
+
+def read_short_lists(spark: SparkSession, path: str, request: str = "string") -> DataFrame:
+    """The files of ``continuous_short_lists`` as a stream, batch by batch."""
+    return spark.readStream.schema(SHORT_LISTS.format(request=request)).parquet(f"{path}/batch=*")
+
+
 _STATE = "groups array<bigint>, sums array<double>, counts array<bigint>, last_ms bigint"
 
 
@@ -53,12 +113,15 @@ def request_completion(tops: DataFrame, groups: DataFrame, delay: str, idle_ms:
     """Close a request once the watermark passes its last mark by ``idle_ms`` and judge it.
 
     ``tops(request_id, ts timestamp, font_id, rank, score)`` is a stream of short-list rows. State holds
-    one sum and count per group of an open request. A mark later than that opens it anew.
+    one sum and count per group of an open request. A mark later than that opens it anew. A row without a font
+    only opens its request; one without a request is passed over.
     """
     rows = vote.with_group(tops.withWatermark("ts", delay), groups).select(
         "request_id", "ts", F.unix_millis("ts").alias("ms"), "group_id", vote.rank_weight(F.col("score"), F.col("rank")).alias("w"))
 
     def judge(key, batches, state: GroupState):
+        if key[0] is None:   # a filter would go below the watermark and hide the closing marker from it
+            return
         if state.hasTimedOut:
             names, sums, counts, _ = state.get
             found = sorted(((-s / n, g, n) for g, s, n in zip(names, sums, counts) if s / n >= S.MIN_VALID))
@@ -82,7 +145,7 @@ def request_completion(tops: DataFrame, groups: DataFrame, delay: str, idle_ms:
         state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
 
     closed = rows.groupBy("request_id").applyInPandasWithState(
-        judge, "request_id string, score double, best_font bigint, votes bigint", _STATE, "append",
+        judge, f"request_id {dict(tops.dtypes)['request_id']}, score double, best_font bigint, votes bigint", _STATE, "append",
         GroupStateTimeout.EventTimeTimeout)
     return closed.select(
         "request_id", S.verdict(F.col("score")).alias("verdict"),
@@ -106,16 +169,50 @@ def without_repeats(marks: DataFrame, delay: str, *keys: str) -> DataFrame:
     return marks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def latest_marks(marks: DataFrame, path: str, *keys: str):
-    """Newest mark per key. Each batch appends the keys it changed; ``read_latest_marks`` keeps
-    the last word on each."""
-    newest = marks.groupBy(*keys).agg(F.max_by(F.struct("seq", "box"), "seq").alias("m")).select(*keys, "m.*")
+def latest_marks(marks: DataFrame, path: str, *keys: str, compact_every: int = 10, keep_seq: int | None = None):
+    """Newest mark (largest ``seq``) per key, without state: a batch writes the newest of its own.
+
+    After every ``compact_every`` batches the files so far become one snapshot, and those it holds are deleted, so the number of files
+    is bounded. With ``keep_seq``, a snapshot leaves out keys whose newest mark lies that far behind the newest of all.
+    A batch that is run again replaces its own part; a snapshot counts once it is whole.
+    """
+    spark = marks.sparkSession
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        _newest(batch, keys).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if (batch_id + 1) % compact_every:
+            return
+        now = read_latest_marks(spark, path, *keys)
+        if keep_seq is not None:
+            now = now.crossJoin(F.broadcast(now.agg((F.max("seq") - keep_seq).alias("least")))).filter("seq > least").drop("least")
+        now.write.mode("overwrite").parquet(f"{path}/upto={batch_id}")
+        for kind, number, place in _parts(spark, path):
+            if number < batch_id or kind == "batch" and number == batch_id:
+                place[0].delete(place[1], True)
+
+    return marks.writeStream.foreachBatch(on_batch)
+
+
+def _newest(rows: DataFrame, keys) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.max_by(F.struct("seq", "box"), "seq").alias("m")).select(*keys, "m.*")
+
 
-    return newest.writeStream.outputMode("update").foreachBatch(on_batch)
+def _parts(spark: SparkSession, path: str) -> list[tuple[str, int, tuple]]:
+    """Whole parts of a folder of newest marks: kind, batch, and the place as Hadoop knows it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for status in fs.listStatus(root) if fs.exists(root) else ():
+        kind, _, number = status.getPath().getName().partition("=")
+        if kind in ("batch", "upto") and fs.exists(hadoop.Path(status.getPath(), "_SUCCESS")):
+            out.append((kind, int(number), (fs, status.getPath())))
+    return out
 
 
 def read_latest_marks(spark: SparkSession, path: str, *keys: str) -> DataFrame:
-    return catalog.keep_latest(spark.read.parquet(path), list(keys), F.col("batch")).drop("batch")
+    """The newest mark of every key: the last whole snapshot and the batches after it."""
+    parts = _parts(spark, path)
+    last = max((n for kind, n, _ in parts if kind == "upto"), default=-1)
+    places = [place[1].toString() for kind, n, place in parts if n > last or kind == "upto" and n == last]
+    return _newest(spark.read.parquet(*places), keys)
