@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 from typetrace.llm.common import table
 from typetrace.llm.html_text import extract_pages, main_text
@@ -40,10 +42,69 @@ def test_lists_of_links_are_no_text():
     assert main_text(page(links, "<hr>" * 5, f"<p>{LONG}</p><p>Short.</p>", links)) == f"{LONG} Short."
 
 
-def test_the_main_stretch_wins():
-    body = f"<p>{LONG}</p>" * 8
-    far = "".join("<div class='ad'>x</div>" for _ in range(4))
-    assert main_text(page(body, far, f"<p>{LONG}</p>")) == " ".join([LONG] * 8)
+def test_text_after_adverts_stays():
+    body, advert = f"<p>{LONG}</p>" * 8, "<div class='ad'><div><p>Buy</p></div><div><p>now</p></div></div>"
+    assert main_text(page(body, advert * 4, f"<p>{LONG}</p>")) == " ".join([LONG] * 9)
+    assert main_text(page(body, advert, "<p>The end.</p>")) == " ".join([LONG] * 8 + ["The end."])
+
+
+def test_a_name_alone_drops_no_body():
+    body = f"<h1>Head</h1><p>{LONG}</p><p>{LONG}</p>"
+    for wrap in ('<div class="story share-enabled">%s</div>', '<div class="search-result notice-board"><div id="content">%s</div></div>', '<div class="banner-page"><article>%s</article></div>'):
+        assert main_text(page("<nav>Home</nav>", wrap % body, "<footer>Imprint</footer>")) == f"Head {LONG} {LONG}"
+    inner = f'<div class="story share-enabled">{body}<div class="share"><p>Tell your friends</p></div></div>'
+    assert main_text(page(inner)) == f"Head {LONG} {LONG}"
+
+
+def test_paragraphs_with_links_stay():
+    linked = '<p>See <a href="/1">the long title of a first source</a> and <a href="/2">the title of a second one</a>.</p>'
+    assert main_text(page(f"<p>{LONG}</p>", linked, f"<p>{LONG}</p>")) == f"{LONG} See the long title of a first source and the title of a second one. {LONG}"
+
+
+def plain(lines):
+    """Text between the first surge and the last dive, line by line from the rules: (text, characters in links)."""
+    total = lambda i: (sum(len(t) for t, _ in lines[i:i + 3]), sum(n for _, n in lines[i:i + 3]))
+    sums = [0 if n > 0.5 * t else t for t, n in map(total, range(len(lines)))]
+    least = 86 if max(sums, default=0) >= 86 else 1
+    inside = set()
+    for i in range(len(lines)):
+        if sums[i] >= least:
+            while i < len(lines) and sums[i]:
+                inside.add(i)
+                i += 1
+    if not inside:
+        return ""
+    mostly = [2 * n > len(t) for t, n in lines]
+    kept = [k for k in range(min(inside), min(len(lines), max(inside) + 3)) if lines[k][0] and any(sums[j] for j in (k - 2, k - 1, k) if j >= 0)]
+    while kept and mostly[kept[0]]:
+        kept = kept[1:]
+    while kept and mostly[kept[-1]]:
+        kept = kept[:-1]
+    return " ".join(lines[k][0] for k in kept)
+
+
+def test_random_pages_match_a_plain_version():
+    rnd = random.Random(2)
+    for _ in range(300):
+        lines = []
+        for _ in range(rnd.randrange(30)):
+            text = " ".join("word" * rnd.randrange(1, 4) for _ in range(rnd.choice([1, 2, 5, 20])))
+            lines.append((text, len(text) if rnd.random() < 0.5 else 0))
+        markup = "".join(f"<p><a href='/'>{t}</a></p>" if n else f"<p>{t}</p>" for t, n in lines)
+        spaced = [("", 0)] if lines else []
+        for line in lines:
+            spaced += [line, ("", 0)]
+        assert main_text(f"<body>{markup}</body>") == plain(spaced)
+
+
+def test_odd_markup_takes_time_in_proportion():
+    for piece in ("<div></section>", "</", "<!", "<p", "<div>", "</div>", "<a href=\"", "<!--"):
+        took = []
+        for size in (1 << 18, 1 << 20):
+            start = time.process_time()
+            main_text(piece * (size // len(piece)) + "end")
+            took.append(time.process_time() - start)
+        assert took[1] < 3 + 12 * took[0] and took[1] < 8, (piece, took)
 
 
 def test_odd_pages(spark):

@@ -1,12 +1,13 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped first: tags become block ends, scripts, styles and comments go, and what stands in a
-container that names itself (by tag, class, id or role) a menu, header, footer, sidebar, notice,
-advert, form or comment list becomes an empty line, as does a block that is mostly links. The
-lines' text lengths, summed over sliding windows of ``WIDTH`` lines, rise and fall along the page: where
-the sum first reaches ``SURGE`` the text begins, where it falls to nothing it ends, and what lies
-between is kept. If the page marks an article, only its lines have length, and any length counts as
-a surge. Of several such stretches, those with at least ``PART`` of the longest one's text are kept.
+Markup is stripped first: tags become block ends, and scripts, styles and comments go, as do elements whose tag, role or
+style says that they are a menu, header, footer, sidebar, form, dialog or hidden. A class or id that names such a part only
+makes its element a candidate: it goes unless it holds the page's article, or, in several lines, ``BODY`` of all text.
+What has gone leaves no lines behind. The lines' text lengths, summed over sliding windows of ``WIDTH`` lines, rise and
+fall along the page; a window with more than ``LINKS`` of its text in links sums to nothing. Where
+the sum first reaches ``SURGE`` the text begins, where it last falls to nothing after a surge it ends, and what lies
+between is kept, but for runs of links. If the page marks an article, its lines are the page, and any text counts as
+a surge, so all of it is kept.
 
 Defined results: null or empty html, or a page without text, gives the empty string; unclosed tags
 end with their parent; a ``<`` that opens no tag is text; repeated rows give the same text
@@ -17,12 +18,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, SURGE, PART, LINKS = 3, 86, 0.25, 0.5
+WIDTH, SURGE, LINKS, BODY = 3, 86, 0.5, 0.8
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^"'<>]|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -43,33 +46,44 @@ social share sharing related recommended pagination pager copyright
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
 
-def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is no main text, and whether it says it is the main part."""
+GONE, CANDIDATE, TEXT, MAIN = range(4)
+
+
+def _kind(tag: str, attributes: str, in_article: bool) -> int:
+    """What an element is by its tag and attributes."""
     if tag in _BOILERPLATE or (tag == "header" and not in_article):
-        return True, False
-    main = tag in ("article", "main")
+        return GONE
+    kind = MAIN if tag in ("article", "main") else TEXT
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "role":
-            main = main or value.lower() in ("main", "article")
             if value.lower() in _ROLES:
-                return True, False
+                return GONE
+            kind = MAIN if value.lower() in ("main", "article") else kind
         elif name in ("class", "id"):
-            if tag in ("html", "body", "article", "main"):
-                continue
-            if any(w.lower() in _NAMES for w in _NAME.findall(value)) and not (tag == "header" and in_article):
-                return True, False
+            if kind == TEXT and tag not in ("html", "body", "header") and any(w.lower() in _NAMES for w in _NAME.findall(value)):
+                kind = CANDIDATE
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True, False
-    return False, main
+            return GONE
+    return kind
+
 
+class Line(NamedTuple):
+    text: str
+    links: int  # characters in links
+    inside: bool  # the article
+    part: int  # innermost candidate around it, or -1
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """Lines of a page in order: text (empty where markup or boilerplate was), characters in links, in the article."""
-    lines: list[tuple[str, int, bool]] = []
+
+def lines_of(page: str) -> list[Line]:
+    """Lines of a page in order, empty where only markup was, without boilerplate."""
+    lines: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, in the article
-    dropped = article = False
+    above: list[int] = []  # of every candidate, the one around it
+    with_main: set[int] = set()
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, dropped, in the article, innermost candidate
+    opened: Counter[str] = Counter()
+    dropped, article, part = False, False, -1
     in_link, link_chars, at = 0, 0, 0
 
     def text(piece: str) -> None:
@@ -82,22 +96,25 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     def end_line() -> None:
         nonlocal link_chars
         line = " ".join(html.unescape("".join(parts)).split()) if parts else ""
-        if line or dropped or not lines or lines[-1][0]:
-            lines.append((line, link_chars, article))
+        if line or not lines or lines[-1].text:
+            lines.append(Line(line, link_chars, article, part))
         parts.clear()
         link_chars = 0
 
-    end = len(page)
+    end, last = len(page), page.rfind(">") + 1  # no tag ends after ``last``, so none is looked for
     while at < end:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at, last)
         if m is None:
-            text(page[at:])
+            stop = page.find("<!--", max(at, last))
+            text(page[at:stop if stop >= 0 else end])
             break
         text(page[at:m.start()])
         at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        if m[2] is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break
             continue
+        tag = m[2].lower()
         closing = m[1] == "/"
         if tag in _RAW:
             if not closing and not m[3].endswith("/"):
@@ -112,43 +129,81 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if tag not in _CONTAINERS:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while opened[tag]:  # an end tag that fits none is passed over
+                name = stack.pop()[0]
+                opened[name] -= 1
+                if name == tag:
                     break
         else:
-            out, main = _is_boilerplate(tag, m[3], article)
-            stack.append((tag, dropped or out, article or main))
-        _, dropped, article = stack[-1] if stack else ("", False, False)
+            kind = _kind(tag, m[3], article)
+            if kind == CANDIDATE and not dropped:
+                above.append(part)
+                part = len(above) - 1
+            elif kind == MAIN and not dropped:
+                with_main.add(part)
+            stack.append((tag, dropped or kind == GONE, article or kind == MAIN, part))
+            opened[tag] += 1
+        _, dropped, article, part = stack[-1] if stack else ("", False, False, -1)
         in_link = 0
     end_line()
-    return lines
+    return _without_parts(lines, above, with_main)
+
+
+def _without_parts(lines: list[Line], above: list[int], with_main: set[int]) -> list[Line]:
+    """Lines that are in no candidate, or only in such that are the page's body."""
+    if not above:
+        return lines
+    size, count = [0] * len(above), [0] * len(above)
+    total = 0
+    for line in lines:
+        total += len(line.text)
+        if line.part >= 0 and line.text:
+            size[line.part] += len(line.text)
+            count[line.part] += 1
+    main = [k in with_main for k in range(len(above))]
+    for k in range(len(above) - 1, -1, -1):  # what is inside comes later
+        if above[k] >= 0:
+            size[above[k]] += size[k]
+            count[above[k]] += count[k]
+            main[above[k]] = main[above[k]] or main[k]
+    stays = []
+    for k, outer in enumerate(above):
+        stays.append((outer < 0 or stays[outer]) and (main[k] or (count[k] >= WIDTH and size[k] >= BODY * total)))
+    out: list[Line] = []
+    for line in lines:
+        if (line.part < 0 or stays[line.part]) and (line.text or not out or out[-1].text):
+            out.append(line)
+    return out
 
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    lengths = [0 if links > LINKS * max(1, len(line)) else len(line) for line, links, _ in lines]
     surge = SURGE
-    if any(n and inside for n, (_, _, inside) in zip(lengths, lines)):
-        lengths = [len(line) if inside else 0 for line, _, inside in lines]
-        surge = 1
-    sums = [sum(lengths[i:i + WIDTH]) for i in range(len(lengths))]
+    if any(line.text and line.inside for line in lines):
+        return " ".join(line.text for line in lines if line.text and line.inside)
+    of_links = [2 * line.links > len(line.text) for line in lines]
+    sums = []
+    for i in range(len(lines)):
+        total, links = sum(len(x.text) for x in lines[i:i + WIDTH]), sum(x.links for x in lines[i:i + WIDTH])
+        sums.append(total if links <= LINKS * total else 0)
     if max(sums, default=0) < surge:
         surge = 1
-    stretches: list[tuple[int, int, int]] = []
-    i = 0
-    while i < len(sums):
-        if sums[i] < surge:
-            i += 1
-            continue
-        stop = i
-        while stop < len(sums) and sums[stop] > 0:
-            stop += 1
-        stretches.append((sum(lengths[i:stop]), i, stop))
-        i = stop + 1
-    most = max((n for n, _, _ in stretches), default=0)
-    part = PART * most if surge > 1 else 0
-    return " ".join(lines[k][0] for n, a, b in stretches if n >= part for k in range(a, b) if lengths[k])
+    high = [i for i, n in enumerate(sums) if n >= surge]
+    if not high:
+        return ""
+    start = stop = high[0]
+    for i in high:
+        if i >= stop:
+            stop = i
+            while stop < len(sums) and sums[stop] > 0:
+                stop += 1
+    # The last windows reach over lines that begin none of their own.
+    kept = [k for k in range(start, min(len(lines), stop + WIDTH - 1)) if lines[k].text and any(sums[max(0, k - WIDTH + 1):k + 1])]
+    while kept and of_links[kept[0]]:
+        kept.pop(0)
+    while kept and of_links[kept[-1]]:
+        kept.pop()
+    return " ".join(lines[k].text for k in kept)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
