@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return cut_lineage(df, name)
 
 
+def release(spark: SparkSession) -> None:
+    """Collect garbage on the driver, in Python and then in the JVM, for long chains of jobs.
+
+    Spark's cleaner deletes the shuffles and broadcasts that nothing on the driver refers to any more only then.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

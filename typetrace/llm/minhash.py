@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from typetrace.llm import textbytes as tb
-from typetrace.llm.common import stored
+from typetrace.llm.common import release, stored
 from typetrace.llm.graph import components
 from typetrace.llm.tokens import ranges
 
@@ -293,6 +293,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similar: int = SIMILA
         return stored(here.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(facts, ["key", "salt"]).drop("salt"), "mixed")
 
     # All hubs of the buckets that are still mixed.
+    release(docs.sparkSession)
     mixed = mixed_buckets()
     own = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
     second = (mixed.filter("hub < node").select("hub", "node", "label").distinct().join(own, "hub").filter("label <> hub_label")
@@ -301,6 +302,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similar: int = SIMILA
 
     # What is still apart within a bucket: members of different components, of sizes that can be similar.
     # Small buckets are paired as they are; in large ones, what is apart is held against all others in blocks.
+    release(docs.sparkSession)
     sized = mixed_buckets()
     small = sized.filter(F.col("members") <= PAIRED).filter("hub < node")  # pairs with the hub are all tested by now
     x, y = (small.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "label")]) for s in "xy")

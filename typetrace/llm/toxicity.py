@@ -116,9 +116,11 @@ def fit_machine(ends: np.ndarray, slot: np.ndarray, y: np.ndarray, reach: tuple[
         w, v = by["w"] * mine["w"], by["v"] * mine["v"]
         energy, sums = _energy(len(want), rows, terms, bias, w, v)
         gap = (1 / (1 + np.exp(-np.clip(energy, -30, 30))) - want) / len(want)
-        pull = (gap[rows][:, None] * (sums[rows] - v[terms])).astype(np.float32)
-        slope = {"w": np.bincount(terms, weights=gap[rows], minlength=len(here)),
-                 "v": np.stack([np.bincount(terms, weights=pull[:, k], minlength=len(here)) for k in range(factors)], axis=1)}
+        # A factor at a time, so a block's temporaries are a column each.
+        each = gap[rows]
+        pull = lambda k: each * (sums[rows, k] - v[terms, k])
+        slope = {"w": np.bincount(terms, weights=each, minlength=len(here)),
+                 "v": np.stack([np.bincount(terms, weights=pull(k), minlength=len(here)) for k in range(factors)], axis=1)}
         now = rate if len(blocks) == 1 else rate * (1 - 0.9 * step / steps)
         for k, g in slope.items():
             g = (by[k] * g + ridge * mine[k] / known).astype(np.float32)
