@@ -69,7 +69,6 @@ def test_components_match_all_pairs(docs_of, corpus, width):
 
 
 def test_large_families_are_compared_in_blocks(docs_of, corpus, monkeypatch):
-    monkeypatch.setattr(minhash, "PAIRED", 3)
     monkeypatch.setattr(minhash, "MEMBERS", 8)
     assert got(minhash.near_duplicates(docs_of(corpus), 4)) == plain(corpus, 4)
     monkeypatch.setattr(minhash, "MEMBER_SHINGLES", 1000)

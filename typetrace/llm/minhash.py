@@ -8,8 +8,8 @@ threshold, and a pair falls out as soon as that is under ``MISS``. The survivors
 their full sets.
 
 A bucket of n nodes is not spread into pairs. First every node meets one hub, the least node of its buckets;
-then the hubs of those buckets that still hold several components. What then still is apart is paired
-within small buckets; in families of large ones it is held, block by block, against all members, by signature and then by
+then the hubs of those buckets that still hold several components. Buckets with common members are one family; what then
+still is apart in a family is held, block by block, against all its members, by signature and then by
 full sets, which are in the block. Members whose components have met are not compared again, and a block gives out one verified
 link for each two components that meet, never its likely or its rejected pairs. No pair of different
 components in a bucket goes untested. With 40 bands of 6, two
@@ -39,8 +39,7 @@ from typetrace.llm.tokens import ranges
 
 BANDS, ROWS, BATCH, MISS, SEED = 40, 6, 40, 1e-6, 99
 SHINGLE, SIMILAR = 5, 80  # words, per cent
-PAIRED = 64  # members of a bucket up to which its components are paired directly
-MEMBERS, MEMBER_SHINGLES = 2048, 1 << 21  # nodes, and shingles of nodes, on a side of a block in a larger one
+MEMBERS, MEMBER_SHINGLES = 2048, 1 << 21  # nodes, and shingles of nodes, on a side of a block
 SALTS = 16  # parts that a bucket's rows are dealt into where they meet its facts
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -225,32 +224,40 @@ def _links(left: pd.DataFrame, right: pd.DataFrame, similar: int) -> tuple[list[
     return a, b
 
 
-def links_in_blocks(large: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """Verified links (``a``, ``b``) that join the components within families of large buckets (``hub``, ``node``, ``n``, ``label``).
+def links_in_blocks(mixed: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Verified links (``a``, ``b``) that join the components within families of buckets (``hub``, ``node``, ``n``, ``label``).
 
     Buckets with common members are one family. All its nodes that are not in its largest component are held against all
-    its nodes, in blocks of bounded size.
+    its nodes, in blocks of bounded size. Families of one block share tasks' groups, about a quarter of a block in each.
     """
     # A node's hubs meet at its least one: few links, as many nodes have the same hubs.
-    least = large.groupBy("node").agg(F.min("hub").alias("least"))
-    meets = large.join(least, "node").select("hub", "least").distinct().union(least)
+    least = mixed.groupBy("node").agg(F.min("hub").alias("least"))
+    meets = mixed.join(least, "node").select("hub", "least").distinct().union(least)
     family = components(meets.toDF("a", "b")).withColumnRenamed("label", "family")
-    rows = stored(large.select("node", "n", "label").distinct().join(family, "node"), "families")
+    rows = stored(mixed.select("node", "n", "label").distinct().join(family, "node"), "families")
     counts = rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles"))
     parts = lambda nodes, shingles: F.greatest(F.ceil(nodes / MEMBERS), F.ceil(shingles / MEMBER_SHINGLES)).cast("int")
     per_family = counts.groupBy("family").agg(F.sum("nodes").alias("nodes"), F.sum("shingles").alias("shingles"), F.max(F.struct("nodes", "shingles", "label")).alias("top")).select(
-        "family", F.col("top.label").alias("main"), parts(F.col("nodes") - F.col("top.nodes"), F.col("shingles") - F.col("top.shingles")).alias("q_parts"),
-        parts(F.col("nodes"), F.col("shingles")).alias("r_parts"))
-    known = rows.join(per_family, "family").filter("q_parts > 0").join(sets.select("node", "sig", "set"), "node")
+        "family", "nodes", "shingles", F.col("top.label").alias("main"), parts(F.col("nodes") - F.col("top.nodes"), F.col("shingles") - F.col("top.shingles")).alias("q_parts"),
+        parts(F.col("nodes"), F.col("shingles")).alias("r_parts"), (parts(F.col("nodes"), F.col("shingles")) == 1).alias("alone"))
+    per_family = stored(per_family.filter("q_parts > 0"), "family-sizes")
+    packs = per_family.filter("alone").select(F.coalesce(4 * parts(F.sum("nodes"), F.sum("shingles")), F.lit(1))).first()[0]
+    per_family = per_family.withColumn("pack", F.when(F.col("alone"), F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(F.col("family"))).drop("nodes", "shingles")
+    known = rows.join(per_family, "family").join(sets.select("node", "sig", "set"), "node")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys, columns = ["family", "q", "r"], ["node", "label", "sig", "set"]
+    keys, columns = ["alone", "pack", "q", "r"], ["family", "node", "label", "sig", "set"]
     apart = known.filter(F.col("label") != F.col("main")).withColumn("q", part("q_parts")).withColumn("r", every("r_parts")).select(*keys, *columns)
     others = known.withColumn("r", part("r_parts")).withColumn("q", every("q_parts")).select(*keys, *columns)
     apart, others = apart.toDF(*keys, *columns), others.toDF(*keys, *columns)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        a, b = _links(left, right, similar) if len(left) and len(right) else ([], [])
+        a, b, among = [], [], right.groupby("family").indices
+        for name, at in left.groupby("family").indices.items():
+            if name in among:
+                x, y = _links(left.iloc[at], right.iloc[among[name]], similar)
+                a += x
+                b += y
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return apart.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(compare, "a long, b long")
@@ -287,9 +294,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similar: int = SIMILA
     def mixed_buckets() -> DataFrame:
         """Rows of buckets that hold several components, with their labels."""
         here = crowded.join(labels, "node")
-        mixed = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).filter("low < high")
+        mixed = here.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
         # Every bucket's fact once for each part of its rows, so a large bucket's rows go to many tasks.
-        facts = mixed.select("key", "members", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        facts = mixed.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         return stored(here.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(facts, ["key", "salt"]).drop("salt"), "mixed")
 
     # All hubs of the buckets that are still mixed.
@@ -300,20 +307,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similar: int = SIMILA
               .select(F.col("hub").alias("a"), F.col("node").alias("b")).join(first, ["a", "b"], "left_anti"))
     labels = merged(labels, similar_pairs(second, sets, similar))
 
-    # What is still apart within a bucket: members of different components, of sizes that can be similar.
-    # Small buckets are paired as they are; in large ones, what is apart is held against all others in blocks.
+    # What is still apart within a bucket: members of different components.
     release(docs.sparkSession)
-    sized = mixed_buckets()
-    small = sized.filter(F.col("members") <= PAIRED).filter("hub < node")  # pairs with the hub are all tested by now
-    x, y = (small.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "label")]) for s in "xy")
-    fits = (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & (
-        F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * similar)
-    third = x.join(y, "key").filter(fits).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-    links = similar_pairs(third.distinct(), sets, similar)
-    large = stored(sized.filter(F.col("members") > PAIRED).select("hub", "node", "n", "label"), "large")
-    if not large.isEmpty():
-        links = links.union(links_in_blocks(large, sets, similar))
-    labels = merged(labels, links)
+    labels = merged(labels, links_in_blocks(mixed_buckets().select("hub", "node", "n", "label"), sets, similar))
 
     found = members.select("doc_id", "node").distinct().join(labels, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("component"))
     # Several texts under one id are one document and link what they belong to.
