@@ -185,3 +185,15 @@ def test_fields_stay_out_of_coarse_shuffles(spark, tmp_path):
     lines = grid[grid.index("FlatMapCoGroupsInPandas"):].splitlines()
     refining = next(i for i, line in enumerate(lines) if "_field" in line)   # the branches that fetch fields follow
     assert refining > 5 and not any("field#" in line or "vec#" in line for line in lines[:refining])
+
+
+def test_a_scorer_of_the_user(spark, small):
+    """Both searches rank by what the scorer says of field correlation and orientation."""
+    crops, templates = small
+    one = crops.filter("mark_id % 9 = 0")
+    only_orientation = lambda ncc, cosine: cosine  # noqa: E731  (defined here, so that it travels by value)
+    for search_by in (lambda **how: search.match_marks(one, templates, 1, 8, **how), lambda **how: search.search_grid(one, templates, 1, 8, **how)):
+        usual, own = search_by(), search_by(scorer=only_orientation).cache()
+        assert own.filter("abs(score - cosine) > 1e-12").isEmpty() and own.count() == usual.count()
+        assert rows(own, "mark_id", "font_id", "rank") != rows(usual, "mark_id", "font_id", "rank")
+        assert rows(search_by(scorer=search.weighted()), "mark_id", "font_id", "score") == rows(usual, "mark_id", "font_id", "score")

@@ -119,3 +119,49 @@ def test_wide_and_equal_splits(spark):
     assert spans(G.split_wide(segs)) == [(1, 10, 20), (1, 20, 30), (1, 30, 40)]
     parts = G.equal_split(segs.withColumn("n", F.lit(4)), "n").orderBy("part").collect()
     assert [(r.a, r.b) for r in parts] == [(10, 17), (17, 25), (25, 32), (32, 40)]
+
+
+def plain_characters(runs, width, chars):
+    """The rules one after the other, each over whole lists."""
+    segs = [(a, b) for a, b, _, _ in runs if b - a >= 5 or b == width]
+    widths = sorted(b - a for a, b in segs)
+    segs = [s for s in segs if s[1] - s[0] > 0.35 * widths[len(widths) // 2]]
+    if not segs or not chars:
+        return []
+    while len(segs) > len(chars):
+        i = min(range(len(segs) - 1), key=lambda k: segs[k + 1][1] - segs[k][0])
+        segs[i:i + 2] = [(segs[i][0], segs[i + 1][1])]
+    inside = lambda a, b: [r for r in runs if r[0] >= a and r[1] <= b]
+    if len(segs) < len(chars):
+        a, b, n = runs[0][0], runs[-1][1], len(chars)
+        if b - a < n:
+            return []
+        rows = inside(a, b)
+        segs = [(a + (b - a) * i // n, a + (b - a) * (i + 1) // n) for i in range(n)]
+    else:
+        rows = None
+    return [(i, c, *s, min(r[2] for r in rows or inside(*s)), max(r[3] for r in rows or inside(*s))) for i, (c, s) in enumerate(zip(chars, segs))]
+
+
+def test_segments_of_characters_against_plain_rules():
+    rnd = random.Random(11)
+    seen = set()
+    for _ in range(3000):
+        x, runs = rnd.randrange(3), []
+        for _ in range(rnd.randrange(1, 12)):
+            w, y0 = rnd.choice((1, 2, 4, 5, 6, 9, 20)), rnd.randrange(5)
+            runs.append((x, x + w, y0, y0 + rnd.randrange(9)))
+            x += w + rnd.randrange(1, 6)
+        width = runs[-1][1] + rnd.randrange(2)
+        chars = list("abcdefghijklmnopqrstuvwxyz"[:rnd.randrange(27)])
+        want = plain_characters(runs, width, chars)
+        assert G.fold_to_characters(runs, width, chars) == want
+        seen.add((bool(want), len(runs) > len(chars)))
+    assert len(seen) == 4
+
+
+def test_lines_are_given_up_whole(spark):
+    c, _ = cols(spark, {1: ("#####.#####", 9), 2: ("##", 9), 3: ("#####", 9)})
+    lines = spark.createDataFrame([(1, 12, ["a", "b"]), (2, 2, list("abc")), (3, 9, []), (4, 9, ["a"])], "line_id bigint, width int, chars array<string>")
+    got = sorted(tuple(r) for r in G.character_segments(G.column_runs(c), lines).collect())
+    assert got == [(1, 0, "a", 0, 5, 0, 8), (1, 1, "b", 6, 11, 0, 8)]

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from typetrace.functions import scores as S
 from typetrace.operators import auto as A, report, vote
+from typetrace.sources import history
 
 TOPS = "request_id bigint, mark_id bigint, char string, font_id bigint, rank int, score double"
 
@@ -55,3 +56,29 @@ def test_one_wrong_label_fails_the_line(spark):
         [("1", "a", 0.9, 0), ("2", "c", 0.9, 0), ("2", "b", 0.8, 1), ("3", "a", 0.6, 0)],
         "mark_id string, char string, score double, rank int")
     assert {r.line_id: r.agree for r in A.labels_agree(marks, found).collect()} == {"l": False, "k": True}
+
+
+def test_limits_of_verdicts(spark):
+    cands = spark.createDataFrame([(1, 5, 0.8, 2, 1), (2, 5, 0.6, 1, 1)], "request_id bigint, group_id bigint, score double, votes int, rank int")
+    marks = spark.createDataFrame([(1,), (2,), (3,)], "request_id bigint")
+    by = lambda **limits: {r.request_id: r.verdict for r in vote.request_verdicts(marks, cands, **limits).collect()}
+    assert by() == {1: "suspect", 2: "risky", 3: "unknown"}
+    assert by(free_from=0.8, suspect_from=0.5) == {1: "free", 2: "suspect", 3: "unknown"}
+
+
+def test_long_requests_are_reported_in_pages(spark):
+    """Seven marks on pages of three; a request without marks has one page without evidence."""
+    report_rows = spark.createDataFrame([(1, "free"), (2, "unknown")], "request_id bigint, verdict string")
+    tops = "array<struct<rank:int,font_id:bigint,name:string,score:double>>"
+    evidence = spark.range(7).selectExpr("1L AS request_id", "6 - id AS mark_id", "chr(CAST(103 - id AS int)) AS char", f"CAST(array() AS {tops}) AS top")
+    got = report.paged_report(report_rows, evidence, page=3).collect()
+    pages = {(r.request_id, r.page): "".join(m.char for m in r.per_char) for r in got}
+    assert pages == {(1, 0): "abc", (1, 1): "def", (1, 2): "g", (2, 0): ""}
+    assert {r.verdict for r in got if r.request_id == 1} == {"free"}
+
+
+def test_history_keeps_the_order_of_marks(spark):
+    marks = spark.createDataFrame([(1, 3, "a"), (1, 1, "z"), (1, 2, "a"), (2, 4, "b")], "request_id bigint, mark_id bigint, char string")
+    full = spark.sql("SELECT * FROM VALUES (1L, 'free', 0.95D, array(named_struct('name', 'N1'))), (2L, 'unknown', 0.0D, NULL) AS t(request_id, verdict, confidence, candidates)")
+    got = {r.request_id: (r.chars, r.top, r.score) for r in history.request_rows(marks, full.withColumn("ts", F.timestamp_seconds(F.lit(0)))).collect()}
+    assert got == {1: (["z", "a", "a"], "N1", 0.95), 2: (["b"], "", 0.0)}

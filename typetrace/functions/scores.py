@@ -99,11 +99,11 @@ def fuse(field_score: Column, orientation_score: Column, weight: float = HOG_WEI
     return field_score * (1.0 - weight) + orientation_score * weight
 
 
-def verdict(score: Column) -> Column:
+def verdict(score: Column, free_from: float = FREE_FROM, suspect_from: float = SUSPECT_FROM) -> Column:
     """Three licence classes; no evidence (null) is ``unknown`` and never ``risky``."""
     return (
         F.when(score.isNull(), "unknown")
-        .when(score >= FREE_FROM, "free")
-        .when(score >= SUSPECT_FROM, "suspect")
+        .when(score >= free_from, "free")
+        .when(score >= suspect_from, "suspect")
         .otherwise("risky")
     )

@@ -22,8 +22,8 @@ def evidence(marks: DataFrame, tops: DataFrame, groups: DataFrame, fonts: DataFr
 def request_report(verdicts: DataFrame, candidates: DataFrame, fonts: DataFrame) -> DataFrame:
     """Verdict and nested candidates with metadata, at most ``top_k`` per request.
 
-    The evidence of its marks stays a table of its own (``evidence``), because a request may
-    hold any number of marks.
+    The evidence of its marks stays a table of its own (``evidence``) or goes along page by page
+    (``paged_report``), because a request may hold any number of marks.
     """
     item = F.struct("rank", F.col("group_id").alias("font_id"), "name", "license", "source_url",
                     F.round("score", 4).alias("score"), "votes")
@@ -32,6 +32,21 @@ def request_report(verdicts: DataFrame, candidates: DataFrame, fonts: DataFrame)
     return verdicts.join(cands, "request_id", "left")
 
 
+PAGE = 1000
+
+
+def paged_report(report: DataFrame, evidence: DataFrame, place: str = "mark_id", page: int = PAGE) -> DataFrame:
+    """``request_report`` with the evidence of its marks nested in their order under ``per_char``, a row for each ``page``.
+
+    A page holds the marks whose whole number ``place``, distinct within a request, falls into one span of ``page``, so no
+    row grows with its request and no task holds a long one. A request without marks has one row, page 0 and an empty list.
+    """
+    mark = F.struct(F.col(place).alias("place"), "char", "top")
+    pages = evidence.groupBy("request_id", F.floor(F.col(place) / page).alias("page")).agg(F.sort_array(F.collect_list(mark)).alias("per_char"))
+    return report.join(pages, "request_id", "left").withColumn("page", F.coalesce("page", F.lit(0))).withColumn(
+        "per_char", F.coalesce("per_char", F.array().cast(pages.schema["per_char"].dataType)))
+
+
 def shares(tops: DataFrame, first: int = 3) -> DataFrame:
     """Share of each of the first candidates in their sum; negatives count as 0."""
     w = W.partitionBy("mark_id")

@@ -128,14 +128,23 @@ def overlap_matrix(q_bits: np.ndarray, t_bits: np.ndarray, byte_weighted: bool =
     return np.where(union > 0, inter / np.where(union > 0, union, 1.0), 0.0)
 
 
-def fused_matrix(q: pd.DataFrame, t: pd.DataFrame, side: int, reach: int, weight: float):
+# From the field correlations and orientation cosines of pairs, in arrays of one shape, to their scores.
+Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def weighted(weight: float = S.HOG_WEIGHT) -> Scorer:
+    """The default scorer, as ``scores.fuse``."""
+    return lambda ncc, cosine: (1.0 - weight) * ncc + weight * cosine
+
+
+def fused_matrix(q: pd.DataFrame, t: pd.DataFrame, side: int, reach: int, scorer: Scorer):
     """Field correlation, orientation cosine and their fusion for all rows of q against t."""
     qf = _stack(q["field"]).reshape(len(q), side, side)
     tf = _stack(t["field"]).reshape(len(t), side, side)
     moments = _stack(t["moments"]) if "moments" in t else R.shift_moments(tf, reach)
     ncc = R.aligned_correlation(qf, tf, moments, reach)
     cosine = np.clip(_stack(q["vec"]) @ _stack(t["vec"]).T, 0.0, 1.0)
-    return ncc, cosine, (1.0 - weight) * ncc + weight * cosine
+    return ncc, cosine, scorer(ncc, cosine)
 
 
 def _coarse_lists(
@@ -162,7 +171,7 @@ def _coarse_lists(
 
 
 def _short_lists(
-    n_words: int, side: int, reach: int, coarse_k: int | None, weight: float, byte_weighted: bool
+    n_words: int, side: int, reach: int, coarse_k: int | None, scorer: Scorer, byte_weighted: bool
 ) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     columns = ["request_id", "mark_id", "char", "font_id", "iou", "ncc", "cosine", "score"]
 
@@ -174,7 +183,7 @@ def _short_lists(
         keep = np.argsort(-iou, axis=1, kind="stable")[:, :coarse_k]
         keep.sort(axis=1)                                    # back to font order for ties
         used = np.unique(keep)
-        ncc, cosine, score = fused_matrix(q, t.iloc[used], side, reach, weight)
+        ncc, cosine, score = fused_matrix(q, t.iloc[used], side, reach, scorer)
         rows = np.arange(len(q))[:, None]
         place = np.searchsorted(used, keep)
         width = keep.shape[1]
@@ -251,7 +260,7 @@ def _listed(shared, n_words: int, k: int, byte_weighted: bool, keep: list[str]):
     return run
 
 
-def _fine_lists(side: int, reach: int, weight: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _fine_lists(side: int, reach: int, scorer: Scorer) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """Fused scores of a task's crops with those of their listed fonts that the task has."""
     columns = ["request_id", "mark_id", "char", "font_id", "iou", "ncc", "cosine", "score"]
 
@@ -267,7 +276,7 @@ def _fine_lists(side: int, reach: int, weight: float) -> Callable[[pd.DataFrame,
         if not len(rows):
             return pd.DataFrame(columns=columns)
         used, column = np.unique(place, return_inverse=True)
-        ncc, cosine, score = fused_matrix(q, t.iloc[used], side, reach, weight)
+        ncc, cosine, score = fused_matrix(q, t.iloc[used], side, reach, scorer)
         own = {c: q[c].to_numpy()[rows] for c in columns[:3]}
         return pd.DataFrame(own | {"font_id": fonts[place], "iou": iou} | {
             n: m[rows, column] for n, m in (("ncc", ncc), ("cosine", cosine), ("score", score))})[columns]
@@ -318,13 +327,16 @@ def match_marks(
     crop_keys: DataFrame | None = None,
     template_keys: DataFrame | None = None,
     packed_bytes: int = PACKED_BYTES,
+    scorer: Scorer | None = None,
 ) -> DataFrame:
     """Short list of ``top_k`` fonts per crop with a 0-based ``rank``, shifts up to ``reach``.
 
     A crop whose character has no template yields no row. ``use_fields=False`` is the coarse-only
     mode: the overlap is the score, and no field leaves its row. An index of bitmaps of at most
-    ``packed_bytes`` is held by every task; ``coarse_k=None`` holds every crop against all fields of its character.
+    ``packed_bytes`` is held by every task; ``coarse_k=None`` holds every crop against all fields of its character. A ``scorer``
+    takes the place of the weighted sum.
     """
+    scorer = scorer or weighted(weight)
     byte_weighted, types = coarse == "byte_weighted", dict(crops.dtypes) | {"font_id": dict(templates.dtypes)["font_id"]}
     keys = ["char", "q_part", "t_part"]
 
@@ -356,7 +368,7 @@ def match_marks(
     if coarse_k is None:
         q, t = deal(crops, templates, "char", crops_per_task, fonts_per_task, crop_keys, template_keys)
         q, t = q.select("request_id", "mark_id", "words", "field", "vec", *keys), t.select("font_id", "words", "field", "vec", *optional, *keys)
-        score = _short_lists(n_words, side, reach, None, weight, byte_weighted)
+        score = _short_lists(n_words, side, reach, None, scorer, byte_weighted)
     else:
         fields = ["request_id", "mark_id", "char", "field", "vec"]
         listed = packed_lists(coarse_k, fields)
@@ -366,7 +378,7 @@ def match_marks(
             listed = crops.select(*fields).join(lists.select("mark_id", F.col("x.font_id").alias("fonts"), F.col("x.iou").alias("ious")), "mark_id")
         q, t = deal(listed, templates, "char", crops_per_task, fonts_per_task, crops if crop_keys is None else crop_keys, template_keys, "fonts")
         q, t = q.select("request_id", "mark_id", "field", "vec", "fonts", "ious", *keys), t.select("font_id", "field", "vec", *optional, *keys)
-        score = _fine_lists(side, reach, weight)
+        score = _fine_lists(side, reach, scorer)
     schema = ", ".join(f"{f} {types[f]}" for f in ("request_id", "mark_id", "char", "font_id")) + ", iou double, ncc double, cosine double, score double"
     found = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(score, schema)
     # Parts of one character meet here. Both rankings share the shuffle on mark_id.
@@ -401,7 +413,7 @@ def best_possible_overlap(pop: Column, lo: Column, hi: Column) -> Column:
     )
 
 
-def refined_pairs(pairs: DataFrame, queries: DataFrame, templates: DataFrame, side: int, reach: int, weight: float, block: int = 512) -> DataFrame:
+def refined_pairs(pairs: DataFrame, queries: DataFrame, templates: DataFrame, side: int, reach: int, scorer: Scorer, block: int = 512) -> DataFrame:
     """Fused score of (query, template) rows. Only these few fetch their fields, one side at a time."""
     q = queries.select("mark_id", F.col("field").alias("q_field"), F.col("vec").alias("q_vec"))
     t = templates.select("font_id", "char", F.col("field").alias("t_field"), F.col("vec").alias("t_vec"))
@@ -415,7 +427,7 @@ def refined_pairs(pairs: DataFrame, queries: DataFrame, templates: DataFrame, si
                 qf, tf = (_stack(part[c]).reshape(len(part), side, side) for c in ("q_field", "t_field"))
                 ncc = R.aligned_pairs(qf, tf, reach)
                 cosine = np.clip((_stack(part["q_vec"]) * _stack(part["t_vec"])).sum(axis=1), 0.0, 1.0)
-                yield part[[f.name for f in keep]].assign(ncc=ncc, cosine=cosine, score=(1.0 - weight) * ncc + weight * cosine)
+                yield part[[f.name for f in keep]].assign(ncc=ncc, cosine=cosine, score=scorer(ncc, cosine))
 
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep)
     return both.mapInPandas(run, f"{ddl}, ncc double, cosine double, score double")
@@ -433,6 +445,7 @@ def search_grid(
     queries_per_task: int = 1000,
     templates_per_task: int = 2000,
     coarse: str = "popcount",
+    scorer: Scorer | None = None,
 ) -> DataFrame:
     """Best ``k`` templates of the whole (font x character) index per query bitmap by overlap,
     re-ranked by fused score; ``rank`` is 0-based.
@@ -441,7 +454,7 @@ def search_grid(
     count; the k-th overlap found there then rules out every band whose best possible overlap
     is lower, which changes no result. Bands are dealt into bounded tasks, a task only returns its
     first ``k`` rows per query, and only bitmaps travel; the ``k`` rows left fetch their fields.
-    Byte-weighted overlaps have no such bound and visit every band.
+    Byte-weighted overlaps have no such bound and visit every band. A ``scorer`` takes the place of the weighted sum.
     """
     byte_weighted = coarse == "byte_weighted"
     prune = prune and not byte_weighted
@@ -482,6 +495,6 @@ def search_grid(
         rest = (q.join(known, "mark_id", "left").withColumn("least", F.coalesce(least, F.lit(0.0)))
                 .withColumn("band", F.explode(hopeful)))
         found = first_k(at_home.unionByName(visit(rest)))
-    found = refined_pairs(found.drop("coarse_rank"), queries, templates, side, reach, weight)
+    found = refined_pairs(found.drop("coarse_rank"), queries, templates, side, reach, scorer or weighted(weight))
     ranked = _first(found, ["mark_id"], [F.desc("score"), F.asc("font_id"), F.asc("char")], None, "rank")
     return ranked.withColumn("rank", F.col("rank") - 1)

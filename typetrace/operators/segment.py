@@ -173,7 +173,7 @@ def fold_closest(segs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 def _per_line(segs: DataFrame, line: str, fields: list[str], fold, out: list[str], extra: list[str] = ()) -> DataFrame:
     """Apply an ordered fold to the segments of each line, many lines per Arrow batch.
 
-    A line arrives as one row of parallel arrays. Its length is bounded by the width of the line
+    A line arrives as one row of parallel arrays; names in ``out`` may carry a type. Its length is bounded by the width of the line
     image, and lines are spread by their own key.
     """
     rows = segs.groupBy(line, *extra).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("s"))
@@ -183,11 +183,11 @@ def _per_line(segs: DataFrame, line: str, fields: list[str], fold, out: list[str
         for pdf in batches:
             folded = [fold(*values) for values in zip(*[pdf[c] for c in [*fields, *extra]])]
             flat = [seg for one in folded for seg in one]
-            result = pd.DataFrame(flat, columns=out)
+            result = pd.DataFrame(flat, columns=[c.split()[0] for c in out])
             result.insert(0, line, pdf[line].repeat([len(f) for f in folded]).to_numpy())
             yield result
 
-    schema = f"{line} {dict(segs.dtypes)[line]}, " + ", ".join(f"{c} bigint" for c in out)
+    schema = f"{line} {dict(segs.dtypes)[line]}, " + ", ".join(c if " " in c else f"{c} bigint" for c in out)
     return rows.mapInPandas(run, schema)
 
 
@@ -204,3 +204,42 @@ def merge_to_count(segs: DataFrame, wanted: DataFrame, line: str = "line_id") ->
     joined = segs.select(line, "x0", "x1").join(wanted.select(line, "n_chars"), line)
     fold = lambda x0, x1, n: fold_closest(list(zip(x0, x1)), int(n))
     return _per_line(joined, line, ["x0", "x1"], fold, ["x0", "x1"], ["n_chars"])
+
+
+def fold_to_characters(runs: list[tuple[int, int, int, int]], width: int, chars: list[str]) -> list[tuple]:
+    """(seg_no, char, x0, x1, y0, y1) of one line, a segment for each of ``chars``, or none at all.
+
+    ``runs`` are all column runs in order. Those that are long and wide enough are segments. Too many are merged, with the
+    rows of all ink they span; for too few, the ink of the line is cut into equal parts, which keep the line's rows.
+    """
+    long = [(a, b) for a, b, _, _ in runs if b - a >= MIN_RUN or b == width]
+    if not long or not len(chars):
+        return []
+    median = sorted(b - a for a, b in long)[len(long) // 2]
+    segs, n = [(a, b) for a, b in long if b - a > NARROW * median], len(chars)
+    if len(segs) < n:
+        x0, x1 = runs[0][0], runs[-1][1]
+        if x1 - x0 < n:
+            return []
+        y0, y1 = min(r[2] for r in runs), max(r[3] for r in runs)
+        return [(i, c, x0 + (x1 - x0) * i // n, x0 + (x1 - x0) * (i + 1) // n, y0, y1) for i, c in enumerate(chars)]
+    out, at = [], 0
+    for i, (a, b) in enumerate(fold_closest(segs, n)):
+        while runs[at][0] < a:
+            at += 1
+        y0, y1 = runs[at][2], runs[at][3]
+        while at < len(runs) and runs[at][1] <= b:
+            y0, y1, at = min(y0, runs[at][2]), max(y1, runs[at][3]), at + 1
+        out.append((i, chars[i], a, b, y0, y1))
+    return out
+
+
+def character_segments(runs: DataFrame, lines: DataFrame, line: str = "line_id") -> DataFrame:
+    """Marks of lines from all their column runs and ``lines(line_id, width, chars)``: filtered, repaired to the number of
+    characters and paired with them, in one pass over each line.
+
+    Lines without characters, without a segment, or with fewer columns of ink than characters yield no row.
+    """
+    joined = runs.select(line, "x0", "x1", "y0", "y1").join(lines.filter(F.size("chars") > 0).select(line, "width", "chars"), line)
+    fold = lambda x0, x1, y0, y1, width, chars: fold_to_characters(list(zip(x0, x1, y0, y1)), width, chars)
+    return _per_line(joined, line, ["x0", "x1", "y0", "y1"], fold, ["seg_no", "char string", "x0", "x1", "y0", "y1"], ["width", "chars"])

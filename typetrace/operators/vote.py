@@ -56,7 +56,9 @@ def rank_candidates(
     return ranked if top_k is None else ranked.filter(F.col("rank") <= top_k)
 
 
-def request_verdicts(marks: DataFrame, candidates: DataFrame) -> DataFrame:
+def request_verdicts(
+    marks: DataFrame, candidates: DataFrame, free_from: float = S.FREE_FROM, suspect_from: float = S.SUSPECT_FROM
+) -> DataFrame:
     """One row per request of ``marks``; a request without candidates is ``unknown``."""
     best = candidates.filter(F.col("rank") == 1).select(
         "request_id", F.col("group_id").alias("best_font"), "score", "votes"
@@ -66,7 +68,7 @@ def request_verdicts(marks: DataFrame, candidates: DataFrame) -> DataFrame:
         .join(best, "request_id", "left")
         .select(
             "request_id",
-            S.verdict(F.col("score")).alias("verdict"),
+            S.verdict(F.col("score"), free_from, suspect_from).alias("verdict"),
             F.coalesce(F.round("score", 4), F.lit(0.0)).alias("confidence"),
             "best_font",
             F.coalesce("votes", F.lit(0)).alias("votes"),

@@ -168,3 +168,28 @@ def surplus_segments_merged(spark, sf):
     segs = _segments(spark, sf)
     wanted = segs.groupBy("line_id").agg(F.ceil(F.count("*") / 2).alias("n_chars"))
     return G.merge_to_count(segs, wanted)
+
+
+@query("C6", "WITH RECURSIVE " + fx.SQL["columns"] + """,
+want AS (SELECT line_id, regexp_extract_all(line, '[\\p{L}\\p{N}]')[1:1 + width % 9] AS chars FROM lines),
+start AS (SELECT line_id, list(x0 ORDER BY x0) AS a, list(x1 ORDER BY x0) AS b, len(any_value(chars)) AS n
+          FROM kept JOIN want USING (line_id) WHERE len(chars) > 0 GROUP BY line_id),
+fold AS (
+  SELECT line_id, a, b, n FROM start WHERE len(a) >= n
+  UNION ALL
+  SELECT line_id, a[:k] || a[k + 2:], b[:k - 1] || b[k + 1:], n
+  FROM (SELECT *, list_position(spans, list_min(spans)) AS k
+        FROM (SELECT *, list_transform(range(1, len(a)), lambda i: b[i + 1] - a[i]) AS spans FROM fold WHERE len(a) > n))),
+span AS (SELECT line_id, i AS seg_no, a[i + 1] AS x0, b[i + 1] AS x1 FROM fold, range(0, n) r(i) WHERE len(a) = n),
+ink AS (SELECT line_id, min(x) AS x0, max(x) + 1 AS x1, min(y0) AS y0, max(y1) AS y1 FROM cols GROUP BY line_id),
+mark AS (
+  SELECT s.line_id, seg_no, s.x0, s.x1, min(c.y0) AS y0, max(c.y1) AS y1
+  FROM span s JOIN cols c ON c.line_id = s.line_id AND c.x >= s.x0 AND c.x < s.x1 GROUP BY ALL
+  UNION ALL
+  SELECT line_id, i, x0 + (x1 - x0) * i // n, x0 + (x1 - x0) * (i + 1) // n, y0, y1
+  FROM start JOIN ink USING (line_id), range(0, n) r(i) WHERE len(a) < n AND x1 - x0 >= n)
+SELECT line_id, seg_no, chars[seg_no + 1] AS char, x0, x1, y0, y1 FROM mark JOIN want USING (line_id)""")
+def character_segments(spark, sf):
+    """The first one to nine characters of every line: some have more segments than that, some fewer."""
+    chars = F.slice(T.usable_chars(F.col("line")), F.lit(1), F.col("width") % 9 + 1)
+    return G.character_segments(_runs(spark, sf), fx.text_lines(spark, sf).select("line_id", "width", chars.alias("chars")))

@@ -8,6 +8,7 @@ from typetrace.functions import scores as S
 from typetrace.operators import evaluate, report, search, vote
 from typetrace.plans import fixtures as fx
 from typetrace.plans.registry import query
+from typetrace.sources import history
 
 _SEARCH = fx.with_views("glyphs", "features", "search")
 _VOTE = fx.with_views("glyphs", "features", "search", "vote")
@@ -185,6 +186,39 @@ def request_reports(spark, sf):
     return full.select("request_id", "verdict", F.coalesce(F.array_join(cand, ","), F.lit("")).alias("candidates"))
 
 
+@query("C13 J4", _VOTE + """, cand_text AS (
+  SELECT request_id, string_agg(group_id || ':' || p_name, ',' ORDER BY rank) AS candidates
+  FROM cands JOIN part ON p_partkey = group_id GROUP BY request_id),
+lists AS (
+  SELECT c.request_id, c.mark_id, c.char || ':' || coalesce(string_agg(coalesce(s.g, t.font_id), '+' ORDER BY t.rank), '') AS item
+  FROM crop c LEFT JOIN tops t ON t.mark_id = c.mark_id
+  LEFT JOIN (VALUES (0, 0), (1, 0), (2, 2), (3, 2)) s(f, g) ON s.f = t.font_id GROUP BY c.request_id, c.mark_id, c.char)
+SELECT request_id, mark_id // 50 AS page, coalesce(candidates, '') AS candidates, string_agg(item, ',' ORDER BY mark_id) AS per_char
+FROM lists LEFT JOIN cand_text USING (request_id) GROUP BY ALL""")
+def paged_reports(spark, sf):
+    """Reports with the evidence of their marks, fifty places to a page."""
+    crops, groups, meta = fx.crops(spark, sf), fx.groups(spark, sf), _meta(spark, sf)
+    tops = _tops(spark, sf, crops)
+    cands = vote.rank_candidates(vote.rank_weighted_votes(tops, groups))
+    full = report.request_report(vote.request_verdicts(crops, cands), cands, meta)
+    paged = report.paged_report(full, report.evidence(crops, tops, groups, meta), page=50)
+    cand = F.transform("candidates", lambda c: F.concat_ws(":", c["font_id"], c["name"]))
+    mark = F.transform("per_char", lambda m: F.concat(m["char"], F.lit(":"), F.array_join(m["top"]["font_id"].cast("array<string>"), "+")))
+    return paged.select("request_id", "page", F.coalesce(F.array_join(cand, ","), F.lit("")).alias("candidates"), F.array_join(mark, ",").alias("per_char"))
+
+
+@query("S6", _VOTE + """
+SELECT r.request_id, chars, coalesce(p_name, '') AS top, coalesce(round(score, 4), 0.0) AS score
+FROM (SELECT request_id, string_agg(char, '' ORDER BY mark_id) AS chars FROM crop GROUP BY request_id) r
+LEFT JOIN cands c ON c.request_id = r.request_id AND c.rank = 1 LEFT JOIN part ON p_partkey = group_id""")
+def request_history(spark, sf):
+    crops = fx.crops(spark, sf)
+    cands = _candidates(spark, sf, crops)
+    full = report.request_report(vote.request_verdicts(crops, cands), cands, _meta(spark, sf))
+    rows = history.request_rows(crops, full.withColumn("ts", F.timestamp_seconds("request_id")))
+    return rows.select("request_id", F.array_join("chars", "").alias("chars"), "top", "score")
+
+
 @query("W11", _SEARCH + """
 SELECT mark_id, font_id, rank, round(greatest(score, 0) / CASE WHEN t = 0 THEN 1 ELSE t END * 100, 4) AS share
 FROM (SELECT *, sum(greatest(score, 0)) OVER (PARTITION BY mark_id) AS t FROM tops WHERE rank < 3)""")

@@ -16,6 +16,15 @@ def history_rows(results: DataFrame, ts: str = "ts", keep: list[str] | None = No
     )
 
 
+def request_rows(marks: DataFrame, report: DataFrame, ts: str = "ts", place: str = "mark_id") -> DataFrame:
+    """History of matched requests from their ``report`` (with ``ts``): characters in the order of the marks, repeats
+    included, and the name of the first candidate. Every stored line holds its whole request, as its readers expect."""
+    chars = F.transform(F.sort_array(F.collect_list(F.struct(place, "char"))), lambda m: m["char"])
+    ordered = marks.groupBy("request_id").agg(chars.alias("chars"))
+    best = F.get("candidates", F.lit(0))["name"]
+    return history_rows(report.join(ordered, "request_id").withColumn("top", best).withColumn("score", F.col("confidence")), ts, ["request_id"])
+
+
 def append_history(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
