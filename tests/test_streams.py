@@ -107,3 +107,18 @@ def test_repeats_and_latest_marks(spark, tmp_path):
     J.run_available(J.latest_marks(s, out, "user", "char"), str(tmp_path / "check2"))
     got = {(r.user, r.char): (r.seq, r.box) for r in J.read_latest_marks(spark, out, "user", "char").collect()}
     assert got == {(1, "a"): (2, 20), (1, "b"): (3, 30)}
+
+
+def test_tables_stream_from_a_file_and_from_a_folder(spark, tmp_path):
+    import shutil
+
+    from typetrace.plans import streams
+
+    rows = spark.range(7).withColumnRenamed("id", "vec_id").coalesce(1)
+    rows.write.parquet(f"{tmp_path}/two/embeddings.parquet")
+    rows.write.parquet(f"{tmp_path}/two/other.parquet")
+    (tmp_path / "one").mkdir()
+    shutil.copy(next((tmp_path / "two" / "embeddings.parquet").glob("part-*.parquet")), tmp_path / "one" / "embeddings.parquet")
+    for kind in ("one", "two"):
+        got = finish(streams._stream(spark, f"{tmp_path}/{kind}", "embeddings"), tmp_path / f"run-{kind}")
+        assert sorted(r.vec_id for r in got) == list(range(7))

@@ -14,9 +14,9 @@ from typetrace.streaming import jobs as J
 
 
 def _stream(spark, sf, name):
-    """The table as a file stream."""
+    """The table, a file or a folder of files, as a file stream. Only a pattern may name a single file."""
     schema = fx.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _utc(ts: str):
