@@ -126,3 +126,39 @@ def test_punctuation_only_is_unknown(spark):
         "*", "'-,.' AS text", "0.99D AS score")
     got = A.auto_match(lines, fx.bitmap_index(spark, SF), fx.groups(spark, SF), SHAPE)["images"].collect()
     assert [(r.outcome, r.verdict, r.confidence, r.votes) for r in got] == [("none", "unknown", 0.0, 0)]
+
+
+def small_tables(folder, ids):
+    """Own tables of glyphs, as a folder of one file, and of fonts; the fields of rows stay the same whichever are left out."""
+    import duckdb
+
+    (folder / "embeddings.parquet").mkdir(parents=True)
+    listed = ", ".join(f"({i})" for i in ids)
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT v::BIGINT AS vec_id, list_transform(range(0, 64), lambda i: (((v * 7919 + i * 104729 + v * i * 31) % 1009) / 1009.0 - 0.5)::FLOAT) AS embedding
+        FROM (VALUES {listed}) t(v)) TO '{folder}/embeddings.parquet/part-0.parquet'""")
+    con.execute(f"COPY (SELECT range::BIGINT AS p_partkey, (range * 7 % 50)::INT AS p_size, 'n' || range AS p_name, 'b' AS p_brand, 't' AS p_type FROM range(0, 20)) TO '{folder}/part.parquet'")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet'")
+    return con, str(folder)
+
+
+def test_lines_of_fonts_without_some_glyphs(spark, tmp_path):
+    from compare import compare
+    from typetrace.plans import REGISTRY
+
+    con, sf = small_tables(tmp_path / "sf", [i for i in range(51) if i not in (7, 20, 34)])
+    for name in ("undetected_image_verdicts", "auto_candidates"):
+        ok, message = compare(spark, con, REGISTRY[name], sf)
+        assert ok, (name, message)
+
+
+def test_lines_with_repeated_or_empty_glyphs(spark, tmp_path):
+    field = [0.5 if i % 8 == 2 else -0.5 for i in range(64)]
+    rows = [(v, field) for v in (0, 1, 1, 2, 3, 4)] + [(5, None)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in fx.line_images(spark, str(tmp_path)).collect():
+        assert len(r.px) == r.height * r.width
+        got.setdefault(r.image_id, set()).add(r.width)
+    assert max(got[0]) >= 58 and got[1] == {48}
