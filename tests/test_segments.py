@@ -1,6 +1,7 @@
 """Column runs, filters and folds against golden vectors and naive loops."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -165,3 +166,26 @@ def test_lines_are_given_up_whole(spark):
     lines = spark.createDataFrame([(1, 12, ["a", "b"]), (2, 2, list("abc")), (3, 9, []), (4, 9, ["a"])], "line_id bigint, width int, chars array<string>")
     got = sorted(tuple(r) for r in G.character_segments(G.column_runs(c), lines).collect())
     assert got == [(1, 0, "a", 0, 5, 0, 8), (1, 1, "b", 6, 11, 0, 8)]
+
+
+def test_runs_of_packed_columns_in_any_order(spark):
+    rng = random.Random(5)
+    texts = {n: ("".join(rng.choice("##.") for _ in range(rng.randrange(1, 90))), n + 1) for n in range(40)}
+    c, _ = cols(spark, texts)
+    want = spans(G.column_runs(c))
+    assert want == sorted((n, m.start(), m.end()) for n, (t, _) in texts.items() for m in re.finditer("#+", t))
+    assert spans(G.column_runs(c.orderBy(F.xxhash64("line_id", "x")).repartition(7))) == want
+    keyed = c.withColumn("line_id", F.struct("line_id", F.lit(None).cast("int").alias("y")))
+    assert spans(G.column_runs(keyed).withColumn("line_id", F.col("line_id.line_id"))) == want
+
+
+def test_columns_meet_packed(spark):
+    """One row a run goes through the shuffle, not one a column."""
+    c, _ = cols(spark, {1: ("#" * 400 + "." + "#" * 300, 9)})
+    assert G._packed_columns(c.coalesce(1), "line_id").count() == 2
+
+
+def test_repeated_columns_keep_their_rows(spark):
+    c, _ = cols(spark, {1: ("####", 3), 2: (".##", 2)})
+    got = spans(G.column_runs(c.union(c.filter("line_id = 1 AND x = 3"))))
+    assert got == [(1, 0, 4), (1, 3, 4), (2, 1, 3)]
