@@ -1,6 +1,7 @@
 """Both search forms, task bounds, band pruning and real glyph sizes against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +198,21 @@ def test_a_scorer_of_the_user(spark, small):
         assert own.filter("abs(score - cosine) > 1e-12").isEmpty() and own.count() == usual.count()
         assert rows(own, "mark_id", "font_id", "rank") != rows(usual, "mark_id", "font_id", "rank")
         assert rows(search_by(scorer=search.weighted()), "mark_id", "font_id", "score") == rows(usual, "mark_id", "font_id", "score")
+
+
+def test_first_k_of_many_ties():
+    rng = np.random.default_rng(3)
+    iou = rng.integers(0, 6, (30, 200)) / 5
+    for k in (1, 7, 199, 200, 300):
+        assert (search.first_k(iou, k) == np.argsort(-iou, axis=1, kind="stable")[:, :k]).all()
+
+
+def test_listed_pairs_score_as_the_matrix(monkeypatch):
+    rng = np.random.default_rng(4)
+    q = pd.DataFrame({"field": list(rng.normal(size=(9, 64))), "vec": list(rng.random((9, 32)))})
+    t = pd.DataFrame({"field": list(rng.normal(size=(20, 64))), "vec": list(rng.random((20, 32)))})
+    rows, columns = rng.integers(0, 9, 50), rng.integers(0, 20, 50)
+    whole = search.fused_matrix(q, t, 8, 2, search.weighted())
+    monkeypatch.setattr(search, "fused_matrix", None)
+    for got, want in zip(search.fused_pairs(q, t, rows, columns, 8, 2, search.weighted(), block=7), whole):
+        assert np.allclose(got, want[rows, columns], atol=1e-12)
