@@ -80,6 +80,26 @@ def test_open_requests_survive_a_restart(spark, tmp_path):
     assert got == {"a": ("suspect", 0.85, 5, 2), "n": ("unknown", 0.0, None, 0)}
 
 
+def test_requests_of_a_bucket_close_one_by_one(spark, tmp_path):
+    """Few buckets hold many requests: each closes at its own time, opens anew after that, and keeps its own votes."""
+    far = 2 ** 60 + 1
+    groups = spark.createDataFrame([(1, 0), (far, far)], "font_id bigint, group_id bigint")
+    schema, closing = "request_id string, ts string, font_id bigint, rank int, score double", str(tmp_path / "closing")
+    row = lambda r, t, f, s: (r, f"2024-01-01 {t}:00", f, 0, s)
+    first = [row(f"r{i}", "00:00", far if i % 2 else 1, 0.6 + i / 1000) for i in range(200)]
+    first += [row("r3", "00:01", 1, 0.7), row("r4", "00:01", None, None), row("none", "00:00", None, None), row(None, "00:00", 1, 0.9)]
+    s = feed(spark, tmp_path / "in", schema, first, [row("open", "00:30", 1, 0.8), row("r3", "00:30", 7, 0.95)],
+             [row("x", "03:00", 1, 0.8)], [row("y", "04:00", 1, 0.8)], [row("r3", "05:00", 1, 0.8)])
+    for buckets in (1, 3):
+        out, check = str(tmp_path / f"out-{buckets}"), str(tmp_path / f"check-{buckets}")
+        done = J.request_completion(J.with_closing(s, f"{closing}-{buckets}"), groups, "1 minute", 3_600_000, buckets=buckets)
+        J.run_to_end(done.writeStream.format("parquet").outputMode("append").option("path", out), check, spark, f"{closing}-{buckets}")
+        got = sorted((r.request_id, r.best_font, r.confidence, r.votes) for r in spark.read.parquet(out).filter("request_id <> 'none'").collect())
+        want = [(f"r{i}", far if i % 2 else 0, round(0.6 + i / 1000, 4), 1) for i in range(200) if i != 3]
+        assert got == sorted(want + [(r, 0, 0.8, 1) for r in ("open", "x", "y", "r3")] + [("r3", 7, 0.95, 1)])
+        assert [(r.verdict, r.best_font, r.votes) for r in spark.read.parquet(out).filter("request_id = 'none'").collect()] == [("unknown", None, 0)]
+
+
 def test_latest_marks_stay_few_files(spark, tmp_path):
     """Twenty batches: the files stay few, old keys go, and batches and snapshots run again change nothing."""
     schema = "ts string, user int, char string, seq int, box int"
