@@ -89,6 +89,53 @@ def test_band_prune_changes_nothing(spark, small):
     assert len(want) == 10 * crops.count()
 
 
+@pytest.mark.parametrize("n_words", [1, 3])
+def test_best_overlaps_are_those_of_the_whole_matrix(n_words):
+    """Blank, equal and sparse bitmaps, ties, and bands of several sizes; only few pairs are ever sorted."""
+    rng = np.random.default_rng(5)
+    for density in (0.5, 0.04):
+        q, t = (R.pack((rng.random((n, 64 * n_words)) < density).astype(np.uint8)) for n in (200, 3000))
+        q[:5], t[50:60], t[100:200], q[20:40] = 0, 0, t[:100], t[:20]
+        iou = search.overlap_matrix(R.unpack(q, n_words), R.unpack(t, n_words))
+        for k in (1, 10, 4000):
+            want = np.argsort(-iou, axis=1, kind="stable")[:, :k]
+            for band in (None, 30, 700):
+                place, best = search.best_overlaps(q, t, k, band)
+                assert (place == want).all() and (best == np.take_along_axis(iou, want, axis=1)).all()
+
+
+def test_grid_search_copies_few_queries(spark, small):
+    """Queries meet the whole index in one task, however small its bands; an index over its limit is cut and gives the same rows."""
+    crops, templates = small
+    cols = ("mark_id", "font_id", "char", "rank", "iou", "score")
+    want = rows(search.search_grid(crops, templates, 1, 8), *cols)
+    assert rows(search.search_grid(crops, templates, 1, 8, queries_per_task=70, bitmap_bytes=24 * 40, templates_per_task=9), *cols) == want
+    plan = search.search_grid(crops, templates, 1, 8, templates_per_task=9)._jdf.queryExecution().toString()
+    assert "sequence(0, 0" in plan and "choices" not in plan
+
+
+def test_joined_form_sends_lists_and_keeps_unknown_fields(spark, small):
+    """No pair is a row before it is listed and no field is copied for a pair; glyphs without a field, repeated marks and fonts are kept."""
+    crops, templates = small
+    unknown = lambda df, key: df.drop("words", "pop", "vec", "centred", "centred_ss").withColumn(
+        "field", F.when(F.col(key) % 5 == 0, None).when(F.col(key) % 5 == 1, F.transform("field", lambda v, i: F.when(i != 3, v))).otherwise(F.col("field")))
+    q = unknown(crops.unionByName(crops.filter("mark_id % 4 = 2")), "mark_id")
+    t = unknown(templates.unionByName(templates.filter("font_id % 3 = 1")), "font_id")
+    q, t = (search.with_features(df, "field", 1).cache() for df in (q, t))
+    cols = ("request_id", "mark_id", "char", "font_id", "rank", "coarse_rank", "iou", "ncc", "cosine", "score")
+    got = search.match_marks_joined(q, t, 1, coarse_k=9)
+    plain = search.coarse_candidates(q, t, 1, k=None).filter("coarse_rank <= 9")
+    order = [F.desc("score"), F.asc("font_id")]
+    want = search._first(search.refine(plain, q, t), ["mark_id"], order, 5, "rank").withColumn("rank", F.col("rank") - 1)
+    loose = [c for c in cols if c != "coarse_rank"]   # equal rows may change places
+    assert rows(got, *loose) == rows(want, *loose)
+    assert got.filter("score = 0").count() > 0
+    pairs = search.refine_listed(search.coarse_candidates(q, t, 1, 9), q, t, rows_per_task=11)
+    assert rows(pairs, *[c for c in loose if c != "rank"]) == rows(search.refine(plain, q, t), *[c for c in loose if c != "rank"])
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("FlatMapCoGroupsInPandas") == 2 and "t_words" not in text
+
+
 def test_exhaustive_search_has_no_coarse_cut(spark, small):
     crops, templates = small
     everything = search.match_marks(crops, templates, 1, 8, coarse_k=None, top_k=1000)
