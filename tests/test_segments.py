@@ -189,3 +189,12 @@ def test_repeated_columns_keep_their_rows(spark):
     c, _ = cols(spark, {1: ("####", 3), 2: (".##", 2)})
     got = spans(G.column_runs(c.union(c.filter("line_id = 1 AND x = 3"))))
     assert got == [(1, 0, 4), (1, 3, 4), (2, 1, 3)]
+
+
+def test_very_long_lines_are_cut_without_overflow(spark):
+    bounds = spark.createDataFrame([("a", 5, 100_005, 0, 0)], "line_id string, x0 int, x1 int, y0 int, y1 int")
+    parts = G.equal_split(bounds.withColumn("n", F.lit(90_000)), "n").orderBy("part").collect()
+    assert len(parts) == 90_000 and (parts[-1].a, parts[-1].b) == (5 + 100_000 * 89_999 // 90_000, 100_005)
+    assert all(p.b == q.a for p, q in zip(parts, parts[1:]))
+    wide = G.split_wide(bounds).orderBy("part").collect()
+    assert len(wide) == 74_075 and (wide[0].x0, wide[-1].x1) == (5, 100_005)
