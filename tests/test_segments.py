@@ -198,3 +198,38 @@ def test_very_long_lines_are_cut_without_overflow(spark):
     assert all(p.b == q.a for p, q in zip(parts, parts[1:]))
     wide = G.split_wide(bounds).orderBy("part").collect()
     assert len(wide) == 74_075 and (wide[0].x0, wide[-1].x1) == (5, 100_005)
+
+
+def test_a_line_meets_packed_as_one_value(spark):
+    """Lines of many short runs take one row, and neither runs nor characters are shuffled a row each."""
+    c, w = cols(spark, {1: ("##." * 100, 9), 2: ("#....." * 60, 4)})
+    assert G._packed_columns(c.coalesce(1), "line_id").count() == 2
+    lines = w.withColumn("line", F.lit("abc"))
+    segs = G.number_segments(G.drop_narrow(G.long_enough(G.column_runs(c, packed=True), lines, shortest=1)))
+    paired = G.with_chars(segs, lambda t: F.split(t["line"], ""))
+    assert paired._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert sorted(tuple(r) for r in paired.collect()) == [(n, i, 3 * n * i, 3 * n * i + 3 - n, c) for n in (1, 2) for i, c in enumerate("abc")]
+
+
+def test_packed_lines_give_the_rows_of_runs(spark):
+    """Also where columns, and what is known of a line, repeat, and where a line or its width is not known."""
+    rng = random.Random(9)
+    texts = {n: ("".join(rng.choice("####.") for _ in range(rng.randrange(1, 70))), rng.randrange(1, 25)) for n in range(30)}
+    c, w = cols(spark, texts)
+    c = c.union(c.filter("line_id % 7 = 3")).union(c.filter("line_id = 4").withColumn("line_id", F.lit(None).cast("bigint")))
+    w = w.union(w.filter("line_id % 5 = 1")).union(spark.createDataFrame([(2, None), (None, 9)], w.schema))
+    chars = F.transform(F.sequence(F.lit(1), F.col("width") % 6 + 1), lambda i: F.chr(i + 96))
+    lines = w.withColumn("chars", chars)
+    flat, packed = G.column_runs(c.repartition(5), chunk=7), G.column_runs(c.repartition(5), chunk=7, packed=True)
+    some = lambda df: sorted(map(str, G.unpacked(df).select("line_id", "x0", "x1", "y0", "y1").collect()))
+    assert some(packed) == some(flat)
+    long = [G.long_enough(r, w) for r in (flat, packed)]
+    kept = [G.drop_narrow(r) for r in long]
+    assert some(long[0]) == some(long[1]) and some(kept[0]) == some(kept[1]) and len(some(kept[0])) > 50
+    assert some(G.split_wide(long[0])) == some(G.split_wide(long[1]))
+    assert some(G.merge_fragments(flat, w)) == some(G.merge_fragments(packed, w))
+    wanted = long[0].groupBy("line_id").agg(F.ceil(F.count("*") / 2).alias("n_chars"))
+    assert spans(G.merge_to_count(long[0], wanted)) == spans(G.merge_to_count(long[1].withColumn("n_chars", F.ceil(F.size("runs") / 2))))
+    once = lines.distinct().filter("line_id % 7 <> 3")   # runs that overlap are no line of characters
+    marks = [sorted(map(str, G.character_segments(r, once).collect())) for r in (flat, packed)]
+    assert marks[0] == marks[1] and len(marks[0]) > 20

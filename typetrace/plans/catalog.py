@@ -232,10 +232,8 @@ chars AS (SELECT line_id, generate_subscripts(u, 1) AS n, unnest(u) AS char
 SELECT line_id, n - 1 AS seg_no, x0, x1, char FROM numbered JOIN chars USING (line_id, n)""")
 def paired_segments(spark, sf):
     segs = G.number_segments(G.drop_narrow(G.long_enough(
-        G.column_runs(fx.text_columns(spark, sf)), fx.text_lines(spark, sf))))
-    chars = fx.text_lines(spark, sf).select(
-        "line_id", F.posexplode(T.usable_chars(F.col("line"))).alias("seg_no", "char"))
-    return segs.join(chars, ["line_id", "seg_no"]).select("line_id", "seg_no", "x0", "x1", "char")
+        G.column_runs(fx.text_columns(spark, sf), packed=True), fx.text_lines(spark, sf))))
+    return G.with_chars(segs, lambda t: T.usable_chars(t["line"]))
 
 
 @query("J10", """
