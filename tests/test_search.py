@@ -1,13 +1,16 @@
 """Both search forms, task bounds, band pruning and real glyph sizes against brute force."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from typetrace.functions import rasters as R
 from typetrace.operators import fields as D, search
-from typetrace.plans import fixtures as fx
+from typetrace.plans import fixtures as fx, matching
 
 SF = "/root/testdata/sf0.001"
 
@@ -263,3 +266,53 @@ def test_listed_pairs_score_as_the_matrix(monkeypatch):
     monkeypatch.setattr(search, "fused_matrix", None)
     for got, want in zip(search.fused_pairs(q, t, rows, columns, 8, 2, search.weighted(), block=7), whole):
         assert np.allclose(got, want[rows, columns], atol=1e-12)
+
+
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_short_lists_of_a_packed_index_hold_no_whole_rows_of_overlaps():
+    rng = np.random.default_rng(3)
+    t_words = rng.integers(-1 << 63, 1 << 63, (50_000, 1), dtype=np.int64)
+    t_words[40_000:] = t_words[:10_000]                       # ties go to the smaller font
+    q_words = t_words[rng.integers(0, 50_000, 90)] ^ (1 << rng.integers(0, 60, (90, 1)))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(90)), pa.array(["a"] * 89 + ["?"]), pa.array(q_words.tolist(), pa.list_(pa.int64()))], ["mark_id", "char", "words"])
+    run = search._listed(Shared({"a": (np.arange(50_000) * 3, t_words)}), 1, 50, False, ["mark_id"])
+    tracemalloc.start()
+    got, = run([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    iou = search.overlap_matrix(R.unpack(q_words[:89], 1), R.unpack(t_words, 1))
+    want = search.first_k(iou, 50)
+    assert got.column("fonts").to_pylist() == (want * 3).tolist()
+    assert np.array_equal(np.stack(got.column("ious").to_pylist()), np.take_along_axis(iou, want, axis=1))
+    assert peak < 30 << 20, peak
+
+
+@pytest.mark.parametrize("reach", [0, 2])
+def test_listed_pairs_score_as_whole_matrices_and_equal_fields_alike(reach):
+    rng = np.random.default_rng(4)
+    fields, vecs = rng.normal(size=(40, 64)), rng.normal(size=(40, 16))
+    fields[9], vecs[9], fields[7] = fields[5], vecs[5], 0.0
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    t = pd.DataFrame({"field": list(fields), "vec": list(vecs)})
+    q = pd.DataFrame({"field": list(fields[:30] + rng.normal(size=(30, 64))), "vec": list(vecs[10:])})
+    rows = np.repeat(np.arange(30), [0, 7, *[20] * 27, 0])
+    columns = np.concatenate([np.sort(rng.permutation(40)[:n]) for n in np.bincount(rows, minlength=30)])
+    got = search.fused_pairs(q, t, rows, columns, 8, reach, search.weighted())
+    for one, all_ in zip(got, search.fused_matrix(q, t, 8, reach, search.weighted())):
+        assert np.allclose(one, all_[rows, columns], atol=1e-12)
+    score = search.fused_pairs(q, t, np.repeat(np.arange(30), 2), np.tile([5, 9], 30), 8, reach, search.weighted())[2]
+    assert (score[::2] == score[1::2]).all()
+    centred, fetched = np.stack(q["field"]), []
+    counted = type("Counted", (np.ndarray,), {"__getitem__": lambda s, i: fetched.append(len(i)) or np.asarray(s)[i]})
+    search._shifted_products(centred, fields.view(counted), rows, columns, 8, 2)
+    assert sum(fetched) == len(rows)                          # once, not once a shift
+
+
+def test_marks_that_disagree_are_searched_once(spark):
+    plan = matching.disagreeing_marks(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" not in plan

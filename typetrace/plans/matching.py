@@ -8,6 +8,7 @@ from typetrace.functions import scores as S
 from typetrace.operators import evaluate, report, search, vote
 from typetrace.plans import fixtures as fx
 from typetrace.plans.registry import query
+from typetrace.session import cut_lineage
 from typetrace.sources import history
 
 _SEARCH = fx.with_views("glyphs", "features", "search")
@@ -198,7 +199,7 @@ FROM lists LEFT JOIN cand_text USING (request_id) GROUP BY ALL""")
 def paged_reports(spark, sf):
     """Reports with the evidence of their marks, fifty places to a page."""
     crops, groups, meta = fx.crops(spark, sf), fx.groups(spark, sf), _meta(spark, sf)
-    tops = _tops(spark, sf, crops)
+    tops = cut_lineage(_tops(spark, sf, crops), "tops")   # read by the votes and by the marks
     cands = vote.rank_candidates(vote.rank_weighted_votes(tops, groups))
     full = report.request_report(vote.request_verdicts(crops, cands), cands, meta)
     paged = report.paged_report(full, report.evidence(crops, tops, groups, meta), page=50)
@@ -232,7 +233,7 @@ FROM tops t LEFT JOIN same s ON s.font_id = t.font_id JOIN cands c ON c.request_
 WHERE t.rank = 0 AND coalesce(s.group_id, t.font_id) <> c.group_id""")
 def disagreeing_marks(spark, sf):
     crops, groups = fx.crops(spark, sf), fx.groups(spark, sf)
-    tops = _tops(spark, sf, crops)
+    tops = cut_lineage(_tops(spark, sf, crops), "tops")   # read by the votes and by the marks
     cands = vote.rank_candidates(vote.rank_weighted_votes(tops, groups))
     return report.disagreements(crops, tops, cands, groups).select(
         "request_id", "mark_id", "char", "group_id", "winner")
