@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from typetrace.functions import rasters as R
 from typetrace.operators import fields as D, search
-from typetrace.plans import fixtures as fx, matching
+from typetrace.plans import fixtures as fx, matching, streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -316,3 +316,16 @@ def test_listed_pairs_score_as_whole_matrices_and_equal_fields_alike(reach):
 def test_marks_that_disagree_are_searched_once(spark):
     plan = matching.disagreeing_marks(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInPandas" not in plan
+
+
+def test_files_of_spread_requests_hold_no_features(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def seen(stream, *_):
+        raise Seen(*stream.columns)
+
+    monkeypatch.setattr(streams.J, "continuous_short_lists", seen)
+    with pytest.raises(Seen) as found:
+        streams.spread_requests(spark, SF)
+    assert found.value.args == ("request_id", "mark_id", "char", "field", "ts")

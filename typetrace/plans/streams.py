@@ -130,13 +130,14 @@ FROM (SELECT DISTINCT request_id FROM crop) r
 LEFT JOIN cands c ON c.request_id = r.request_id AND c.rank = 1""")
 def spread_requests(spark, sf):
     """Requests whose marks come in several batches, a character each: one verdict a request, when the input is closed."""
-    crops, index = fx.crops(spark, sf), fx.templates(spark, sf)
+    # The files hold what arrives; features are worked out batch by batch, in as many tasks as a batch has.
+    crops, index = fx.raw_crops(spark, sf).select("request_id", "mark_id", "char", "field"), fx.templates(spark, sf)
     parts, lists, closing = (scratch_folder(spark, n) for n in ("crop-files", "short-lists", "closing"))
     # One file of crops a character and one batch a file, so every request is cut.
     timed = crops.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.ascii("char")))
     timed.repartition(1).sortWithinPartitions("char").write.option("maxRecordsPerFile", max(1, -(-timed.count() // 3))).parquet(parts)
     stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(parts)
-    match = lambda batch: search.match_marks(batch, index, fx.WORDS, fx.SIDE)
+    match = lambda batch: search.match_marks(search.with_features(batch, "field", fx.WORDS), index, fx.WORDS, fx.SIDE)
     J.run_available(J.continuous_short_lists(stream, match, lists), scratch_folder(spark, "short-lists-state"))
     tops = J.with_closing(J.read_short_lists(spark, lists, dict(crops.dtypes)["request_id"]), closing)
     rows = J.request_completion(tops, fx.groups(spark, sf), "1 minute", 60_000)
